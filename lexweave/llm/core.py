@@ -40,7 +40,7 @@ def powers(n: int) -> np.ndarray:
     """P**0 .. P**(n-1) modulo 2**64; the table grows by doubling."""
     global _powers
     while len(_powers) < n:
-        _powers = np.concatenate([_powers, _powers * (_powers[-1] * _P)])
+        _powers = np.concatenate([_powers, _powers * (_powers[-1:] * _P)])
     return _powers[:n]
 
 
