@@ -172,3 +172,77 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def column(df: DataFrame, name: str):
     """A column by its exact name, also when other columns differ from it only in case or hold dots."""
     return F.col(f"`{name}`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+class Prefix:
+    """Hashes of any byte ranges of a buffer in constant time each, by a polynomial's prefix sums modulo 2**64."""
+
+    INVERSE = pow(int(_P), -1, 1 << 64)
+    _back = np.ones(1, np.uint64)
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * powers(len(data)), out=self.sums[1:])
+        cls = Prefix
+        while len(cls._back) <= len(data):
+            cls._back = np.concatenate([cls._back, cls._back * (cls._back[-1:] * np.uint64(cls.INVERSE))])
+
+    def hash(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return mix((self.sums[start + size] - self.sums[start]) * self._back[start] + size.astype(np.uint64))
+
+
+class Buckets:
+    """Records on their way to the reducers: packed arrays, split by a hash, sent as one binary value a bucket and kind."""
+
+    SCHEMA = "bucket int, kind int, block binary"
+
+    def __init__(self, count: int, most: int = 48 << 20) -> None:
+        self.count, self.most, self.held, self.bytes = count, most, {}, 0
+
+    def add(self, kind: int, by: np.ndarray, records: np.ndarray) -> None:
+        if len(records):
+            self.held.setdefault(kind, []).append(((by % np.uint64(self.count)).astype(np.int32), records))
+            self.bytes += records.nbytes
+
+    def full(self) -> bool:
+        return self.bytes > self.most
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        for kind, parts in self.held.items():
+            to, records = np.concatenate([t for t, _ in parts]), np.concatenate([r for _, r in parts])
+            order = np.argsort(to, kind="stable")
+            to, records = to[order], records[order]
+            cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+            size = records.dtype.itemsize
+            offs = np.append(cut, len(to)).astype(np.int64) * size
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer(offs), pa.py_buffer(records.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(to[cut]), pa.array(np.full(len(cut), kind, np.int32)), data], ["bucket", "kind", "block"])
+        self.held, self.bytes = {}, 0
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], kinds: dict[int, np.dtype]) -> Iterator[dict[int, np.ndarray]]:
+    """A partition's records of each kind, bucket after bucket."""
+    blocks: dict[int, dict[int, list[bytes]]] = {}
+    for b in batches:
+        for to, kind, block in zip(*(c.to_pylist() for c in b.columns)):
+            blocks.setdefault(to, {}).setdefault(kind, []).append(block)
+    for to in sorted(blocks):
+        got = blocks.pop(to)
+        yield {k: np.frombuffer(b"".join(got.get(k, [])), t) for k, t in kinds.items()}
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(blocks: DataFrame) -> DataFrame:
+    """The blocks, each bucket in one partition, buckets spread evenly."""
+    return blocks.repartitionById(partitions(blocks.sparkSession), "bucket") if hasattr(blocks, "repartitionById") else blocks.repartition(partitions(blocks.sparkSession), "bucket")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lexweave.llm import simhash
+from lexweave.llm import linededup, quality, simhash
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op4_quality_classifier": quality.op4_quality_classifier,
+    "op9_line_dedup": linededup.op9_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
