@@ -7,10 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lexweave.llm.core import shared_dir, table
+from lexweave.llm.linededup import without_duplicates
+from lexweave.llm.mixing import mixed
+from lexweave.llm.packing import packed
+from lexweave.llm.quality import keep_good
 from lexweave.llm.simhash import near_dedup
 
 STAGES = [
+    ("quality_classifier", keep_good),
+    ("line_dedup", without_duplicates),
     ("simhash_near_dedup", near_dedup),
+    ("mix_sources", mixed),
+    ("best_fit_packing", packed),
 ]
 
 ORACLE_SQL = None
