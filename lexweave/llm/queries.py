@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lexweave.llm import linededup, mixing, packing, quality, simhash
+from lexweave.llm import linededup, matroska, mixing, packing, quality, simhash, tokencount
 
 QUERIES = {
+    "op1_matroska_packets": matroska.op1_matroska_packets,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_token_counts": tokencount.op7_token_counts,
     "op9_line_dedup": linededup.op9_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
