@@ -1,4 +1,4 @@
-"""Document fingerprints by context-triggered piecewise hashing, and each document's best match before it.
+"""Document fingerprints by context-triggered piecewise hashing, and each document's first match.
 
 A rolling hash of the last 7 bytes ends a piece where it is -1 modulo the block size 3 * 2**k. Each piece gives one of 64
 letters by a hash of its bytes; the letters are the text's signature at that block size. k is the least at which the
@@ -6,7 +6,15 @@ signature has at most 64 letters; the one at k + 1 is kept besides. Texts are co
 common block size: k equal, or one apart. Their score is 100 * (1 - edit distance / length of the longer signature),
 the better one where two block sizes are common. Only signatures that share `GRAM` letters in a row are compared.
 
-Runs of one letter are cut to three before this, as they say little.
+Runs of one letter are cut to three before this, as they say little. The match of a document is the one of
+the lowest doc_id among all documents before it that score `LEAST_SCORE` or more.
+
+Equal fingerprints are compared once, and pairs are made of distinct ones by an inverted index of their letter runs.
+
+Defined cases: a null text has no fingerprint and no match; an empty one has an empty signature at block size 3, which
+matches other empty ones only. Documents of equal fingerprint match the lowest doc_id among them with 100; rows repeated
+in full all have the same result. A null doc_id comes after all others. An empty table gives an empty table. Other
+columns aren't used.
 """
 
 from __future__ import annotations
@@ -15,13 +23,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from lexweave.llm.core import Prefix, chunks
+from lexweave.llm.core import Buckets, Prefix, by_bucket, chunks, column, mix, partitions, spread, stored, string_bytes, table
+from lexweave.ship import map_arrow
 
 WINDOW = 7
 LONGEST = 64
 GRAM = 7
 LEVELS = 40
+LEAST_SCORE = 50
+ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+_NUMBER = np.zeros(256, np.uint8)
+_NUMBER[ALPHABET] = np.arange(64)
 
 
 def trigger_levels(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -74,3 +90,199 @@ def signatures(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[np.
     flat = [np.concatenate(x) if x else np.zeros(0, np.uint8) for x in letters]
     outs = [np.r_[0, np.cumsum(np.concatenate(x))] if x else np.zeros(1, np.int64) for x in sizes]
     return k_of, flat, outs
+
+
+def capped_runs(letters: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The letters with runs of one letter cut to three, and the new offsets."""
+    if not len(letters):
+        return letters, offs
+    new = np.r_[True, letters[1:] != letters[:-1]]
+    new[offs[:-1][offs[:-1] < len(letters)]] = True
+    at = np.flatnonzero(new)
+    place = np.arange(len(letters)) - np.repeat(at, np.diff(np.r_[at, len(letters)]))
+    keep = place < 3
+    total = np.r_[0, np.cumsum(keep)]
+    return letters[keep], total[offs]
+
+
+def myers(a: np.ndarray, a_offs: np.ndarray, b: np.ndarray, b_offs: np.ndarray) -> np.ndarray:
+    """The edit distance of each row of letters a to that of b, at most 64 letters each: a's rows are the bits of a word."""
+    n = len(a_offs) - 1
+    out = np.zeros(n, np.int64)
+    for lo in range(0, n, 8192):
+        hi = min(n, lo + 8192)
+        m, w = np.diff(a_offs[lo : hi + 1]), np.diff(b_offs[lo : hi + 1])
+        rows = hi - lo
+        place = np.zeros((64, rows), np.uint64)  # of each letter of the alphabet: where it stands in a
+        x = a[a_offs[lo] : a_offs[hi]]
+        row = np.repeat(np.arange(rows), m)
+        bit = np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
+        np.bitwise_or.at(place, (x, row), np.uint64(1) << bit.astype(np.uint64))
+        vp, vn, dist = np.full(rows, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(rows, np.uint64), m.copy()
+        last = np.maximum(m - 1, 0).astype(np.uint64)
+        y = np.zeros((rows, max(1, int(w.max(initial=0)))), np.uint8)
+        y[np.arange(y.shape[1]) < w[:, None]] = b[b_offs[lo] : b_offs[hi]]
+        each, one = np.arange(rows), np.uint64(1)
+        for j in range(int(w.max(initial=0))):
+            live = j < w
+            pm = place[y[:, j], each]
+            d0 = (((pm & vp) + vp) ^ vp) | pm | vn
+            hp, hn = vn | ~(d0 | vp), d0 & vp
+            dist = dist + np.where(live, (hp >> last & one).astype(np.int64) - (hn >> last & one).astype(np.int64), 0)
+            hp = hp << one | one
+            vp, vn = np.where(live, (hn << one) | ~(d0 | hp), vp), np.where(live, hp & d0, vn)
+        out[lo:hi] = np.where(m == 0, w, dist)
+    return out
+
+
+def scores(a: tuple, b: tuple) -> np.ndarray:
+    """100 * (1 - distance / longer length), rounded down, of rows of (letters, offsets); 0 where both are empty."""
+    longest = np.maximum(np.diff(a[1]), np.diff(b[1]))
+    return np.where(longest > 0, 100 * (longest - myers(*a, *b)) // np.maximum(longest, 1), 0)
+
+
+GRAM_RECORD = np.dtype([("key", "u8"), ("print", "u8")])
+
+
+def gram_records(k: np.ndarray, letters: np.ndarray, offs: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """A record for each run of GRAM letters; GRAM letters of 6 bits and the block size fill a key."""
+    count = np.maximum(np.diff(offs) - (GRAM - 1), 0)
+    inner = np.cumsum(count) - count
+    at = np.arange(count.sum()) + np.repeat(offs[:-1] - inner, count)
+    key = np.repeat(k, count).astype(np.uint64)
+    for j in range(GRAM):
+        key = key << np.uint64(6) | letters[at + j].astype(np.uint64)
+    out = np.empty(len(at), GRAM_RECORD)
+    out["key"], out["print"] = key, np.repeat(prints, count)
+    return np.unique(out)
+
+
+def shared(records: np.ndarray) -> np.ndarray:
+    """The distinct records whose key more than one fingerprint has."""
+    records = np.unique(records)
+    if not len(records):
+        return records
+    new = np.r_[True, records["key"][1:] != records["key"][:-1]]
+    size = np.diff(np.r_[np.flatnonzero(new), len(records)])
+    return records[np.repeat(size, size) > 1]
+
+
+def packed_letters(letters: np.ndarray, offs: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(ALPHABET[letters].tobytes())]).cast(pa.binary())
+
+
+def unpacked(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    col = col.cast(pa.large_binary())
+    if not len(col):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offs, data = col.buffers()
+    offs = np.frombuffer(offs, np.int64)[col.offset : col.offset + len(col) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return _NUMBER[raw[offs[0] : offs[-1]]], offs - offs[0]
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, k, short, long) of every row: the signatures at k and k + 1 as bytes, a letter each; all null for a null text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, letters, offs = signatures(*string_bytes(b.column(1)))
+            null = pa.array(b.column(1).is_null())
+            sigs = [packed_letters(*capped_runs(x, o)) for x, o in zip(letters, offs)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.compute.if_else(null, pa.scalar(None, c.type), c) for c in (pa.array(k.astype(np.int32)), *sigs))], ["doc_id", "k", "short", "long"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_arrow(docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").alias("text")), run, f"doc_id {kind}, k int, short binary, long binary")
+
+
+def matches(prints: DataFrame) -> DataFrame:
+    """(print, match_id, score) of each distinct fingerprint that has a match: the first one before it that scores enough.
+
+    Each key's fingerprints are ranked by the order of their documents. Round r tests the ranks from 2**r - 1 on, only
+    those before the best match found so far; it ends when no key has such a rank left. Copies by the thousand find
+    their first one in the first rounds, so their pairs are never all made, and still nothing is left out.
+    """
+    spark = prints.sparkSession
+    count = partitions(spark)
+
+    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Buckets(count)
+        for b in batches:
+            ids, k = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            for up in (0, 1):
+                r = gram_records(k + up, *unpacked(b.column(2 + up)), ids)
+                out.add(0, mix(r["key"]), r)
+            if out.full():
+                yield from out.flush()
+        yield from out.flush()
+
+    def shared_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in by_bucket(batches, {0: GRAM_RECORD}):
+            r = shared(got[0])
+            if len(r):
+                yield pa.RecordBatch.from_arrays([pa.array(r["key"].view(np.int64)), pa.array(r["print"].view(np.int64))], ["key", "print"])
+
+    keyed = map_arrow(spread(map_arrow(prints.select("print", "k", "short", "long"), grams_of, Buckets.SCHEMA)), shared_of, "key bigint, print bigint")
+    order = F.struct(F.isnull("first").alias("late"), F.col("first").alias("id"), F.col("print").alias("print"))
+    ranked = keyed.join(prints.select("print", order.alias("at")), "print").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("at")) - 1)
+    index = stored(ranked)
+    longest = index.agg(F.max("rank")).first()[0] or 0
+    sig = prints.select(F.col("print").alias("p"), "k", "short", "long")
+    best, lo = None, 0
+    while lo < longest:
+        hi = 2 * lo + 1
+        late = index.filter(F.col("rank") > lo).select("key", "print", "at", F.col("rank").alias("own"))
+        if best is not None:
+            late = late.join(best.select("print", F.col("m.at").alias("bound")), "print", "left")
+        else:
+            late = late.withColumn("bound", F.lit(None).cast(index.schema["at"].dataType))
+        early = index.filter((F.col("rank") >= lo) & (F.col("rank") < hi)).select("key", F.col("print").alias("other"), F.col("at").alias("other_at"), "rank")
+        pairs = late.join(early, "key").filter((F.col("rank") < F.col("own")) & (F.col("bound").isNull() | (F.col("other_at") < F.col("bound")))).select("print", "other", "other_at").distinct()
+        found = stored(_scored(pairs, sig))
+        more = found.groupBy("print").agg(F.min(F.struct("at", "score")).alias("m"))
+        best = stored(more if best is None else best.unionByName(more).groupBy("print").agg(F.min("m").alias("m")))
+        lo = hi
+    if best is None:
+        best = index.limit(0).select("print", F.struct("at", F.lit(0).alias("score")).alias("m"))
+    return best.select("print", F.col("m.at.id").alias("match_id"), F.col("m.score").alias("score"))
+
+
+def _scored(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+    """(print, at, score) of the pairs that score enough."""
+    a = sig.select(F.col("p").alias("print"), F.col("k").alias("ka"), F.col("short").alias("sa"), F.col("long").alias("la"))
+    b = sig.select(F.col("p").alias("other"), F.col("k").alias("kb"), F.col("short").alias("sb"), F.col("long").alias("lb"))
+    both = pairs.join(a, "print").join(b, "other").select("print", F.col("other_at").alias("at"), "ka", "kb", "sa", "sb", "la", "lb")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ka, kb = b.column(2).to_numpy(), b.column(3).to_numpy()
+            best = np.zeros(b.num_rows, np.int64)
+            # short with short and long with long where k is equal, else the long one of the finer text with the short one of the other
+            for shift, x, y in ((0, 4, 5), (0, 6, 7), (1, 6, 5), (-1, 4, 7)):
+                at = np.flatnonzero(kb - ka == shift)
+                if len(at):
+                    i = pa.array(at)
+                    best[at] = np.maximum(best[at], scores(unpacked(b.column(x).take(i)), unpacked(b.column(y).take(i))))
+            ok = pa.array(np.flatnonzero(best >= LEAST_SCORE))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(ok), b.column(1).take(ok), pa.array(best.astype(np.int32)).take(ok)], ["print", "at", "score"])
+
+    return map_arrow(both, score, f"print bigint, at {pairs.schema['other_at'].dataType.simpleString()}, score int")
+
+
+def matched(docs: DataFrame) -> DataFrame:
+    """(doc_id, block_size, signature, signature2, match_id, score) of every document."""
+    found = stored(fingerprints(docs)).withColumn("print", F.xxhash64("k", "short", "long"))
+    some = found.filter("k is not null")
+    firsts = stored(some.groupBy("print").agg(F.first("k").alias("k"), F.first("short").alias("short"), F.first("long").alias("long"), F.min("doc_id").alias("first")))
+    best = matches(firsts).withColumnRenamed("print", "p")
+    per_print = firsts.join(best, firsts["print"] == best["p"], "left").select(F.col("print").alias("p"), "first", "match_id", "score")
+    rows = found.join(per_print, found["print"] == per_print["p"], "left")
+    same = ~F.col("doc_id").eqNullSafe(F.col("first")) & F.col("p").isNotNull()
+    return rows.select("doc_id", F.expr("3 * shiftleft(cast(1 as bigint), k)").alias("block_size"), F.col("short").cast("string").alias("signature"), F.col("long").cast("string").alias("signature2"), F.when(same, F.col("first")).otherwise(F.col("match_id")).alias("match_id"), F.when(same, 100).otherwise(F.col("score")).alias("score"))
+
+
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and its first match before it."""
+    return matched(table(spark, sf_dir, "documents"))

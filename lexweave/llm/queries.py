@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexweave.llm import linededup, matroska, mixing, packing, quality, simhash, tokencount
+from lexweave.llm import ctph, linededup, matroska, mixing, packing, quality, simhash, tokencount
 
 QUERIES = {
     "op1_matroska_packets": matroska.op1_matroska_packets,
@@ -12,5 +12,6 @@ QUERIES = {
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_token_counts": tokencount.op7_token_counts,
     "op9_line_dedup": linededup.op9_line_dedup,
+    "op10_document_fingerprints": ctph.op10_document_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {}
