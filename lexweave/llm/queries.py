@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexweave.llm import ctph, linededup, matroska, mixing, packing, quality, simhash, tokencount
+from lexweave.llm import ctph, linededup, lmscore, matroska, mixing, packing, quality, simhash, tokencount
 
 QUERIES = {
     "op1_matroska_packets": matroska.op1_matroska_packets,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_lm_scoring": lmscore.op3_lm_scoring,
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_mix_sources": mixing.op6_mix_sources,
