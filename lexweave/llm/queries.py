@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexweave.llm import ctph, linededup, lmscore, matroska, mixing, packing, quality, simhash, tokencount
+from lexweave.llm import ctph, linededup, lmscore, matroska, mixing, packing, quality, repeats, simhash, tokencount
 
 QUERIES = {
     "op1_matroska_packets": matroska.op1_matroska_packets,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_token_counts": tokencount.op7_token_counts,
+    "op8_suffix_array_dedup": repeats.op8_suffix_array_dedup,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_document_fingerprints": ctph.op10_document_fingerprints,
 }
