@@ -11,8 +11,8 @@ and takes them as long as the quota lasts; within the block where it ends, docum
 while their tokens fit. So a source is never sorted in one place, however large it is.
 
 Tokens are UTF-8 bytes and one for the separator. Defined cases: a null text counts as an empty one; a null source is a
-source of its own; rows repeated in full are separate documents of equal hash, and which of them the last epoch takes
-makes no difference. With one source, or shares that are equal, every document is taken once. An empty table gives an
+source of its own; rows repeated in full are separate documents of equal place, which the
+last epoch takes together, so that it may pass its quota by all but one of them. With one source, or shares that are equal, every document is taken once. An empty table gives an
 empty table. Other columns pass unchanged.
 """
 
@@ -72,39 +72,52 @@ def plan(tokens: np.ndarray, target: float = ENTROPY, most: float = REPEATS) ->
 
 
 def mix_sources(docs: DataFrame, target: float = ENTROPY, most: float = REPEATS, block: int = BLOCK) -> DataFrame:
-    """docs with columns epoch, block and block_place added (with underscores where taken): a row for each time that a document is read."""
+    """docs with columns epoch, block, block_order and place added (with underscores where taken): a row for each time that a document is read.
+
+    In an epoch, a source's documents come in the order of (block_order, block, place, doc_id). Where the last epoch ends is a
+    row for each source, so the documents themselves are never moved.
+    """
     spark = docs.sparkSession
-    names = {k: fresh(docs, k) for k in ("epoch", "block", "block_place", "mix_key", "mix_tokens", "mix_source", "mix_quota", "mix_whole", "mix_last", "mix_before")}
+    names = {k: fresh(docs, k) for k in ("epoch", "block", "block_order", "place", "mix_source", "mix_whole", "mix_last", "mix_blocks", "mix_cut", "mix_tokens")}
     c = {k: F.col(v) for k, v in names.items()}
-    text, source = column(docs, "text"), column(docs, "source")
+    text, source, doc_id = column(docs, "text"), column(docs, "source"), column(docs, "doc_id")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1
     # one row a source: their number doesn't grow with the documents
     found = docs.groupBy(source.alias("source")).agg(F.sum(size).alias("tokens")).orderBy(F.col("tokens").desc(), F.col("source")).collect()
     if not found:
-        return docs.select("*", F.lit(1).alias(names["epoch"]), F.lit(0).alias(names["block"]), F.lit(0).cast("bigint").alias(names["block_place"]))
+        return docs.select("*", F.lit(1).alias(names["epoch"]), F.lit(0).alias(names["block"]), *(F.lit(0).cast("bigint").alias(names[k]) for k in ("block_order", "place")))
     tokens = np.array([r["tokens"] for r in found], np.int64)
-    quota = plan(tokens, target, most)
     kind = docs.schema["source"].dataType.simpleString()
-    sources = spark.createDataFrame(
-        [(r["source"], int(q), int(q // t), int(q % t), int(-(-t // block))) for r, q, t in zip(found, quota, tokens)], f"{names['mix_source']} {kind}, {names['mix_quota']} bigint, {names['mix_whole']} bigint, {names['mix_last']} bigint, mix_blocks int"
-    )
-    key = F.xxhash64(F.lit(SEED), column(docs, "doc_id"), F.xxhash64(text), source)
-    placed = docs.join(F.broadcast(sources), source.eqNullSafe(c["mix_source"])).withColumns({names["mix_key"]: key, names["mix_tokens"]: size})
-    placed = placed.withColumn(names["block"], F.pmod(c["mix_key"], F.col("mix_blocks")).cast("int")).drop("mix_blocks", names["mix_quota"])
+    rows = [(r["source"], int(q // t), int(q % t), int(-(-t // block))) for r, q, t in zip(found, plan(tokens, target, most), tokens)]
+    sources = spark.createDataFrame(rows, f"{names['mix_source']} {kind}, {names['mix_whole']} int, {names['mix_last']} bigint, {names['mix_blocks']} int")
+    key = F.xxhash64(F.lit(SEED), doc_id, F.xxhash64(text), source)
+
+    def placed(by: DataFrame) -> DataFrame:
+        joined = docs.join(F.broadcast(by), source.eqNullSafe(c["mix_source"]))
+        return joined.withColumns({names["place"]: key, names["mix_tokens"]: size}).withColumn(names["block"], F.pmod(c["place"], c["mix_blocks"]).cast("int"))
 
     def order(epoch: Column) -> Column:
         return F.xxhash64(F.lit(SEED), c["mix_source"], epoch, c["block"])
 
-    # blocks of the last epoch: those before them in the permutation use up this much
-    blocks = placed.select(*(c[k] for k in ("mix_source", "block", "mix_whole", "mix_last", "mix_tokens"))).groupBy(*(c[k] for k in ("mix_source", "block", "mix_whole", "mix_last"))).agg(F.sum(c["mix_tokens"]).alias("in_block"))
-    before = Window.partitionBy(c["mix_source"]).orderBy(order(c["mix_whole"] + 1), c["block"]).rowsBetween(Window.unboundedPreceding, -1)
-    budget = blocks.withColumn("left", c["mix_last"] - F.coalesce(F.sum("in_block").over(before), F.lit(0))).select(c["mix_source"].alias("s"), c["block"].alias("b"), F.greatest(F.lit(0), F.least("left", "in_block")).alias(names["mix_before"]))
-    within = Window.partitionBy(c["mix_source"], c["block"]).orderBy(c["mix_key"], column(docs, "doc_id")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.withColumn(names["block_place"], F.sum(c["mix_tokens"]).over(within))
-    joined = ranked.join(budget, c["mix_source"].eqNullSafe(F.col("s")) & (c["block"] == F.col("b"))).drop("s", "b")
-    times = c["mix_whole"] + F.when(c["block_place"] <= c["mix_before"], 1).otherwise(0)
-    out = joined.withColumn(names["epoch"], F.explode(F.sequence(F.lit(1), times.cast("int"))))
-    return out.select(*(F.col(f"`{n}`") for n in docs.columns), c["epoch"], c["block"], c["block_place"])
+    last = order(c["mix_whole"] + 1)
+    # the block in which the last epoch ends, and what is left for it
+    blocks = placed(sources).groupBy(*(c[k] for k in ("mix_source", "block", "mix_whole", "mix_last"))).agg(F.sum(c["mix_tokens"]).alias("in_block"))
+    walk = Window.partitionBy(c["mix_source"]).orderBy(last, c["block"]).rowsBetween(Window.unboundedPreceding, 0)
+    ends = blocks.withColumn("before", F.sum("in_block").over(walk) - F.col("in_block")).filter((F.col("before") <= c["mix_last"]) & (c["mix_last"] < F.col("before") + F.col("in_block")))
+    at = {tuple([r[0]]): (r[1], r[2], r[3]) for r in ends.select(c["mix_source"], last.alias("o"), c["block"], c["mix_last"] - F.col("before")).collect()}
+    cut = f"{names['mix_cut']} struct<o:bigint,block:int,left:bigint>"
+    ending = spark.createDataFrame([(*r, at[(r[0],)]) for r in rows], f"{names['mix_source']} {kind}, {names['mix_whole']} int, {names['mix_last']} bigint, {names['mix_blocks']} int, {cut}")
+    # within that block: the last document that fits
+    id_ = F.struct(F.isnotnull(doc_id).alias("late"), doc_id.alias("id"))
+    inner = placed(ending).filter(c["block"] == c["mix_cut"]["block"]).select(c["mix_source"], c["mix_cut"]["left"].alias("left"), c["mix_tokens"].alias("n"), F.struct(c["place"].alias("place"), id_.alias("id")).alias("at"))
+    fits = inner.withColumn("sum", F.sum("n").over(Window.partitionBy(c["mix_source"]).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))).filter("sum <= left")
+    upto = fits.groupBy(c["mix_source"]).agg(F.max("at").alias("upto"))
+    final = ending.join(upto.withColumnRenamed(names["mix_source"], "s"), c["mix_source"].eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("upto", fresh(docs, "mix_upto"))
+    upto_ = F.col(fresh(docs, "mix_upto"))
+    now, end = F.struct(last.alias("o"), c["block"].alias("block")), F.struct(c["mix_cut"]["o"].alias("o"), c["mix_cut"]["block"].alias("block"))
+    taken = (now < end) | ((now == end) & upto_.isNotNull() & (F.struct(c["place"].alias("place"), id_.alias("id")) <= upto_))
+    out = placed(final).withColumn(names["epoch"], F.explode(F.sequence(F.lit(1), c["mix_whole"] + F.when(taken, 1).otherwise(0))))
+    return out.withColumn(names["block_order"], order(c["epoch"])).select(*(F.col(f"`{n}`") for n in docs.columns), *(c[k] for k in ("epoch", "block", "block_order", "place")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -113,6 +126,6 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every reading of every document: its source, the epoch, its block and the tokens of the block up to it."""
+    """Every reading of every document: its source, the epoch, and its place in the epoch's permutation."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_sources(docs).drop("text")
