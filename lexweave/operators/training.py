@@ -15,7 +15,7 @@ from lexweave.functions.text import char_class, characters, code_point, gold_cla
 from lexweave.operators import lattice as L
 from lexweave.operators import vocabulary as V
 from lexweave.ship import map_arrow
-from lexweave.sources.corpus import byte_budget, corpus_lines, spread, within_limits
+from lexweave.sources.corpus import corpus_lines, spread, within_limits
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,7 @@ def induce(docs: DataFrame, config: TrainConfig) -> tuple[DataFrame, DataFrame]:
     if config.skip_long_cp:
         mapped = mapped.filter(F.char_length("line") <= config.max_sentence_cp)
     mapped = spread(mapped).persist(StorageLevel.MEMORY_AND_DISK)
-    grams = V.ngram_counts(byte_budget(mapped, config.sample_bytes), 2, config.max_piece_len, config.min_count, config.fallback_char)
+    grams = V.ngram_counts(V.byte_budget(mapped, config.sample_bytes), 2, config.max_piece_len, config.min_count, config.fallback_char)
     singles = V.codepoint_counts(mapped).select("ch", "cnt")
     return mapped, V.vocabulary(singles, V.candidates(grams, config.cand_total, config.max_piece_len))
 
@@ -386,16 +386,14 @@ def lbfgs(value, v: np.ndarray, iters: int, m: int = 8, tol: float = 1e-4) -> np
 
 def preset_table(spark: SparkSession) -> DataFrame:
     """(tid, label, v1, v2, key, weight) of the 418 features."""
-    ids = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} int")
-    labels = ids("label", (0, 1))
-    cur, prev, nxt = (lambda n: ids(n, CUR)), (lambda n: ids(n, PREV)), (lambda n: ids(n, NEXT))
-    zero = F.lit(0).alias("v2")
-    parts = [cur("v1").select(F.lit(0).alias("tid"), "v1", zero), prev("v1").select(F.lit(1), "v1", zero), nxt("v1").select(F.lit(2), "v1", zero), prev("v1").crossJoin(cur("v2")).select(F.lit(3), "v1", "v2"), cur("v1").crossJoin(nxt("v2")).select(F.lit(4), "v1", "v2")]
-    table = parts[0]
-    for p in parts[1:]:
-        table = table.union(p)
+    ids = lambda name, values: F.explode(F.lit(list(values))).alias(name)
+    one, zero = spark.range(1), F.lit(0).alias("v2")
+    tid = lambda n: F.lit(n).alias("tid")
+    table = one.select(tid(0), ids("v1", CUR)).select("tid", "v1", zero)
+    table = table.union(one.select(tid(1), ids("v1", PREV)).select("tid", "v1", zero)).union(one.select(tid(2), ids("v1", NEXT)).select("tid", "v1", zero))
+    table = table.union(one.select(tid(3), ids("v1", PREV)).select("tid", "v1", ids("v2", CUR))).union(one.select(tid(4), ids("v1", CUR)).select("tid", "v1", ids("v2", NEXT)))
     from lexweave.functions.text import feature_key
 
-    given = spark.createDataFrame([(t, y, a, w) for t, y, a, w in _PRESET], "tid int, label int, v1 int, w double")
-    all_ = table.crossJoin(labels).join(F.broadcast(given), ["tid", "label", "v1"], "left")
-    return all_.select("tid", "label", "v1", "v2", feature_key(F.col("tid"), F.col("label"), F.col("v1"), F.col("v2")).alias("key"), F.coalesce("w", F.lit(0.0)).alias("weight"))
+    given = F.create_map(*(F.lit(x) for t, y, a, w in _PRESET for x in (key_of(t, y, a), w)))
+    all_ = table.select("tid", ids("label", (0, 1)), "v1", "v2").withColumn("key", feature_key(F.col("tid"), F.col("label"), F.col("v1"), F.col("v2")))
+    return all_.select("tid", "label", "v1", "v2", "key", F.coalesce(F.try_element_at(given, F.col("key").cast("int")), F.lit(0.0)).alias("weight"))

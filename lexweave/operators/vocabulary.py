@@ -123,6 +123,11 @@ def vocabulary(singles: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def settled(vocab: DataFrame) -> DataFrame:
+    """A vocabulary as a table of its own, computed once. It has cand_total + char_vocab rows at most, however large the corpus."""
+    return vocab.sparkSession.createDataFrame(vocab.toArrow(), vocab.schema).coalesce(1)
+
+
 def normalized(vocab: DataFrame, logp: str = "logp", least: float = MIN_PROB) -> DataFrame:
     """Probabilities that sum to one, none under the floor: divided by their sum, raised to the floor, twice."""
     for _ in range(2):

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lexweave.plans import segment_queries, text_queries
+
+QUERIES = text_queries.QUERIES | segment_queries.QUERIES
+ORACLE_SQL = text_queries.ORACLE_SQL | segment_queries.ORACLE_SQL
+flagship = segment_queries.flagship
