@@ -186,7 +186,8 @@ def repeated(docs: DataFrame, most: int = WORDS, run: int = RUN) -> DataFrame:
             lists = [np.frombuffer(b"".join(x), np.uint64) for x in b.column(2).to_pylist()]
             for lo, w, (row, place, places, least) in cut(b):
                 n = len(w.rows) - 1
-                wanted = np.concatenate([mix(x ^ (np.uint64(k) * _P)) for k, x in enumerate(lists[lo : lo + n])])
+                here = lists[lo : lo + n]
+                wanted = mix(np.concatenate(here) ^ (np.repeat(np.arange(n, dtype=np.uint64), [len(x) for x in here]) * _P))
                 ok = np.flatnonzero(np.isin(mix(least ^ (row.astype(np.uint64) * _P)), wanted))
                 to = mix(least[ok]) % np.uint64(count)
                 ok = ok[np.argsort(to, kind="stable")]
