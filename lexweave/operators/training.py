@@ -207,12 +207,13 @@ class CrfWeights:
 
 def gold_sequences(lines: DataFrame, max_sentence_cp: int = 2048, gold_classes: bool = False) -> DataFrame:
     """(cls, y) of each line of tokens: its characters' classes, and 1 where a token begins. Lines without tokens, or too long, are left out."""
-    tokens = F.filter(F.split("line", "[ \t]+"), lambda t: t != "")
     of = gold_class if gold_classes else char_class
     keys = [c for c in lines.columns if c != "line"]
-    some = lines.select(*keys, tokens.alias("t"))
-    out = some.select(*keys, F.transform(characters(F.array_join("t", "")), lambda c: of(code_point(c))).alias("cls"), F.flatten(F.transform("t", lambda t: F.concat(F.array(F.lit(1)), F.array_repeat(F.lit(0), F.char_length(t) - 1)))).alias("y"))
-    return out.filter((F.size("cls") > 0) & (F.size("cls") <= max_sentence_cp))
+    chars = characters(F.col("line"))
+    before = F.concat(F.array(F.lit(" ")), F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))))
+    pairs = F.zip_with(chars, before, lambda c, p: F.struct(c.alias("c"), p.isin(" ", "\t").cast("int").alias("y")))
+    some = lines.select(*keys, F.filter(pairs, lambda s: ~s["c"].isin(" ", "\t")).alias("s")).filter((F.size("s") > 0) & (F.size("s") <= max_sentence_cp))
+    return some.select(*keys, F.transform("s", lambda s: of(code_point(s["c"]))).alias("cls"), F.col("s.y").alias("y"))
 
 
 def pseudo_labels(lines: DataFrame, model: L.Model) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import characters, code_point
-from lexweave.operators.lattice import SpanHash, code_points
+from lexweave.operators.lattice import Lattice, PieceTable, SpanHash, batches, code_points
 from lexweave.ship import map_arrow
 from lexweave.sources.corpus import spread
 
@@ -66,8 +66,8 @@ def ngram_counts(lines: DataFrame, n_min: int = 2, n_max: int = 8, min_count: in
     """
     bad = np.array([0, 9, 10, 13, 32, *([ord(fallback)] if fallback else [])], np.uint32)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
             texts = b.column(0).to_pylist()
             points, offs = code_points(texts)
             if not len(points):
@@ -181,6 +181,26 @@ def export_selection(vocab: DataFrame, keep_single_top: int = 400) -> DataFrame:
     return renumbered(vocab.filter("len_cp >= 2").unionByName(top))
 
 
+def span_counts(lines: DataFrame, pieces: list[str], max_len: int) -> DataFrame:
+    """(len, piece_id, n): how many spans of each length are each piece, -1 for those of no piece. Every task sends a row a piece, not one a span."""
+    shared = lines.sparkSession.sparkContext.broadcast(pieces)
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = PieceTable(shared.value)
+        total = np.zeros((max_len, len(shared.value) + 1), np.int64)
+        for b in parts:
+            texts = [t for t in b.column(0).to_pylist() if t]
+            for part in batches(texts):
+                lat = Lattice([texts[k] for k in part], table, max_len)
+                for k in range(max_len):
+                    total[k] += np.bincount(lat.ids[k][lat.pos > k] + 1, minlength=total.shape[1])
+        k, piece = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k + 1), pa.array(piece - 1), pa.array(total[k, piece])], ["len", "piece_id", "n"])
+
+    parts = map_arrow(spread(lines.select("line")), count, "len bigint, piece_id bigint, n bigint")
+    return parts.groupBy("len", "piece_id").agg(F.sum("n").alias("n"))
+
+
 def spans(lines: DataFrame, max_len: int) -> DataFrame:
     """(doc_id, line_no, start, len, piece) of every span of at most max_len characters, by built-in functions alone."""
     chars = spread(lines).select("doc_id", "line_no", characters(F.col("line")).alias("c"))

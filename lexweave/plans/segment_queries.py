@@ -96,15 +96,17 @@ def export_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = V.spans(lines_of(spark, sf_dir), MAX_LEN).join(F.broadcast(vocab(spark, sf_dir).select("piece", "piece_id")), "piece")
-    return found.groupBy("piece_id", "piece").agg(F.count("*").alias("matches"))
+    v = vocab(spark, sf_dir).select("piece_id", "piece")
+    counts = V.span_counts(lines_of(spark, sf_dir), [r.piece for r in v.orderBy("piece_id").collect()], MAX_LEN)
+    return counts.join(F.broadcast(v), "piece_id").select("piece_id", "piece", F.col("n").alias("matches"))
 
 
 def oov_span_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = vocab(spark, sf_dir).select("piece", T.quantize(F.col("logp")).cast("bigint").alias("logp_q"))
+    v = vocab(spark, sf_dir).select("piece_id", "piece", T.quantize(F.col("logp")).cast("bigint").alias("logp_q"))
+    counts = V.span_counts(lines_of(spark, sf_dir), [r.piece for r in v.orderBy("piece_id").collect()], MAX_LEN)
     luni = F.coalesce("logp_q", F.greatest(F.lit(-32768), UNK_BASE + UNK_PER_CP * F.col("len")))
-    found = V.spans(lines_of(spark, sf_dir), MAX_LEN).join(F.broadcast(known), "piece", "left")
-    return found.groupBy("len", F.col("logp_q").isNotNull().alias("known")).agg(F.count("*").alias("n"), F.sum(luni).cast("bigint").alias("sum_score"))
+    found = counts.join(F.broadcast(v), "piece_id", "left")
+    return found.groupBy("len", F.col("logp_q").isNotNull().alias("known")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * luni).cast("bigint").alias("sum_score"))
 
 
 def contexts(lines: DataFrame) -> DataFrame:

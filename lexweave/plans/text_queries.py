@@ -27,7 +27,7 @@ CHARS = LINES + """, chars AS (
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return C.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
