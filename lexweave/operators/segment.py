@@ -94,6 +94,49 @@ def tokenize_nbest(df: DataFrame, model: L.Model, n: int = 8, text: str = "line"
     return _mapped(df, text, model, "nbest array<struct<rank:int,score:bigint,tokens:array<string>>>", work)
 
 
+def emission_sums(df: DataFrame, model: L.Model, text: str = "line") -> DataFrame:
+    """df with the sums of the CRF's emissions of both labels over the text, and the greatest and least sum of label 0 up to a place."""
+
+    def work(m: L.Model, texts: list[str], b: pa.RecordBatch, rows: list[int]) -> tuple:
+        lat = L.Lattice(texts, m.table, 0)
+        e0, e1 = (m.emit[y][lat.class_codes()] for y in (0, 1))
+        first = lat.offs[:-1]
+        total = np.cumsum(e0)
+        run = total - np.repeat(total[first] - e0[first], lat.size)
+        out = (np.add.reduceat(e0, first), np.add.reduceat(e1, first), np.maximum.reduceat(run, first), np.minimum.reduceat(run, first))
+        return tuple(lat.unsorted(x.tolist()) for x in out)
+
+    return _mapped(df, text, model, "sum0 bigint; sum1 bigint; max_prefix bigint; min_prefix bigint", work)
+
+
+def segment_score_sums(lines: DataFrame, model: L.Model) -> DataFrame:
+    """(k, n, sum_score, max_score, min_score) of the CRF's scores of all spans of each length. Every task sends a row a length."""
+    import copy
+
+    crf = copy.copy(model)
+    crf.lambda0 = 0
+    shared = lines.sparkSession.sparkContext.broadcast(crf)
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        n, total = np.zeros(m.max_len, np.int64), np.zeros(m.max_len, np.int64)
+        top, low = np.full(m.max_len, -(1 << 62)), np.full(m.max_len, 1 << 62)
+        for b in parts:
+            texts = [t for t in b.column(0).to_pylist() if t]
+            for part in L.batches(texts):
+                lat = L.Lattice([texts[k] for k in part], m.table, m.max_len)
+                scores = lat.joint_scores(m)
+                for k in range(m.max_len):
+                    s = scores[k, lat.pos > k]
+                    if len(s):
+                        n[k], total[k], top[k], low[k] = n[k] + len(s), total[k] + s.sum(), max(top[k], s.max()), min(low[k], s.min())
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some + 1), *(pa.array(x[some]) for x in (n, total, top, low))], ["k", "n", "sum_score", "max_score", "min_score"])
+
+    rows = map_arrow(spread(lines.select("line")), work, "k bigint, n bigint, sum_score bigint, max_score bigint, min_score bigint")
+    return rows.groupBy("k").agg(*(f(c).alias(c) for f, c in ((F.sum, "n"), (F.sum, "sum_score"), (F.max, "max_score"), (F.min, "min_score"))))
+
+
 def seed_of(base: int, *keys: Column) -> Column:
     """A seed from 1 to 2**32 - 1 for each row, by its keys alone, so that no order of rows matters."""
     return (F.pmod(F.xxhash64(F.lit(base), *keys), F.lit(0xFFFFFFFF)) + 1).cast("bigint")

@@ -87,6 +87,20 @@ def uncovered(lines: DataFrame, vocab: DataFrame) -> DataFrame:
     return each.join(F.broadcast(vocab.select(F.col("piece").alias("ch"))), "ch", "left_anti").groupBy("ch").agg(F.count("*").alias("lines"))
 
 
+def precheck(lines: DataFrame, vocab: DataFrame, most: int, max_len: int) -> None:
+    """Raises NoCover where some of the first lines can't be made of the pieces, before any pass over all of them."""
+    first = lines.orderBy("doc_id", "line_no").limit(most)
+    pieces = [r[0] for r in vocab.select("piece").collect()]
+    missed = e_step(first, pieces, np.zeros(len(pieces)), max_len).filter("piece_id = -4").first()
+    if missed and missed[1]:
+        _no_cover(first, vocab, int(missed[1]))
+
+
+def _no_cover(lines: DataFrame, vocab: DataFrame, n: int) -> None:
+    missing = uncovered(lines, vocab).orderBy(F.desc("lines")).limit(5).collect()
+    raise NoCover(f"{n} lines can't be covered; characters without a piece: {[r[0] for r in missing]}")
+
+
 @dataclass
 class EmStep:
     loglik: float
@@ -105,8 +119,7 @@ def em_train(lines: DataFrame, vocab: DataFrame, config: TrainConfig) -> tuple[D
         pieces, logp = now["piece"].tolist(), now["logp"].to_numpy()
         got = {int(r[0]): r[1] for r in e_step(lines, pieces, logp, config.max_piece_len).collect()}
         if got.get(-4, 0):
-            missing = uncovered(lines, spark.createDataFrame(now[["piece"]])).orderBy(F.desc("lines")).limit(5).collect()
-            raise NoCover(f"{int(got[-4])} lines can't be covered; characters without a piece: {[r[0] for r in missing]}")
+            _no_cover(lines, spark.createDataFrame(now[["piece"]]), int(got[-4]))
         now["cnt"] = [got.get(k, 0.0) for k in range(len(pieces))]
         frame = V.m_step(spark.createDataFrame(now))
         kept = V.mdl_prune(frame, config.vocab, config.mdl_lambda0, config.mdl_lambda_len)
@@ -128,14 +141,18 @@ def induce(docs: DataFrame, config: TrainConfig) -> tuple[DataFrame, DataFrame]:
     if config.skip_long_cp:
         mapped = mapped.filter(F.char_length("line") <= config.max_sentence_cp)
     mapped = spread(mapped).persist(StorageLevel.MEMORY_AND_DISK)
-    grams = V.ngram_counts(V.byte_budget(mapped, config.sample_bytes), 2, config.max_piece_len, config.min_count, config.fallback_char)
-    singles = V.codepoint_counts(mapped).select("ch", "cnt")
+    singles = V.codepoint_counts(mapped)
+    grams = V.ngram_counts(V.byte_budget(mapped, config.sample_bytes), 2, config.max_piece_len, config.min_count, config.fallback_char, V.start_filter(singles))
+    singles = singles.select("ch", "cnt")
     return mapped, V.vocabulary(singles, V.candidates(grams, config.cand_total, config.max_piece_len))
 
 
 def train(docs: DataFrame, config: TrainConfig = TrainConfig(), gold: DataFrame | None = None, crf_config: tuple | None = None) -> tuple[L.Model, list[EmStep]]:
     """A joint model of a table of documents; gold, if given, has lines of tokens apart by blanks, crf_config is what parse_crf_config gives."""
     lines, first = induce(docs, config)
+    first = V.settled(first)
+    if config.precheck_lines:
+        precheck(lines, first, config.precheck_lines, config.max_piece_len)
     trained, history = em_train(lines, first, config)
     chosen = V.export_selection(trained, config.keep_single_top).orderBy("piece_id").toPandas()
     if len(chosen) > 0xFFFE:

@@ -100,14 +100,28 @@ def candidates(counts: DataFrame, total: int = 50_000, max_len: int = 8) -> Data
     return top_per_length(counts, per).drop("rank").orderBy(F.desc("cnt"), "n", "piece").limit(total)
 
 
+def start_filter(counts: DataFrame) -> str:
+    """Which characters may not begin a piece: ASCII punctuation and blanks, or blanks alone where nothing else is there, or none."""
+    cp = F.col("cp")
+    space = cp.isin(9, 10, 13, 32)
+    punct = cp.between(33, 47) | cp.between(58, 64) | cp.between(91, 96) | cp.between(123, 126)
+    plain, marks = counts.agg(F.count_if(~space & ~punct), F.count_if(punct)).first()
+    return "punct" if plain else "space" if marks else "none"
+
+
 def byte_budget(lines: DataFrame, budget: int) -> DataFrame:
     """The first lines, in the order of (doc_id, line_no), until their bytes and newlines reach the budget.
 
-    Sizes are summed by document first, so that only one row a document is ordered in one place.
+    Only as many of the first documents as the budget needs, by their mean size and then twice as many, are ordered.
     """
     sizes = lines.withColumn("bytes", F.octet_length("line") + 1)
     docs = sizes.groupBy("doc_id").agg(F.sum("bytes").alias("doc_bytes"))
-    upto = docs.withColumn("before", F.sum("doc_bytes").over(Window.orderBy("doc_id")) - F.col("doc_bytes")).filter(F.col("before") < budget).drop("doc_bytes")
+    n, total = docs.agg(F.count("*"), F.sum("doc_bytes")).first()
+    most = n if not n or total <= budget else min(n, int(1.2 * budget * n / total) + 100)
+    while most < n and docs.orderBy("doc_id").limit(most).agg(F.sum("doc_bytes")).first()[0] < budget:
+        most = min(n, 2 * most)
+    first = docs.orderBy("doc_id").limit(most)
+    upto = first.withColumn("before", F.sum("doc_bytes").over(Window.orderBy("doc_id")) - F.col("doc_bytes")).filter(F.col("before") < budget).drop("doc_bytes")
     inner = Window.partitionBy("doc_id").orderBy("line_no")
     some = sizes.join(upto, "doc_id").withColumn("at", F.col("before") + F.sum("bytes").over(inner) - F.col("bytes"))
     return some.filter(F.col("at") < budget).select("doc_id", "line_no", "line")

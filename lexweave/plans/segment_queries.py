@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
@@ -140,26 +140,16 @@ def crf_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triples.join(emissions(spark, triples), ["prev", "cur", "nxt"])
 
 
-def _running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    all_ = contexts(lines_of(spark, sf_dir))
-    ids = lambda name, values: F.explode(F.lit(list(values)).cast("array<bigint>")).alias(name)
-    codes = spark.range(1).select(ids("prev", R.PREV)).select("prev", ids("cur", R.CUR)).select("prev", "cur", ids("nxt", R.NEXT))
-    table = emissions(spark, codes)
-    w = Window.partitionBy("doc_id", "line_no").orderBy("pos")
-    return all_.join(F.broadcast(table), ["prev", "cur", "nxt"]).withColumn("r", F.sum("emit0").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def _crf_only() -> L.Model:
+    return L.Model([], np.zeros(0, np.int64), R.CrfWeights.preset().quantized(), MAX_LEN)
 
 
 def emission_prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _running(spark, sf_dir).groupBy("doc_id", "line_no").agg(F.sum("emit0").alias("sum0"), F.sum("emit1").alias("sum1"), F.max("r").alias("max_prefix"), F.min("r").alias("min_prefix"))
+    return S.emission_sums(lines_of(spark, sf_dir), _crf_only()).drop("line")
 
 
 def segment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("doc_id", "line_no").orderBy("pos")
-    run = _running(spark, sf_dir).select("emit1", "r", *(F.lead("r", k - 1).over(w).alias(f"r{k}") for k in range(2, MAX_LEN + 1)))
-    cols = [F.struct(F.lit(1).cast("bigint").alias("k"), (F.col("emit1") - 154).alias("s"))]
-    cols += [F.struct(F.lit(k).cast("bigint").alias("k"), (F.col("emit1") + F.col(f"r{k}") - F.col("r") + 51 * (k - 2) - 102).alias("s")) for k in range(2, MAX_LEN + 1)]
-    each = run.select(F.explode(F.array(*cols)).alias("x")).select("x.k", "x.s").filter("s is not null")
-    return each.groupBy("k").agg(F.count("*").alias("n"), F.sum("s").cast("bigint").alias("sum_score"), F.max("s").alias("max_score"), F.min("s").alias("min_score"))
+    return S.segment_score_sums(lines_of(spark, sf_dir), _crf_only())
 
 
 def feature_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
