@@ -4,7 +4,7 @@ Every document gets a row of statistics (sizes, shares of letter kinds, repetiti
 belong to word lists learnt from the labels). cos(xW + b) approximates a Gaussian kernel over them. Each partition
 sums Z'Z and Z'Y of its labelled documents; the driver adds these matrices and solves two ridge regressions, for
 `quality` and for `toxic`. Scores of labelled documents that were held out are calibrated by isotonic regression.
-A document is rejected if its calibrated quality is under 0.5 or its calibrated toxicity is 0.5 or more.
+A document is rejected if its calibrated quality is under 0.5 or its calibrated toxicity is over 0.5.
 
 The classifier is fitted on at most `FIT_ROWS` labelled documents, those with the least hash of doc_id; every other
 step covers every document and whole texts.
@@ -31,7 +31,8 @@ from lexweave.ship import map_arrow
 
 FIT_ROWS = 20_000
 FEATURES = 256
-GAMMA = 0.04
+GAMMA = 0.03
+CLIP = 3.0  # standard deviations: texts of no usual size are still compared by their other statistics
 RIDGE = 1.0
 BUCKETS = 1 << 18
 WORD_PARTS, RIDGE_PARTS, CALIBRATION_PART = (1, 2), (3, 4), 0  # of the fifths of the labelled documents: no part is used twice
@@ -47,17 +48,18 @@ STATISTICS = 16
 
 
 class Lexicon(NamedTuple):
-    """Marks of word buckets: of low quality, of high quality, toxic."""
+    """Words of low quality and toxic ones, as marked buckets: a word is listed if both of its buckets are marked, so that one that shares a bucket with a listed word isn't taken for it."""
 
-    low: np.ndarray
+    low: np.ndarray  # (2, BUCKETS)
     toxic: np.ndarray
 
 
-EMPTY = Lexicon(np.zeros(BUCKETS, bool), np.zeros(BUCKETS, bool))
+def buckets(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (h >> np.uint64(46)).astype(np.int64), (h >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(46)).astype(np.int64)
+def listed(marks: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return marks[0][at[0]] & marks[1][at[1]]
 
 
 def _per_row(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -77,9 +79,9 @@ def statistics(data: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np.ndarr
         count = np.diff(w.rows)
         m = np.maximum(count, 1)
         distinct, rows = distinct_in_rows(w.hash, w.rows)
-        at = bucket(distinct)
+        at = buckets(distinct)
         kinds = np.diff(rows)
-        toxic, low = _per_row(lexicon.toxic[at], rows), _per_row(lexicon.low[at], rows)
+        toxic, low = _per_row(listed(lexicon.toxic, at), rows), _per_row(listed(lexicon.low, at), rows)
         shares = {k: _per_row((d >= a) & (d < b), o) / n for k, a, b in _COUNTED}
         same = np.zeros(len(w.hash), bool)
         same[1:] = w.hash[1:] == w.hash[:-1]
@@ -112,7 +114,7 @@ def _projection(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
 
 def features(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     w, b = _projection()
-    z = np.cos(np.clip((x - mean) / scale, -6, 6) @ w + b) * np.sqrt(2 / FEATURES)
+    z = np.cos(np.clip((x - mean) / scale, -CLIP, CLIP) @ w + b) * np.sqrt(2 / FEATURES)
     return np.concatenate([z, np.ones((len(x), 1))], axis=1)
 
 
@@ -132,11 +134,11 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs, np.repeat([b[0] for b in blocks], 2)
 
 
-def _rounds(rows: DataFrame, run) -> np.ndarray | None:
-    """The sum over partitions of the float64 arrays that run yields."""
+def _rounds(rows: DataFrame, run, kind: type = np.float64) -> np.ndarray | None:
+    """The sum over partitions of the arrays that run yields."""
     total = None
     for r in map_arrow(rows, run, "part binary").toLocalIterator():
-        a = np.frombuffer(r["part"])
+        a = np.frombuffer(r["part"], kind).astype(float)
         total = a.copy() if total is None else total + a
     return total
 
@@ -157,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model | Non
 
         def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # documents of each bucket by (low quality, toxic) = 00, 01, 10, 11, and their number
-            seen, n = np.zeros((4, BUCKETS)), np.zeros(4)
+            seen, n = np.zeros((4, 2, BUCKETS)), np.zeros(4)
             for b in batches:
                 data, offs = string_bytes(b.column(0))
                 kind = (1 - np.clip(b.column(1).to_numpy(), 0, 1)) * 2 + np.clip(b.column(2).to_numpy(), 0, 1)
@@ -166,14 +168,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model | Non
                     w = words(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                     h, rows = distinct_in_rows(w.hash, w.rows)
                     k, ok = np.repeat(kind[lo:hi], np.diff(rows)), np.repeat(free[lo:hi], np.diff(rows))
-                    np.add.at(seen.ravel(), (k * BUCKETS + bucket(h))[ok], 1)
+                    for j, at in enumerate(buckets(h)):
+                        seen[:, j] += np.bincount((k * BUCKETS + at)[ok], minlength=4 * BUCKETS).reshape(4, BUCKETS)
                 n += np.bincount(kind[free], minlength=4)
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([n, seen.ravel()]).tobytes()], pa.binary())], ["part"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([n, seen.ravel()]).astype(np.float32).tobytes()], pa.binary())], ["part"])
 
-        total = _rounds(train.coalesce(8), vocabulary)
+        total = _rounds(train.coalesce(8), vocabulary, np.float32)
         if total is None:
             return None
-        n, seen = total[:4], total[4:].reshape(4, BUCKETS)
+        n, seen = total[:4], total[4:].reshape(4, 2, BUCKETS)
         lexicon = Lexicon(*(_marked(seen[list(a)].sum(0), n[list(a)].sum(), seen[list(b)].sum(0), n[list(b)].sum()) for a, b in (((2, 3), (0, 1)), ((1, 3), (0, 2)))))
 
         def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,11 +227,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model | Non
 
 
 def _marked(with_: np.ndarray, n: float, without: np.ndarray, m: float) -> np.ndarray:
-    """Buckets that stand in enough documents of the first kind and far more often than in the second."""
+    """Buckets that stand in enough documents of the first kind and far more often than in the second, by more than so many buckets would show by chance."""
     if not n or not m:
-        return np.zeros(BUCKETS, bool)
+        return np.zeros(with_.shape, bool)
     odds = np.log((with_ + 0.5) / (n + 1)) - np.log((without + 0.5) / (m + 1))
-    return (with_ >= min(MIN_DOCS, n)) & (odds >= MIN_ODDS)
+    both = with_ + without
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = with_ * np.log(with_ / (both * n / (n + m))) + np.where(without > 0, without * np.log(without / (both * m / (n + m))), 0)
+    return (with_ >= min(MIN_DOCS, n)) & (odds >= MIN_ODDS) & (g >= np.log(max((both > 0).sum() / 2, 1)) + 2)
 
 
 def predict(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,11 +265,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier doesn't reject. Columns as in docs."""
     found, _ = scores(spark, docs, table(spark, sf_dir, "labels"))
     q, t = found.columns[:2]
-    return found.filter((column(found, q) >= 0.5) & (column(found, t) < 0.5)).drop(q, t)
+    return found.filter((column(found, q) >= 0.5) & (column(found, t) <= 0.5)).drop(q, t)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its calibrated quality and toxicity, and whether it stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found, _ = scores(spark, docs, table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "quality", "toxicity", F.expr("quality >= 0.5 and toxicity < 0.5").alias("keep"))
+    return found.select("doc_id", "quality", "toxicity", F.expr("quality >= 0.5 and toxicity <= 0.5").alias("keep"))
