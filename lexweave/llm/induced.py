@@ -8,6 +8,10 @@ A pass goes through ranges of first tokens of about `block` suffixes. A queue ke
 suffix, position) by range, and moves what is over `memory` tuples to files in a folder. All tuples of a range are taken
 together: those that are induced within it are added in waves, and one sort with pointer doubling along the chains
 of induction puts them in order, so a pass has no step for a single suffix.
+
+Common-prefix values go the same way: neighbours that were induced by two suffixes share one token more than the least
+value between those two, S* neighbours as many tokens as their common names cover and what the next names share, and where the
+L and the S suffixes of a token meet, the shorter run of it counts. Values are capped, and take a byte each.
 """
 
 from __future__ import annotations
@@ -142,11 +146,11 @@ def _ranges(t: np.ndarray, block: int) -> np.ndarray:
     return np.cumsum(count) // block
 
 
-def _pass(t: np.ndarray, mine: np.ndarray, seeds: np.ndarray, range_of: np.ndarray, sign: int, folder: str | None, memory: int) -> np.ndarray:
-    """One pass: the suffixes that `mine` marks, induced, with the seeds in between, in order (ascending for sign 1, descending for -1)."""
+def _pass(t: np.ndarray, mine: np.ndarray, seeds: np.ndarray, range_of: np.ndarray, sign: int, folder: str | None, memory: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One pass: the suffixes that `mine` marks, induced, with the seeds in between, in order (ascending for sign 1, descending for -1); which are seeds; the place of each one's inducer, or of the seed among the seeds."""
     last = int(range_of.max())
     flip = (lambda x: x) if sign > 0 else (lambda x: last - x)
-    queue, out, done = Queue(folder, memory), [], 0
+    queue, out, done = Queue(folder, memory), ([], [], []), 0
     seed_range = flip(range_of[t[seeds]])
     cut = np.searchsorted(seed_range, np.arange(last + 2))
     for r in range(last + 1):
@@ -179,32 +183,122 @@ def _pass(t: np.ndarray, mine: np.ndarray, seeds: np.ndarray, range_of: np.ndarr
         place[order] = np.arange(len(at)) + done
         for of, before, to in pushed:
             queue.push(to, t[before], place[of], before)
-        out.append(at[order])
+        by = np.where(parent >= 0, place[np.maximum(parent, 0)], fixed)
+        by[len(got) : len(got) + len(own)] += cut[r]
+        for part, values in zip(out, (at, kind, by)):
+            part.append(values[order])
         done += len(at)
-    return np.concatenate(out)
+    return tuple(np.concatenate(x) for x in out)
+
+
+class RangeLeast:
+    """The least value of any range, by the least values of all ranges whose size is a power of two."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.levels = [values]
+        while len(self.levels[-1]) > 1 << len(self.levels) - 1:
+            v, step = self.levels[-1], 1 << len(self.levels) - 1
+            self.levels.append(np.minimum(v[:-step], v[step:]))
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Over lo .. hi, both of them in it."""
+        level = np.frexp((hi - lo + 1).astype(float))[1] - 1
+        out = np.empty(len(lo), self.levels[0].dtype)
+        for k in np.unique(level):
+            at = np.flatnonzero(level == k)
+            v = self.levels[k]
+            out[at] = np.minimum(v[lo[at]], v[hi[at] - (1 << int(k)) + 1])
+        return out
+
+
+def _run_lengths(t: np.ndarray) -> np.ndarray:
+    """How often each suffix's first token stands at its beginning."""
+    end = np.flatnonzero(np.append(t[1:] != t[:-1], True))
+    return end[np.searchsorted(end, np.arange(len(t)))] - np.arange(len(t)) + 1
+
+
+def _carried(t: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], seed_values: np.ndarray, run: np.ndarray, most: int) -> np.ndarray:
+    """The common-prefix value of each suffix of a pass with the one before it; seed_values has those of the seeds with the seed before."""
+    at, kind, by = found
+    values = np.zeros(len(at), np.uint8)
+    same = np.zeros(len(at), bool)
+    same[1:] = t[at[1:]] == t[at[:-1]]
+    seeds = np.flatnonzero(same & (kind == 1) & np.append(False, kind[:-1] == 1))
+    values[seeds] = seed_values[by[seeds]]
+    seam = np.flatnonzero(same & np.append(False, kind[1:] != kind[:-1]))
+    values[seam] = np.minimum(np.minimum(run[at[seam]], run[at[seam - 1]]), most)
+    open_ = np.flatnonzero(same & (kind == 0) & np.append(False, kind[:-1] == 0))
+    values[open_] = most
+    lo, hi = by[open_ - 1] + 1, by[open_]
+    while len(open_):  # from above: each round settles one more step of the chains of induction
+        new = np.minimum(RangeLeast(values).of(lo, hi).astype(np.int64) + 1, most).astype(np.uint8)
+        if (new == values[open_]).all():
+            break
+        values[open_] = new
+    return values
+
+
+def _compared(t: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    out, live = np.zeros(len(a), np.int64), np.arange(len(a))
+    for d in range(most):
+        x, y = a[live] + d, b[live] + d
+        ok = (x < len(t)) & (y < len(t))
+        live, x, y = live[ok], x[ok], y[ok]
+        live = live[t[x] == t[y]]
+        if not len(live):
+            break
+        out[live] = d + 1
+    return out
 
 
 def suffix_array(tokens: np.ndarray, folder: str | None = None, block: int = BLOCK, memory: int = MEMORY) -> np.ndarray:
     """The starts of all suffixes of tokens (0 or more each) in order; a suffix is less than a longer one that it begins. folder: a URI for the queues' files."""
     if len(tokens) < 2:
         return np.arange(len(tokens))
-    distinct, number = np.unique(tokens, return_inverse=True)
-    return _sorted(np.append(number + 1, 0), folder, block, memory)[1:]
+    _, number = np.unique(tokens, return_inverse=True)
+    return _sorted(np.append(number + 1, 0), folder, block, memory, 0)[0][1:]
+
+
+def suffix_array_lcp(tokens: np.ndarray, most: int, folder: str | None = None, block: int = BLOCK, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
+    """suffix_array, and how many tokens each suffix has in common with the one before it, up to `most` (254 at most)."""
+    if len(tokens) < 2:
+        return np.arange(len(tokens)), np.zeros(len(tokens), np.uint8)
+    _, number = np.unique(tokens, return_inverse=True)
+    sa, lcp = _sorted(np.append(number + 1, 0), folder, block, memory, most)
+    return sa[1:], np.append(np.uint8(0), lcp[2:])
 
 
-def _sorted(t: np.ndarray, folder: str | None, block: int, memory: int) -> np.ndarray:
+def _sorted(t: np.ndarray, folder: str | None, block: int, memory: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     s = types(t)
     star = np.flatnonzero(s[1:] & ~s[:-1]) + 1
     if not len(star):
-        return np.arange(len(t))[::-1].copy() if not s[:-1].any() else np.argsort(t, kind="stable")
+        sa = np.arange(len(t))[::-1].copy() if not s[:-1].any() else np.argsort(t, kind="stable")
+        return sa, np.append(0, _compared(t, sa[:-1], sa[1:], most)).astype(np.uint8)
     name = names(t, s, star)
-    if len(np.unique(name)) == len(star):
-        order = np.argsort(name, kind="stable")
+    ranks = np.unique(name, return_inverse=True)[1]
+    if ranks.max() + 1 == len(star):
+        order, common = np.argsort(name, kind="stable"), np.zeros(len(star), np.int64)
     else:
-        order = _sorted(np.unique(name, return_inverse=True)[1], folder, block, memory)
+        order, common = _sorted(ranks, folder, block, memory, most)
+    star_values = np.zeros(len(star), np.int64)
+    if most:
+        a, b, r = order[:-1], order[1:], common[1:].astype(np.int64)
+        # r common names cover the tokens up to where the next ones begin; a capped r covers more than `most`
+        after = np.minimum(a + r, len(star) - 1)
+        covered = star[after] - star[a]
+        rest = _compared(t, star[after], star[np.minimum(b + r, len(star) - 1)], most)
+        star_values[1:] = np.minimum(np.where(r >= most, most, covered + rest), most)
     range_of = _ranges(t, block)
     low = _pass(t, ~s, star[order], range_of, 1, folder, memory)
-    low = low[~s[low]]
+    is_l = ~s[low[0]]
+    run = _run_lengths(t) if most else t
+    low_values = _carried(t, low, star_values.astype(np.uint8), run, most)[is_l] if most else None
     # descending: the L suffixes in between are the seeds, the sentinel comes last of all
-    high = _pass(t, np.append(s[:-1], False), low[::-1].copy(), range_of, -1, folder, memory)
-    return np.append(high, len(t) - 1)[::-1].copy()
+    seeds = low[0][is_l][::-1].copy()
+    high = _pass(t, np.append(s[:-1], False), seeds, range_of, -1, folder, memory)
+    sa = np.append(high[0], len(t) - 1)[::-1].copy()
+    if not most:
+        return sa, np.zeros(0, np.uint8)
+    # the value of a seed with the one before it, descending, is that of the one before with it, ascending
+    values = _carried(t, high, np.append(np.uint8(0), low_values[::-1][:-1]), run, most)
+    return sa, np.r_[np.zeros(2, np.uint8), values[:0:-1]]

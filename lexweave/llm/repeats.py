@@ -3,8 +3,8 @@
 Two passages of WORDS words that are equal have the same least hash among their runs of `RUN` words. Texts are cut where
 that least hash changes as a window moves over them, so equal passages meet at the same hash wherever they stand. Hashes
 that only one document has lead nowhere. The pieces of text of all others, each with the WORDS - 1 words after it, go to the
-shard of their hash, and there the suffixes of the distinct pieces are sorted (see induced.py); neighbours that agree in
-WORDS words are the same passage. A shard's queues move to files in the shared folder where memory doesn't hold them.
+shard of their hash, and there the suffixes of the distinct pieces are sorted, with common-prefix values (see induced.py);
+neighbours that agree in WORDS words are the same passage. A shard's queues move to files in the shared folder where memory doesn't hold them.
 
 A passage is a repeat in every document that has it but the one of the lowest doc_id; repeats within one document alone
 don't count. Rows are maximal: of consecutive places whose passage the same document has first.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm.core import _P, Buckets, by_bucket, chunks, column, grams, mix, partitions, powers, shared_dir, spread, stored, string_bytes, table, words
-from lexweave.llm.induced import suffix_array
+from lexweave.llm.induced import suffix_array_lcp
 from lexweave.llm.suffixes import joined
 from lexweave.ship import map_arrow
 
@@ -80,7 +80,7 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
-def spans_of(piece: np.ndarray, tokens: np.ndarray, most: int, sort=suffix_array) -> np.ndarray:
+def spans_of(piece: np.ndarray, tokens: np.ndarray, most: int, sort=suffix_array_lcp) -> np.ndarray:
     """A shard's repeats as SPANs of places."""
     if not len(piece):
         return np.empty(0, SPAN)
@@ -94,18 +94,14 @@ def spans_of(piece: np.ndarray, tokens: np.ndarray, most: int, sort=suffix_array
     # each distinct piece's first document, and its place there
     order = np.lexsort((piece["place"], piece["doc"], of))
     lead = order[np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])]
-    sa = sort(text)
+    sa, common = sort(text, most)
     begin = rows[:-1] + np.arange(len(one))
     which = np.searchsorted(begin, sa, side="right") - 1
     off = sa - begin[which]
-    ok = off < piece["places"][one][which]
-    sa, which, off = sa[ok], which[ok], off[ok]
-    same = np.ones(max(len(sa) - 1, 0), bool)
-    live = np.arange(len(same))
-    for d in range(most):
-        live = live[text[sa[live] + d] == text[sa[live + 1] + d]]
-    same[:] = False
-    same[live] = True
+    at = np.flatnonzero(off < piece["places"][one][which])
+    # neighbours agree as far as all suffixes from the one to the other do
+    same = np.minimum.reduceat(common[: at[-1] + 1], at[:-1] + 1) >= most if len(at) > 1 else np.zeros(0, bool)
+    sa, which, off = sa[at], which[at], off[at]
     group = np.r_[0, np.cumsum(~same)]
     cut = np.flatnonzero(np.r_[True, ~same])
     doc, place = piece["doc"][lead][which], piece["place"][lead][which] + off
@@ -203,7 +199,7 @@ def repeated(docs: DataFrame, most: int = WORDS, run: int = RUN) -> DataFrame:
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Buckets(count)
         for got in by_bucket(batches, {0: PIECE, 1: TOKEN}):
-            s = spans_of(got[0], got[1], most, lambda t: suffix_array(t, folder))
+            s = spans_of(got[0], got[1], most, lambda t, n: suffix_array_lcp(t, n, folder))
             out.add(0, mix(s["doc"].view(np.uint64) if s["doc"].flags.c_contiguous else s["doc"].astype(np.uint64)), s)
             if out.full():
                 yield from out.flush()

@@ -323,6 +323,24 @@ def test_suffix_arrays(sort):
         assert sort(x).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
 
 
+def test_common_prefixes():
+    rng = random.Random(1)
+    for _ in range(400):
+        n, k = rng.randrange(0, 60), rng.choice([1, 2, 5, 100])
+        x = np.array([rng.randrange(k) for _ in range(n)], np.int64)
+        if n > 8 and rng.random() < 0.3:
+            x[n // 2 : n // 2 + n // 4] = x[: n // 4]
+        most = rng.choice([1, 2, 5, 50, 254])
+        sa, lcp = induced.suffix_array_lcp(x, most, None, rng.choice([1, 3, 10, 1000]), 1000)
+        want = sorted(range(n), key=lambda i: x[i:].tolist())
+        shared = [0] * n
+        for j in range(1, n):
+            a, b = want[j - 1], want[j]
+            while shared[j] < most and max(a, b) + shared[j] < n and x[a + shared[j]] == x[b + shared[j]]:
+                shared[j] += 1
+        assert sa.tolist() == want and lcp.tolist() == shared
+
+
 def test_induced_with_files(tmp_path):
     x = np.random.default_rng(0).integers(0, 3, 5000)
     assert (induced.suffix_array(x, f"file://{tmp_path}", 100, 50) == suffixes.suffix_array(x)).all()
