@@ -171,7 +171,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def column(df: DataFrame, name: str):
     """A column by its exact name, also when other columns differ from it only in case or hold dots."""
-    return F.col(f"`{name}`")
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -21,10 +21,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexweave.llm.core import column, table
 from lexweave.ship import map_arrow

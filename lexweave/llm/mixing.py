@@ -117,12 +117,12 @@ def mix_sources(docs: DataFrame, target: float = ENTROPY, most: float = REPEATS,
     now, end = F.struct(last.alias("o"), c["block"].alias("block")), F.struct(c["mix_cut"]["o"].alias("o"), c["mix_cut"]["block"].alias("block"))
     taken = (now < end) | ((now == end) & upto_.isNotNull() & (F.struct(c["place"].alias("place"), id_.alias("id")) <= upto_))
     out = placed(final).withColumn(names["epoch"], F.explode(F.sequence(F.lit(1), c["mix_whole"] + F.when(taken, 1).otherwise(0))))
-    return out.withColumn(names["block_order"], order(c["epoch"])).select(*(F.col(f"`{n}`") for n in docs.columns), *(c[k] for k in ("epoch", "block", "block_order", "place")))
+    return out.withColumn(names["block_order"], order(c["epoch"])).select(*(column(docs, n) for n in docs.columns), *(c[k] for k in ("epoch", "block", "block_order", "place")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as their source's quota has them. Columns as in docs."""
-    return mix_sources(docs).select(*(F.col(f"`{n}`") for n in docs.columns))
+    return mix_sources(docs).select(*(column(docs, n) for n in docs.columns))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

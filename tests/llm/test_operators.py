@@ -11,7 +11,7 @@ from lexweave.llm import ctph, induced, linededup, lmscore, matroska, mixing, pa
 from lexweave.llm.core import string_bytes, words
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-CLASH = ["code", "keep", "copies", "group_id", "quality", "toxicity", "epoch", "block", "place", "bin", "shard", "line_no", "hash", "print", "doc", "doc_of", "hash_of", "gone_lines", "emptied", "mix_source", "piece", "size"]
+CLASH = ["code", "keep", "copies", "group_id", "quality", "toxicity", "epoch", "block", "place", "bin", "shard", "line_no", "hash", "print", "doc", "doc_of", "hash_of", "gone_lines", "emptied", "mix_source", "piece", "size", "a.b", "odd `name`"]
 RNG = random.Random(7)
 VOCABULARY = ["".join(RNG.choice("abcdefghijklmnop") for _ in range(RNG.randrange(2, 9))) for _ in range(3000)]
 
@@ -64,7 +64,7 @@ def test_stages_keep_the_columns(spark, docs, none, labels_dir, stage):
     out = stage(spark, docs, labels_dir)
     assert out.columns == docs.columns
     assert out.count() <= 4 * len(ROWS)
-    assert {r.code for r in out.collect()} <= {"code"}
+    assert {(r["code"], r["odd `name`"]) for r in out.collect()} <= {("code", "odd `name`")}
     assert stage(spark, none, labels_dir).columns == docs.columns
     assert stage(spark, none, labels_dir).count() == 0
 
