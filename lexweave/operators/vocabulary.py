@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import characters, code_point
@@ -223,8 +223,3 @@ def spans(lines: DataFrame, max_len: int) -> DataFrame:
     each = window.select("doc_id", "line_no", "start", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("len"))
     return each.select("doc_id", "line_no", F.col("start").cast("bigint").alias("start"), F.col("len").cast("bigint").alias("len"), F.array_join(F.expr("slice(w, 1, len)"), "").alias("piece"))
 
-
-def occurrences(lines: DataFrame, key: str) -> Column:
-    """How often key stands in a line, overlapping occurrences too."""
-    n = len(key)
-    return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.char_length("line") - n + 1, F.lit(1))), lambda k: F.substring(F.col("line"), k, n) == key))

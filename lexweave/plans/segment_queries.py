@@ -216,8 +216,8 @@ def crf_empirical_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prev, nxt = F.concat(F.array(F.lit(L.BOS)), F.slice("cls", F.lit(1), n - 1)), F.concat(F.slice("cls", F.lit(2), n - 1), F.array(F.lit(L.EOS)))
     y_next = F.concat(F.slice("y", F.lit(2), n - 1), F.array(F.lit(1)))
     rows = spread(gold).select(F.explode(F.arrays_zip(prev.alias("p"), F.col("cls").alias("c"), nxt.alias("n"), F.col("y").alias("y"), y_next.alias("z"))).alias("r")).groupBy("r").agg(F.count("*").alias("m"))
-    p, c, x, y, z, zero = (F.col(f"r.{k}") for k in ("p", "c", "n", "y", "z")), None, None, None, None, F.lit(0)
-    p, c, x, y, z = p
+    zero = F.lit(0)
+    p, c, x, y, z = (F.col(f"r.{k}") for k in ("p", "c", "n", "y", "z"))
     key = lambda t, a, b: T.feature_key(F.lit(t), y, a, b)
     keys = F.array(key(0, c, zero), key(1, p, zero), key(2, x, zero), key(3, p, c), key(4, c, x), (-1 - 2 * y - z).cast("bigint"))
     return rows.select(F.explode(keys).alias("key"), "m").groupBy("key").agg(F.sum("m").alias("cnt"))

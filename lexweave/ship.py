@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 HERE = Path(__file__).parent
@@ -25,6 +27,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """df.mapInArrow with the package at hand in the workers."""
+    """df.mapInArrow with the package at hand in the workers, and with columns of any name."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    if all(re.fullmatch(r"\w+", c) for c in df.columns):
+        return df.mapInArrow(function, schema)
+    names = df.columns
+
+    def renamed(batches):
+        return function(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(renamed, schema)
