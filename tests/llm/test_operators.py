@@ -409,6 +409,30 @@ def test_lm_by_brute_force(spark, shard):
             assert got[k].longest_context == max(contexts) and abs(got[k].mean_context - np.mean(contexts)) < 1e-9
 
 
+def test_lm_of_every_document_by_brute_force(spark, docs, none):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 30))) for _ in range(30)]
+    texts += [texts[3], texts[4] + " a b", "q r s " + texts[4], prose(70, rng), "a " * 20, "a " * 17, None, ""]
+    texts.append(texts[33] + " z " + texts[33])
+    texts.append("zz " + texts[33])
+    got = {r.doc_id: r for r in lmscore.own_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3), "doc_id").collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        if not t:
+            assert got[k].words == 0 and got[k].log_probability is None
+            continue
+        want, contexts = lm_brute(t.split(), [x for j, x in enumerate(texts) if x and j != k])
+        assert abs(got[k].log_probability - want) < 1e-9
+        assert got[k].longest_context == max(contexts) and abs(got[k].mean_context - np.mean(contexts)) < 1e-9
+    assert lmscore.own_scores(none, "doc_id").count() == 0
+
+
+def test_lm_query_scores_all_documents(spark):
+    got = lmscore.op3_lm_scoring(spark, "/root/testdata/sf0.001")
+    want = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert got.count() == want.select("doc_id").distinct().count() and set(r.doc_id for r in got.collect()) == set(r.doc_id for r in want.collect())
+
+
 def test_lm_sums_to_one():
     texts = ["a b a c", "b a"]
     total = sum(np.exp(lm_brute(["b", w], texts)[0] - lm_brute(["b"], texts)[0]) for w in "abc") + np.exp(lm_brute(["b", "z"], texts)[0] - lm_brute(["b"], texts)[0])
