@@ -1,4 +1,4 @@
-"""Document fingerprints by context-triggered piecewise hashing, and each document's first match.
+"""Document fingerprints by context-triggered piecewise hashing, and all pairs that match.
 
 A rolling hash of the last 7 bytes ends a piece where it is -1 modulo the block size 3 * 2**k. Each piece gives one of 64
 letters by a hash of its bytes; the letters are the text's signature at that block size. k is the least at which the
@@ -6,10 +6,13 @@ signature has at most 64 letters; the one at k + 1 is kept besides. Texts are co
 common block size: k equal, or one apart. Their score is 100 * (1 - edit distance / length of the longer signature),
 the better one where two block sizes are common. Only signatures that share `GRAM` letters in a row are compared.
 
-Runs of one letter are cut to three before this, as they say little. The match of a document is the one of
-the lowest doc_id among all documents before it that score `LEAST_SCORE` or more.
+Runs of one letter are cut to three before this, as they say little. Documents of equal fingerprint are a group, whose
+rows all bear its group_id; pairs of distinct fingerprints that score `LEAST_SCORE` or more stand in `matches`, each pair once: in the
+list of the group that comes later in the order of lowest doc_ids, on the rows of its lowest doc_id. The first match of a
+document, match_id, is the one of the lowest doc_id among all documents before it that match.
 
-Equal fingerprints are compared once, and pairs are made of distinct ones by an inverted index of their letter runs.
+Equal fingerprints are compared once, and pairs are made of distinct ones by an inverted index of their letter runs: at
+the first run of each stretch of letters that both have, so that long stretches make a pair once.
 
 Defined cases: a null text has no fingerprint and no match; an empty one has an empty signature at block size 3, which
 matches other empty ones only. Documents of equal fingerprint match the lowest doc_id among them with 100; rows repeated
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm.core import Buckets, Prefix, by_bucket, chunks, column, mix, partitions, spread, stored, string_bytes, table
@@ -142,29 +145,43 @@ def scores(a: tuple, b: tuple) -> np.ndarray:
 
 
 GRAM_RECORD = np.dtype([("key", "u8"), ("print", "u8")])
+PAIR = np.dtype([("a", "u8"), ("b", "u8")])
 
 
 def gram_records(k: np.ndarray, letters: np.ndarray, offs: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    """A record for each run of GRAM letters; GRAM letters of 6 bits and the block size fill a key."""
+    """A record for each run of GRAM letters; in a key are the block size, the letters of 6 bits each and in 7 bits the letter before them, 64 for none."""
     count = np.maximum(np.diff(offs) - (GRAM - 1), 0)
     inner = np.cumsum(count) - count
     at = np.arange(count.sum()) + np.repeat(offs[:-1] - inner, count)
     key = np.repeat(k, count).astype(np.uint64)
     for j in range(GRAM):
         key = key << np.uint64(6) | letters[at + j].astype(np.uint64)
+    start = at == np.repeat(offs[:-1], count)
     out = np.empty(len(at), GRAM_RECORD)
-    out["key"], out["print"] = key, np.repeat(prints, count)
+    out["key"] = key << np.uint64(7) | np.where(start, 64, letters[np.maximum(at - 1, 0)] if len(letters) else 0).astype(np.uint64)
+    out["print"] = np.repeat(prints, count)
     return np.unique(out)
 
 
-def shared(records: np.ndarray) -> np.ndarray:
-    """The distinct records whose key more than one fingerprint has."""
-    records = np.unique(records)
-    if not len(records):
-        return records
-    new = np.r_[True, records["key"][1:] != records["key"][:-1]]
-    size = np.diff(np.r_[np.flatnonzero(new), len(records)])
-    return records[np.repeat(size, size) > 1]
+def met(records: np.ndarray, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """PAIR records (a < b) of the fingerprints that share letters of which those before differ or are none, about `most` at a time."""
+    r = np.unique(records)
+    gram = r["key"] >> np.uint64(7)
+    before = r["key"] & np.uint64(127)
+    end = np.searchsorted(gram, gram, side="right")
+    n = end - np.arange(len(r)) - 1  # records of the same letters after each
+    total = np.r_[0, np.cumsum(n)]
+    lo = 0
+    while lo < len(r):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + most, side="right")) - 1)
+        i = np.repeat(np.arange(lo, hi), n[lo:hi])
+        j = i + 1 + np.arange(len(i)) - np.repeat(total[lo:hi] - total[lo], n[lo:hi])
+        ok = (r["print"][i] != r["print"][j]) & ((before[i] != before[j]) | (before[i] == 64))
+        x, y = r["print"][i[ok]], r["print"][j[ok]]
+        out = np.empty(len(x), PAIR)
+        out["a"], out["b"] = np.minimum(x, y), np.maximum(x, y)
+        yield np.unique(out)
+        lo = hi
 
 
 def packed_letters(letters: np.ndarray, offs: np.ndarray) -> pa.Array:
@@ -196,12 +213,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def matches(prints: DataFrame) -> DataFrame:
-    """(print, match_id, score) of each distinct fingerprint that has a match: the first one before it that scores enough.
-
-    Each key's fingerprints are ranked by the order of their documents. Round r tests the ranks from 2**r - 1 on, only
-    those before the best match found so far; it ends when no key has such a rank left. Copies by the thousand find
-    their first one in the first rounds, so their pairs are never all made, and still nothing is left out.
-    """
+    """(print, match_id, score, matches) of each distinct fingerprint that matches ones before it: the first of them, and all."""
     spark = prints.sparkSession
     count = partitions(spark)
 
@@ -211,47 +223,41 @@ def matches(prints: DataFrame) -> DataFrame:
             ids, k = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
             for up in (0, 1):
                 r = gram_records(k + up, *unpacked(b.column(2 + up)), ids)
-                out.add(0, mix(r["key"]), r)
+                out.add(0, mix(r["key"] >> np.uint64(7)), r)
             if out.full():
                 yield from out.flush()
         yield from out.flush()
 
-    def shared_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Buckets(count)
         for got in by_bucket(batches, {0: GRAM_RECORD}):
-            r = shared(got[0])
-            if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array(r["key"].view(np.int64)), pa.array(r["print"].view(np.int64))], ["key", "print"])
+            for pairs in met(got[0]):
+                out.add(0, mix(pairs["a"] ^ mix(pairs["b"])), pairs)
+                if out.full():
+                    yield from out.flush()
+        yield from out.flush()
 
-    keyed = map_arrow(spread(map_arrow(prints.select("print", "k", "short", "long"), grams_of, Buckets.SCHEMA)), shared_of, "key bigint, print bigint")
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in by_bucket(batches, {0: PAIR}):
+            r = np.unique(got[0])
+            yield pa.RecordBatch.from_arrays([pa.array(r[c].view(np.int64)) for c in ("a", "b")], ["a", "b"])
+
+    grams = map_arrow(prints.select("print", "k", "short", "long"), grams_of, Buckets.SCHEMA)
+    pairs = map_arrow(spread(map_arrow(spread(grams), pairs_of, Buckets.SCHEMA)), distinct, "a bigint, b bigint")
     order = F.struct(F.isnull("first").alias("late"), F.col("first").alias("id"), F.col("print").alias("print"))
-    ranked = keyed.join(prints.select("print", order.alias("at")), "print").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("at")) - 1)
-    index = stored(ranked)
-    longest = index.agg(F.max("rank")).first()[0] or 0
-    sig = prints.select(F.col("print").alias("p"), "k", "short", "long")
-    best, lo = None, 0
-    while lo < longest:
-        hi = 2 * lo + 1
-        late = index.filter(F.col("rank") > lo).select("key", "print", "at", F.col("rank").alias("own"))
-        if best is not None:
-            late = late.join(best.select("print", F.col("m.at").alias("bound")), "print", "left")
-        else:
-            late = late.withColumn("bound", F.lit(None).cast(index.schema["at"].dataType))
-        early = index.filter((F.col("rank") >= lo) & (F.col("rank") < hi)).select("key", F.col("print").alias("other"), F.col("at").alias("other_at"), "rank")
-        pairs = late.join(early, "key").filter((F.col("rank") < F.col("own")) & (F.col("bound").isNull() | (F.col("other_at") < F.col("bound")))).select("print", "other", "other_at").distinct()
-        found = stored(_scored(pairs, sig))
-        more = found.groupBy("print").agg(F.min(F.struct("at", "score")).alias("m"))
-        best = stored(more if best is None else best.unionByName(more).groupBy("print").agg(F.min("m").alias("m")))
-        lo = hi
-    if best is None:
-        best = index.limit(0).select("print", F.struct("at", F.lit(0).alias("score")).alias("m"))
-    return best.select("print", F.col("m.at.id").alias("match_id"), F.col("m.score").alias("score"))
+    sig = prints.select(F.col("print").alias("p"), order.alias("at"), "k", "short", "long")
+    found = _scored(pairs, sig)
+    each = found.select(F.greatest("x", "y").alias("own"), F.least("x", "y").alias("at"), "score")
+    lists = each.groupBy(F.col("own.print").alias("print")).agg(F.sort_array(F.collect_list(F.struct("at", "score"))).alias("m"))
+    as_list = F.transform("m", lambda x: F.struct(x["at"]["print"].alias("group_id"), x["at"]["id"].alias("doc_id"), x["score"].alias("score")))
+    return lists.select("print", F.col("m")[0]["at"]["id"].alias("match_id"), F.col("m")[0]["score"].alias("score"), as_list.alias("matches"))
 
 
 def _scored(pairs: DataFrame, sig: DataFrame) -> DataFrame:
-    """(print, at, score) of the pairs that score enough."""
-    a = sig.select(F.col("p").alias("print"), F.col("k").alias("ka"), F.col("short").alias("sa"), F.col("long").alias("la"))
-    b = sig.select(F.col("p").alias("other"), F.col("k").alias("kb"), F.col("short").alias("sb"), F.col("long").alias("lb"))
-    both = pairs.join(a, "print").join(b, "other").select("print", F.col("other_at").alias("at"), "ka", "kb", "sa", "sb", "la", "lb")
+    """(x, y, score) of the pairs that score enough, each fingerprint by its place in the order."""
+    a = sig.select(F.col("p").alias("a"), F.col("at").alias("x"), F.col("k").alias("ka"), F.col("short").alias("sa"), F.col("long").alias("la"))
+    b = sig.select(F.col("p").alias("b"), F.col("at").alias("y"), F.col("k").alias("kb"), F.col("short").alias("sb"), F.col("long").alias("lb"))
+    both = pairs.join(a, "a").join(b, "b").select("x", "y", "ka", "kb", "sa", "sb", "la", "lb")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -266,23 +272,24 @@ def _scored(pairs: DataFrame, sig: DataFrame) -> DataFrame:
                     i = pa.array(at)
                     best[at] = np.maximum(best[at], scores(unpacked(b.column(x).take(i)), unpacked(b.column(y).take(i))))
             ok = pa.array(np.flatnonzero(best >= LEAST_SCORE))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(ok), b.column(1).take(ok), pa.array(best.astype(np.int32)).take(ok)], ["print", "at", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(ok), b.column(1).take(ok), pa.array(best.astype(np.int32)).take(ok)], ["x", "y", "score"])
 
-    return map_arrow(both, score, f"print bigint, at {pairs.schema['other_at'].dataType.simpleString()}, score int")
+    kind = sig.schema["at"].dataType.simpleString()
+    return map_arrow(both, score, f"x {kind}, y {kind}, score int")
 
 
 def matched(docs: DataFrame) -> DataFrame:
-    """(doc_id, block_size, signature, signature2, match_id, score) of every document."""
+    """(doc_id, block_size, signature, signature2, match_id, score, group_id, matches) of every document."""
     found = stored(fingerprints(docs)).withColumn("print", F.xxhash64("k", "short", "long"))
     some = found.filter("k is not null")
     firsts = stored(some.groupBy("print").agg(F.first("k").alias("k"), F.first("short").alias("short"), F.first("long").alias("long"), F.min("doc_id").alias("first")))
-    best = matches(firsts).withColumnRenamed("print", "p")
-    per_print = firsts.join(best, firsts["print"] == best["p"], "left").select(F.col("print").alias("p"), "first", "match_id", "score")
+    best = stored(matches(firsts)).withColumnRenamed("print", "p")
+    per_print = firsts.join(best, firsts["print"] == best["p"], "left").select(F.col("print").alias("p"), "first", "match_id", "score", "matches")
     rows = found.join(per_print, found["print"] == per_print["p"], "left")
     same = ~F.col("doc_id").eqNullSafe(F.col("first")) & F.col("p").isNotNull()
-    return rows.select("doc_id", F.expr("3 * shiftleft(cast(1 as bigint), k)").alias("block_size"), F.col("short").cast("string").alias("signature"), F.col("long").cast("string").alias("signature2"), F.when(same, F.col("first")).otherwise(F.col("match_id")).alias("match_id"), F.when(same, 100).otherwise(F.col("score")).alias("score"))
+    return rows.select("doc_id", F.expr("3 * shiftleft(cast(1 as bigint), k)").alias("block_size"), F.col("short").cast("string").alias("signature"), F.col("long").cast("string").alias("signature2"), F.when(same, F.col("first")).otherwise(F.col("match_id")).alias("match_id"), F.when(same, 100).otherwise(F.col("score")).alias("score"), F.col("p").alias("group_id"), F.when(~same, F.col("matches")).alias("matches"))
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's fingerprint and its first match before it."""
+    """Every document's fingerprint, its group of equal ones and all matches before it."""
     return matched(table(spark, sf_dir, "documents"))

@@ -544,6 +544,48 @@ def test_fingerprints_by_brute_force(spark):
     assert got == want and any(s < 100 for _, s in want.values())
 
 
+def test_fingerprints_give_all_pairs(spark):
+    rng = random.Random(9)
+    rows = []
+    for d in range(80):
+        t = prose(rng.choice([40, 300, 600]), rng)
+        if rows and rng.random() < 0.7:
+            w = rng.choice(rows)[1].split()
+            for _ in range(rng.randrange(0, 9)):
+                w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
+            t = " ".join(w)
+        rows.append((d, t))
+    k, letters, offs = ctph.signatures(*string_bytes(pa.array([t for _, t in rows])))
+    sig = [ctph.capped_runs(x, o) for x, o in zip(letters, offs)]
+    of = lambda d, up: sig[up][0][sig[up][1][d] : sig[up][1][d + 1]].tobytes()
+    score = lambda x, y: 100 * (max(len(x), len(y)) - edits(x, y)) // max(len(x), len(y), 1)
+    grams = lambda x: {x[i : i + ctph.GRAM] for i in range(len(x) - ctph.GRAM + 1)}
+    want = {}
+    for b in range(len(rows)):
+        for a in range(b):
+            common = [(x, y) for x in (0, 1) for y in (0, 1) if k[a] + x == k[b] + y]
+            if k[a] == k[b] and of(a, 0) == of(b, 0) and of(a, 1) == of(b, 1):
+                want[a, b] = 100
+            elif any(grams(of(a, x)) & grams(of(b, y)) for x, y in common):
+                best = max(score(of(a, x), of(b, y)) for x, y in common)
+                if best >= ctph.LEAST_SCORE:
+                    want[a, b] = best
+    out = ctph.matched(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    members, got = {}, {}
+    for r in out:
+        members.setdefault(r.group_id, []).append(r.doc_id)
+    for m in members.values():
+        got |= {(a, b): 100 for a in m for b in m if a < b}
+    for r in out:
+        for x in r.matches or []:
+            assert x.doc_id == min(members[x.group_id]) < r.doc_id == min(members[r.group_id])
+            for a in members[x.group_id]:
+                for b in members[r.group_id]:
+                    assert (min(a, b), max(a, b)) not in got
+                    got[min(a, b), max(a, b)] = x.score
+    assert got == want and len(want) > 2 * len({b for _, b in want}) and any(len(m) > 1 for m in members.values())
+
+
 def test_fingerprints_awkward(docs, none):
     got = {r.doc_id: r for r in ctph.matched(docs).collect() if r.doc_id}
     assert (got[2].match_id, got[2].score) == (1, 100) and got[4].signature is None and got[5].signature == "" and got[5].block_size == 3
