@@ -1,7 +1,8 @@
 """Line dedup by a segment-partition edit join over all lines of all documents.
 
 A line of `LEAST` bytes or more goes if a line before it, in the order (doc_id, line_no), is equal to it or at most
-`EDITS` byte edits away, whether or not that line stays itself. Shorter lines stay.
+`EDITS` byte edits away, whether or not that line stays itself. Shorter lines stay, unless `shortest` is less: then lines of that many
+bytes or more go where a line before them is equal, and near ones only from `LEAST` on.
 
 The join: every distinct line is cut into EDITS + 1 even segments, of which a line within EDITS edits must hold one
 unchanged. Segments go into an index by (line length, segment number, hash); a line probes, for each length that its
@@ -145,12 +146,13 @@ def _ids(docs: DataFrame) -> DataFrame:
     return slim.filter("doc_id is not null and text is not null")
 
 
-def duplicates(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def duplicates(docs: DataFrame, edits: int = EDITS, least: int = LEAST, shortest: int | None = None) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no, edits) of every line that goes, once: 0 edits from the first line equal to it, or else from the first line near it."""
     spark, count = docs.sparkSession, partitions(docs.sparkSession)
     slim = _ids(docs)
+    shortest = least if shortest is None else min(shortest, least)
 
-    def lines_of(b: pa.RecordBatch) -> Iterator[tuple]:
+    def lines_of(b: pa.RecordBatch, least: int = least) -> Iterator[tuple]:
         data, offs = string_bytes(b.column(1))
         ids = b.column(0).to_numpy()
         for lo, hi in chunks(offs):
@@ -162,12 +164,14 @@ def duplicates(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataF
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Buckets(count)
         for b in batches:
-            for _, p, ids, no, start, size in lines_of(b):
+            for _, p, ids, no, start, size in lines_of(b, shortest):
                 h = p.hash(start, size)
                 found = np.empty(len(h), LINE)
                 found["hash"], found["doc"], found["line"] = h, ids, no
                 out.add(LINES, mix(h), found)
-                h, first = np.unique(h, return_index=True)
+                far = np.flatnonzero(size >= least)
+                h, first = np.unique(h[far], return_index=True)
+                first = far[first]
                 for kind, records in segment_records(p, start[first], size[first], h, edits, least):
                     out.add(kind, mix(records["key"]), records)
                 if out.full():
@@ -268,3 +272,8 @@ def without_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that goes, with the earlier line that it repeats."""
     return duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup_all_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that goes where equal lines of any non-zero length go, with the earlier line that it repeats."""
+    return duplicates(table(spark, sf_dir, "documents"), shortest=1)

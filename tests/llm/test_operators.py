@@ -212,6 +212,24 @@ def test_line_dedup_by_brute_force(spark):
     assert got == want and any(k for *_, k in want.values())
 
 
+def test_line_dedup_of_short_lines(spark):
+    import duckdb
+
+    from lexweave.llm import queries
+
+    long = "x" * 40
+    rows = [(1, "All rights reserved.\n\na\n" + long), (2, "All rights reserved.\n\nAll rights reserve.\na\n" + long + "y"), (3, "a\n" + long[:31]), (4, long[:31] + "\n" + long[:30])]
+    got = {(r.doc_id, r.line_no): (r.kept_doc_id, r.kept_line_no, r.edits) for r in linededup.duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shortest=1).collect()}
+    assert got == {(2, 0): (1, 0, 0), (2, 3): (1, 2, 0), (2, 4): (1, 3, 1), (3, 0): (1, 2, 0), (4, 0): (3, 1, 0)}
+    at = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{at}/documents.parquet'")
+    df = queries.QUERIES["op9_line_dedup_all_lengths"](spark, at)
+    found = sorted(con.execute(queries.ORACLE_SQL["op9_line_dedup_all_lengths"]).fetchall())
+    assert found == sorted(map(tuple, df.select("doc_id", "line_no", "kept_doc_id", "kept_line_no", "edits").collect()))
+    assert len(found) > queries.QUERIES["op9_line_dedup"](spark, at).count()
+
+
 def test_line_dedup_awkward(docs, none):
     got = {(r.doc_id, r.line_no) for r in linededup.duplicates(docs).collect()}
     assert (2, 0) in got and (9, 1) in got and (3, 0) not in got and (1, 0) not in got
