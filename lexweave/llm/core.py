@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -161,7 +162,12 @@ def stored(df: DataFrame) -> DataFrame:
     """df as a table written once to the shared folder and read again: its lineage ends there, and losing an executor loses nothing."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/lexweave-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(at)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # once the table is written, nothing reads the shuffles that led to it
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(CLEANUP, was)
     return spark.read.parquet(at)
 
 

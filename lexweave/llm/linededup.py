@@ -1,16 +1,20 @@
 """Line dedup by a segment-partition edit join over all lines of all documents.
 
-A line of `LEAST` bytes or more goes if a line before it, in the order (doc_id, line_no), is equal to it or at most
-`EDITS` byte edits away, whether or not that line stays itself. Shorter lines stay, unless `shortest` is less: then lines of that many
-bytes or more go where a line before them is equal, and near ones only from `LEAST` on.
+A line of one byte or more goes if a line before it is equal to it, and a line of `LEAST` bytes or more also if a line before it is
+at most `EDITS` byte edits away, whether or not that line stays itself. In lines of fewer than LEAST bytes so many edits can
+change every word, so that near ones aren't repeats. Lines are in the order (document, line_no), documents in that of doc_id, integers by value and
+others by their 64-bit hash, then of the text's hash.
 
 The join: every distinct line is cut into EDITS + 1 even segments, of which a line within EDITS edits must hold one
 unchanged. Segments go into an index by (line length, segment number, hash); a line probes, for each length that its
-partner may have, the substrings at the places that multi-match-aware selection leaves. Pairs that meet are verified
+partner may have, the substrings at the places that multi-match-aware selection leaves. Each entry bears 64 parities of the line's
+byte pairs: an edit turns four of them at most, so pairs that differ in more are left out before they are sent. Pairs that meet are verified
 by edit distance in a band of 2 * EDITS + 1 diagonals, held in the bits of a word and advanced for many pairs at once.
+Equality of whole lines is that of their 64-bit hashes.
 
 Defined cases: a null text stays null, an empty one empty. Documents with a null doc_id stay as they are and take no
-lines from others. Rows with equal doc_id and equal lines are one document, and keep the same lines. A document that
+lines from others. Rows of equal doc_id and equal text are one document, and lose the same lines; rows of equal doc_id and other
+texts are documents of their own. A text of any length is cut into lines in memory, as one row of a batch. A document that
 loses lines and has none left goes; n_chars, where docs have it, is counted again. Other columns pass unchanged.
 An empty table gives an empty table.
 """
@@ -21,8 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lexweave.llm.core import Buckets, Prefix, by_bucket, chunks, column, fresh, mix, partitions, spread, stored, string_bytes, table
 from lexweave.ship import map_arrow
@@ -31,8 +36,8 @@ EDITS = 2
 LEAST = 32
 BROADCAST_HASHES = 1_000_000
 
-LINE = np.dtype([("hash", "u8"), ("doc", "i8"), ("line", "i4")])
-SEGMENT = np.dtype([("key", "u8"), ("hash", "u8")])
+LINE = np.dtype([("hash", "u8"), ("doc", "i8"), ("text", "i8"), ("line", "i4")])
+SEGMENT = np.dtype([("key", "u8"), ("hash", "u8"), ("bits", "u8")])
 LINES, INDEX, PROBE = 0, 1, 2
 
 
@@ -55,18 +60,30 @@ def segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndar
     return i * base + np.maximum(longer, 0), base + (longer >= 0)
 
 
-def segment_records(p: Prefix, start: np.ndarray, size: np.ndarray, hashes: np.ndarray, edits: int, least: int) -> Iterator[tuple[int, np.ndarray]]:
+def parities(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64 bits of each line: of which of 64 classes of byte pairs it has an odd number. Lines have a byte or more."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    pair = data.astype(np.uint64)
+    pair[:-1] = mix(pair[:-1] << np.uint64(8) | pair[1:]) >> np.uint64(58)
+    pair[start + size - 1] = 64  # the last byte begins no pair
+    bit = np.where(pair < 64, np.uint64(1) << (pair & np.uint64(63)), np.uint64(0))
+    ends = np.append(bit, np.uint64(0))
+    return np.bitwise_xor.reduceat(ends, np.stack([start, start + size], axis=1).ravel())[::2]
+
+
+def segment_records(p: Prefix, start: np.ndarray, size: np.ndarray, hashes: np.ndarray, bits: np.ndarray, edits: int, least: int) -> Iterator[tuple[int, np.ndarray]]:
     """Index and probe records of these lines."""
 
-    def records(at: np.ndarray, n: np.ndarray, length: np.ndarray, i: int, h: np.ndarray) -> np.ndarray:
+    def records(at: np.ndarray, n: np.ndarray, length: np.ndarray, i: int, k: np.ndarray | slice) -> np.ndarray:
         out = np.empty(len(at), SEGMENT)
         out["key"] = p.hash(at, n) ^ mix((length * (edits + 1) + i).astype(np.uint64))
-        out["hash"] = h
+        out["hash"], out["bits"] = hashes[k], bits[k]
         return out
 
     for i in range(edits + 1):
         at, n = segment(size, i, edits)
-        yield INDEX, records(start + at, n, size, i, hashes)
+        yield INDEX, records(start + at, n, size, i, slice(None))
         for less in range(edits + 1):
             length = size - less
             at, n = segment(length, i, edits)
@@ -75,23 +92,40 @@ def segment_records(p: Prefix, start: np.ndarray, size: np.ndarray, hashes: np.n
             for shift in range(-edits, 2 * edits + 1):
                 ok = (length >= least) & (at + shift >= lo) & (at + shift <= hi)
                 if ok.any():
-                    yield PROBE, records((start + at + shift)[ok], n[ok], length[ok], i, hashes[ok])
-
-
-def meet(index: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs (a < b) of line hashes of which one probes a key under which the other is indexed."""
-    index, probe = np.unique(index), np.unique(probe)
-    lo = np.searchsorted(index["key"], probe["key"])
-    n = np.searchsorted(index["key"], probe["key"], side="right") - lo
-    at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
-    a, b = np.repeat(probe["hash"], n), index["hash"][at]
-    off = a != b
-    a, b = np.minimum(a, b)[off], np.maximum(a, b)[off]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
+                    yield PROBE, records((start + at + shift)[ok], n[ok], length[ok], i, ok)
+
+
+def _distinct(r: np.ndarray, *names: str) -> np.ndarray:
+    """The records in the order of these fields, the first of those that agree in them."""
+    order = np.lexsort([r[n] for n in reversed(names)])
+    r = r[order]
+    new = np.ones(len(r), bool)
+    new[1:] = np.logical_or.reduce([r[n][1:] != r[n][:-1] for n in names])
+    return r[new]
+
+
+def meet(index: np.ndarray, probe: np.ndarray, edits: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a < b) of line hashes of which one probes a key under which the other is indexed, and whose parities allow so few edits; about `most` are looked at together."""
+    index, probe = _distinct(index, "key", "hash"), _distinct(probe, "key", "hash")
+    first = np.searchsorted(index["key"], probe["key"])
+    n = np.searchsorted(index["key"], probe["key"], side="right") - first
+    some = np.flatnonzero(n)
+    probe, first, n = probe[some], first[some], n[some]
+    # a probe's entries are taken in runs, so that a key of many lines is never held as pairs
+    runs = -(-n // most)
+    of = np.repeat(np.arange(len(n)), runs)
+    begin = (np.arange(len(of)) - np.repeat(np.cumsum(runs) - runs, runs)) * most
+    size = np.minimum(n[of] - begin, most)
+    total = np.r_[0, np.cumsum(size)]
+    for lo, hi in chunks(total, most):
+        k = of[lo:hi]
+        at = np.arange(total[hi] - total[lo]) + np.repeat(first[k] + begin[lo:hi] - (total[lo:hi] - total[lo]), size[lo:hi])
+        i = np.repeat(k, size[lo:hi])
+        ok = (np.bitwise_count(probe["bits"][i] ^ index["bits"][at]) <= 4 * edits) & (probe["hash"][i] != index["hash"][at])
+        a, b = probe["hash"][i[ok]], index["hash"][at[ok]]
+        if len(a):
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pairs[0], pairs[1]
 
 
 def edit_distances(a: np.ndarray, a_offs: np.ndarray, b: np.ndarray, b_offs: np.ndarray, most: int) -> np.ndarray:
@@ -141,38 +175,57 @@ def _in(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, hashes), len(of) - 1)] == hashes
 
 
-def _ids(docs: DataFrame) -> DataFrame:
-    slim = docs.select(column(docs, "doc_id").cast("bigint").alias("doc_id"), column(docs, "text").alias("text"))
-    return slim.filter("doc_id is not null and text is not null")
+def _key(docs: DataFrame) -> Column:
+    """The place of a document's id in the order of documents."""
+    id_ = column(docs, "doc_id")
+    return id_.cast("bigint") if isinstance(docs.schema["doc_id"].dataType, IntegralType) else F.xxhash64(id_)
+
+
+def _text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(column(docs, "text"))
 
 
-def duplicates(docs: DataFrame, edits: int = EDITS, least: int = LEAST, shortest: int | None = None) -> DataFrame:
+def duplicates(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no, edits) of every line that goes, once: 0 edits from the first line equal to it, or else from the first line near it."""
-    spark, count = docs.sparkSession, partitions(docs.sparkSession)
-    slim = _ids(docs)
-    shortest = least if shortest is None else min(shortest, least)
+    found = repeated_lines(docs, edits, least)
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        kind = docs.schema["doc_id"].dataType
+        return found.select(F.col("doc").cast(kind).alias("doc_id"), F.col("line").alias("line_no"), F.col("kept_doc").cast(kind).alias("kept_doc_id"), F.col("kept_line").alias("kept_line_no"), "edits")
+    ids = docs.select(_key(docs).alias("k"), column(docs, "doc_id").alias("id")).filter("id is not null").distinct()
+    gone, kept = (ids.select(F.col("k").alias(k), F.col("id").alias(i)) for k, i in (("doc", "doc_id"), ("kept_doc", "kept_doc_id")))
+    return found.join(gone, "doc").join(kept, "kept_doc").select("doc_id", F.col("line").alias("line_no"), "kept_doc_id", F.col("kept_line").alias("kept_line_no"), "edits")
+
 
-    def lines_of(b: pa.RecordBatch, least: int = least) -> Iterator[tuple]:
-        data, offs = string_bytes(b.column(1))
-        ids = b.column(0).to_numpy()
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """(doc, text, line, kept_doc, kept_line, edits) of every line that goes; doc and text are the document's key and its text's hash."""
+    spark, count = docs.sparkSession, partitions(docs.sparkSession)
+    slim = docs.select(_key(docs).alias("doc"), _text_hash(docs).alias("hash"), column(docs, "text").alias("text")).filter(column(docs, "doc_id").isNotNull() & column(docs, "text").isNotNull())
+    least = max(least, edits + 1)  # a segment has a byte at least
+    gone = "doc bigint, text bigint, line int, kept_doc bigint, kept_text bigint, kept_line int"
+    names = [x.split()[0] for x in gone.split(", ")]
+
+    def lines_of(b: pa.RecordBatch, least: int) -> Iterator[tuple]:
+        data, offs = string_bytes(b.column(2))
+        ids, texts = b.column(0).to_numpy(), b.column(1).to_numpy()
         for lo, hi in chunks(offs):
             d = data[offs[lo] : offs[hi]]
             rows, no, start, size = line_table(d, offs[lo : hi + 1] - offs[lo])
             ok = size >= least
-            yield d, Prefix(d), ids[lo + rows[ok]], no[ok], start[ok], size[ok]
+            yield d, Prefix(d), ids[lo + rows[ok]], texts[lo + rows[ok]], no[ok], start[ok], size[ok]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Buckets(count)
         for b in batches:
-            for _, p, ids, no, start, size in lines_of(b, shortest):
+            for d, p, ids, texts, no, start, size in lines_of(b, 1):
                 h = p.hash(start, size)
                 found = np.empty(len(h), LINE)
-                found["hash"], found["doc"], found["line"] = h, ids, no
+                found["hash"], found["doc"], found["text"], found["line"] = h, ids, texts, no
                 out.add(LINES, mix(h), found)
                 far = np.flatnonzero(size >= least)
                 h, first = np.unique(h[far], return_index=True)
                 first = far[first]
-                for kind, records in segment_records(p, start[first], size[first], h, edits, least):
+                bits = parities(d, start[first], size[first])
+                for kind, records in segment_records(p, start[first], size[first], h, bits, edits, least):
                     out.add(kind, mix(records["key"]), records)
                 if out.full():
                     yield from out.flush()
@@ -180,55 +233,51 @@ def duplicates(docs: DataFrame, edits: int = EDITS, least: int = LEAST, shortest
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in by_bucket(batches, {LINES: LINE, INDEX: SEGMENT, PROBE: SEGMENT}):
-            a, b = meet(got[INDEX], got[PROBE])
-            if len(a):
-                zero = np.zeros(len(a), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(zero), pa.array(b.view(np.int64)), pa.array(zero), pa.array(zero + 1)], ["a", "b", "c", "d", "kind"])
-            lines = np.unique(got[LINES])
+            for a, b in meet(got[INDEX], got[PROBE], edits):
+                x, y, none = pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([x, none, none.cast(pa.int32()), y, none, none.cast(pa.int32())], names)
+            lines = _distinct(got[LINES], "hash", "doc", "text", "line")
             if len(lines):
                 new = np.r_[True, lines["hash"][1:] != lines["hash"][:-1]]
                 first = lines[np.flatnonzero(new)[np.cumsum(new) - 1]][~new]
-                gone = lines[~new]
-                yield pa.RecordBatch.from_arrays([pa.array(gone["doc"]), pa.array(gone["line"]), pa.array(first["doc"]), pa.array(first["line"]), pa.array(np.zeros(len(gone), np.int32))], ["a", "b", "c", "d", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[f]) for x in (lines[~new], first) for f in ("doc", "text", "line")], names)
 
-    met = stored(map_arrow(spread(map_arrow(slim, cut, Buckets.SCHEMA)), join, "a bigint, b int, c bigint, d int, kind int"))
-    equal = met.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("line_no"), F.col("c").alias("kept_doc_id"), F.col("d").alias("kept_line_no"), F.lit(0).alias("edits"))
-    pairs = met.filter("kind = 1").select(F.col("a").alias("x"), F.col("c").alias("y")).distinct()
+    met = stored(map_arrow(spread(map_arrow(slim, cut, Buckets.SCHEMA)), join, gone))
+    equal = met.filter("line is not null").withColumn("edits", F.lit(0))
+    pairs = met.filter("line is null").select(F.col("doc").alias("x"), F.col("kept_doc").alias("y")).distinct()
     wanted = stored(pairs.select(F.explode(F.array("x", "y")).alias("hash")).distinct())
     most = wanted.count()
     if not most:
-        return equal
+        return equal.drop("kept_text")
     few = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.collect()], np.int64).view(np.uint64))) if most <= BROADCAST_HASHES else None
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for d, p, ids, no, start, size in lines_of(b):
+            for d, p, ids, texts, no, start, size in lines_of(b, least):
                 h = p.hash(start, size)
                 k = np.flatnonzero(_in(h, few.value)) if few is not None else np.arange(len(h))
                 for part in range(0, len(k), 8192):
                     q = k[part : part + 8192]
-                    text = [d[s : s + n].tobytes() for s, n in zip(start[q], size[q])]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[q].view(np.int64)), pa.array(ids[q]), pa.array(no[q].astype(np.int32)), pa.array(text, pa.binary())], ["hash", "doc", "line", "bytes"])
+                    line = [d[s : s + n].tobytes() for s, n in zip(start[q], size[q])]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[q].view(np.int64)), pa.array(ids[q]), pa.array(texts[q]), pa.array(no[q].astype(np.int32)), pa.array(line, pa.binary())], ["hash", "doc", "text", "line", "bytes"])
 
-    lines = map_arrow(slim, fetch, "hash bigint, doc bigint, line int, bytes binary")
+    lines = map_arrow(slim, fetch, "hash bigint, doc bigint, text bigint, line int, bytes binary")
     if few is None:
         lines = lines.join(wanted, "hash", "left_semi")
-    known = stored(lines.groupBy("hash").agg(F.min(F.struct("doc", "line")).alias("at"), F.first("bytes").alias("bytes")))
+    known = stored(lines.groupBy("hash").agg(F.min(F.struct("doc", "text", "line")).alias("at"), F.first("bytes").alias("bytes")))
     both = pairs.join(known.select(F.col("hash").alias("x"), F.col("at").alias("x_at"), F.col("bytes").alias("x_bytes")), "x").join(known.select(F.col("hash").alias("y"), F.col("at").alias("y_at"), F.col("bytes").alias("y_bytes")), "y")
-    ordered = both.select(
-        F.greatest("x_at", "y_at").alias("gone"), F.least("x_at", "y_at").alias("kept"), "x_bytes", "y_bytes"
-    ).select("gone.doc", "gone.line", F.col("kept.doc").alias("kept_doc"), F.col("kept.line").alias("kept_line"), "x_bytes", "y_bytes")
+    ordered = both.select(F.greatest("x_at", "y_at").alias("gone"), F.least("x_at", "y_at").alias("kept"), "x_bytes", "y_bytes").select(*(F.col(f"{s}.{f}").alias(f"{t}{f}") for s, t in (("gone", ""), ("kept", "kept_")) for f in ("doc", "text", "line")), "x_bytes", "y_bytes")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                n = edit_distances(*string_bytes(b.column(4)), *string_bytes(b.column(5)), edits)
+                n = edit_distances(*string_bytes(b.column(6)), *string_bytes(b.column(7)), edits)
                 k = pa.array(np.flatnonzero(n <= edits))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(k) for c in range(4)), pa.array(n.astype(np.int32)).take(k)], ["doc", "line", "kept_doc", "kept_line", "edits"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(k) for c in range(6)), pa.array(n.astype(np.int32)).take(k)], [*names, "edits"])
 
-    near = map_arrow(ordered, verify, "doc bigint, line int, kept_doc bigint, kept_line int, edits int")
-    first = near.groupBy(F.col("doc").alias("doc_id"), F.col("line").alias("line_no")).agg(F.min(F.struct("kept_doc", "kept_line", "edits")).alias("k"))
-    return equal.unionByName(first.select("doc_id", "line_no", F.col("k.kept_doc").alias("kept_doc_id"), F.col("k.kept_line").alias("kept_line_no"), "k.edits"))
+    near = map_arrow(ordered, verify, f"{gone}, edits int")
+    first = near.groupBy("doc", "text", "line").agg(F.min(F.struct("kept_doc", "kept_text", "kept_line", "edits")).alias("k"))
+    return equal.unionByName(first.select("doc", "text", "line", "k.*")).drop("kept_text")
 
 
 def drop_lines(text: list, gone: list) -> list:
@@ -244,11 +293,11 @@ def drop_lines(text: list, gone: list) -> list:
 
 
 def without_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the lines that duplicates() names. Columns as in docs."""
+    """The documents without the lines that repeat others. Columns as in docs."""
     names = docs.columns
-    cast, list_, flag = fresh(docs, "id_of_lines"), fresh(docs, "gone_lines"), fresh(docs, "emptied")
-    gone = stored(duplicates(docs)).groupBy("doc_id").agg(F.collect_list("line_no").alias(list_)).withColumnRenamed("doc_id", cast)
-    joined = docs.join(gone.hint("shuffle_hash"), column(docs, "doc_id").cast("bigint") == F.col(cast), "left").drop(cast)
+    key, hash_, list_, flag = (fresh(docs, k) for k in ("key_of_lines", "text_of_lines", "gone_lines", "emptied"))
+    gone = stored(repeated_lines(docs)).groupBy(F.col("doc").alias(key), F.col("text").alias(hash_)).agg(F.collect_list("line").alias(list_))
+    joined = docs.join(gone.hint("shuffle_hash"), (_key(docs) == F.col(key)) & (_text_hash(docs) == F.col(hash_)) & column(docs, "doc_id").isNotNull(), "left").drop(key, hash_)
     at, kind = names.index("text"), ", ".join(f"`{c.replace('`', '``')}` {f.dataType.simpleString()}" for c, f in zip(names, docs.schema))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +321,3 @@ def without_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that goes, with the earlier line that it repeats."""
     return duplicates(table(spark, sf_dir, "documents"))
-
-
-def op9_line_dedup_all_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line that goes where equal lines of any non-zero length go, with the earlier line that it repeats."""
-    return duplicates(table(spark, sf_dir, "documents"), shortest=1)

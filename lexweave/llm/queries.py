@@ -15,7 +15,6 @@ QUERIES = {
     "op7_token_counts": tokencount.op7_token_counts,
     "op8_suffix_array_dedup": repeats.op8_suffix_array_dedup,
     "op9_line_dedup": linededup.op9_line_dedup,
-    "op9_line_dedup_all_lengths": linededup.op9_line_dedup_all_lengths,
     "op10_document_fingerprints": ctph.op10_document_fingerprints,
 }
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
@@ -28,14 +27,7 @@ ORACLE_SQL: dict[str, str] = {
   f AS (SELECT g, min(doc_id) AS first, min((doc_id, place)) AS at FROM p GROUP BY g HAVING min(doc_id) < max(doc_id)),
   r AS (SELECT p.doc_id, p.place, f.first, f.at[2] AS first_place, p.place - row_number() OVER (PARTITION BY p.doc_id, f.first ORDER BY p.place) AS island FROM p JOIN f USING (g) WHERE p.doc_id > f.first)
   SELECT doc_id, min(place)::INT AS start_word, (count(*) + 49)::INT AS words, first AS first_doc_id, arg_min(first_place, place)::INT AS first_start_word FROM r GROUP BY doc_id, first, island""",
-    "op9_line_dedup": """WITH l AS (SELECT d.doc_id, u.i - 1 AS line_no, d.p[u.i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE doc_id IS NOT NULL) d, unnest(range(1, len(d.p) + 1)) AS u(i) WHERE strlen(d.p[u.i]) >= 32),
-  f AS (SELECT line, min((doc_id, line_no)) AS at, strlen(line) AS n FROM l GROUP BY line),
-  pairs AS (SELECT a.line AS x, b.line AS y, a.at AS ax, b.at AS bx FROM f a JOIN (SELECT *, unnest([n - 2, n - 1, n, n + 1, n + 2]) AS m FROM f) b ON a.n = b.m AND a.at < b.at),
-  cand AS (SELECT * FROM pairs WHERE contains(y, substr(x, 1, length(x) // 3)) OR contains(y, substr(x, length(x) // 3 + 1, length(x) // 3)) OR contains(y, substr(x, 2 * (length(x) // 3) + 1))),
-  near AS (SELECT bx, min((ax, levenshtein(x, y))) AS k FROM cand WHERE levenshtein(x, y) <= 2 GROUP BY bx),
-  equal AS (SELECT l.doc_id, l.line_no, f.at[1] AS kept_doc_id, f.at[2] AS kept_line_no, 0 AS edits FROM l JOIN f USING (line) WHERE (l.doc_id, l.line_no) <> f.at)
-  SELECT doc_id, line_no::INT AS line_no, kept_doc_id, kept_line_no::INT AS kept_line_no, edits::INT AS edits FROM equal UNION ALL SELECT bx[1], bx[2]::INT, k[1][1], k[1][2]::INT, k[2]::INT FROM near""",
-    "op9_line_dedup_all_lengths": """WITH l AS (SELECT d.doc_id, u.i - 1 AS line_no, d.p[u.i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE doc_id IS NOT NULL) d, unnest(range(1, len(d.p) + 1)) AS u(i) WHERE strlen(d.p[u.i]) >= 1),
+    "op9_line_dedup": """WITH l AS (SELECT d.doc_id, u.i - 1 AS line_no, d.p[u.i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE doc_id IS NOT NULL) d, unnest(range(1, len(d.p) + 1)) AS u(i) WHERE strlen(d.p[u.i]) >= 1),
   f AS (SELECT line, min((doc_id, line_no)) AS at, strlen(line) AS n FROM l GROUP BY line),
   pairs AS (SELECT a.line AS x, b.line AS y, a.at AS ax, b.at AS bx FROM f a JOIN (SELECT *, unnest([n - 2, n - 1, n, n + 1, n + 2]) AS m FROM f) b ON a.n = b.m AND a.n >= 32 AND b.n >= 32 AND a.at < b.at),
   cand AS (SELECT * FROM pairs WHERE contains(y, substr(x, 1, length(x) // 3)) OR contains(y, substr(x, length(x) // 3 + 1, length(x) // 3)) OR contains(y, substr(x, 2 * (length(x) // 3) + 1))),

@@ -197,13 +197,13 @@ def test_line_dedup_by_brute_force(spark):
                 x[p : p + rng.randrange(2)] = rng.choice(["q", "é", ""])
             lines.append("".join(x))
         rows.append((d, "\n".join([*lines, "short"])))
-    order = [(d, n, x.encode()) for d, t in rows for n, x in enumerate(t.split("\n")) if len(x.encode()) >= linededup.LEAST]
+    order = [(d, n, x.encode()) for d, t in rows for n, x in enumerate(t.split("\n")) if x]
     first, want = {}, {}
     for d, n, x in order:
         if x in first:
             want[d, n] = (*first[x], 0)
         else:
-            near = [(at, k) for y, at in first.items() if abs(len(x) - len(y)) <= 2 and (k := edits(x, y)) <= 2]
+            near = [(at, k) for y, at in first.items() if min(len(x), len(y)) >= linededup.LEAST and abs(len(x) - len(y)) <= 2 and (k := edits(x, y)) <= 2]
             if near:
                 (a, b), k = min(near)
                 want[d, n] = (a, b, k)
@@ -219,15 +219,55 @@ def test_line_dedup_of_short_lines(spark):
 
     long = "x" * 40
     rows = [(1, "All rights reserved.\n\na\n" + long), (2, "All rights reserved.\n\nAll rights reserve.\na\n" + long + "y"), (3, "a\n" + long[:31]), (4, long[:31] + "\n" + long[:30])]
-    got = {(r.doc_id, r.line_no): (r.kept_doc_id, r.kept_line_no, r.edits) for r in linededup.duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shortest=1).collect()}
+    got = {(r.doc_id, r.line_no): (r.kept_doc_id, r.kept_line_no, r.edits) for r in linededup.duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {(2, 0): (1, 0, 0), (2, 3): (1, 2, 0), (2, 4): (1, 3, 1), (3, 0): (1, 2, 0), (4, 0): (3, 1, 0)}
     at = "/root/testdata/sf0.001"
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{at}/documents.parquet'")
-    df = queries.QUERIES["op9_line_dedup_all_lengths"](spark, at)
-    found = sorted(con.execute(queries.ORACLE_SQL["op9_line_dedup_all_lengths"]).fetchall())
+    df = queries.QUERIES["op9_line_dedup"](spark, at)
+    found = sorted(con.execute(queries.ORACLE_SQL["op9_line_dedup"]).fetchall())
     assert found == sorted(map(tuple, df.select("doc_id", "line_no", "kept_doc_id", "kept_line_no", "edits").collect()))
-    assert len(found) > queries.QUERIES["op9_line_dedup"](spark, at).count()
+
+
+def test_line_dedup_of_one_id_with_different_texts(spark):
+    dup, own = "this line stands in two documents and is long", "this one stands nowhere else and must not be lost"
+    rows = [("a", dup), ("b", f"x\n{dup}"), ("b", f"y\n{own}"), ("b", f"y\n{own}"), ("c", f"{own}!\nz")]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    out = sorted(map(tuple, linededup.without_duplicates(spark, d, "").collect()))
+    texts = [t for _, t in out]
+    assert texts.count(f"y\n{own}") + texts.count("y") == 2 and sum(t.count(dup) for t in texts) == 1
+    assert sum(own in t for t in texts) in (1, 2) and all({"x", "y", "z"} & set("\n".join(texts).split("\n")))
+    got = linededup.duplicates(d).collect()
+    assert {r.doc_id for r in got} | {r.kept_doc_id for r in got} <= {"a", "b", "c"}
+    ids = spark.createDataFrame([(1, dup), (2, f"x\n{dup}"), (2, f"y\n{own}")], "doc_id int, text string")
+    assert sorted(map(tuple, linededup.without_duplicates(spark, ids, "").collect())) == [(1, dup), (2, "x"), (2, f"y\n{own}")]
+
+
+@pytest.mark.parametrize("hashes", [0, 1_000_000])
+def test_line_dedup_of_lines_that_share_a_segment(spark, monkeypatch, hashes):
+    monkeypatch.setattr(linededup, "BROADCAST_HASHES", hashes)
+    n = 10_000
+    rows = [(k, "the same beginning of every line of all, but then %d" % (k * 7919 * 104729 % 10**9 + 10**9)) for k in range(n)]
+    rows += [(n, rows[77][1] + "!"), (n + 1, rows[99][1].replace("same", "some"))]
+    got = {r.doc_id: (r.kept_doc_id, r.edits) for r in linededup.duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got[n][1] <= 1 and got[n + 1][1] <= 2
+    of = dict(rows)
+    for k, (kept, e) in list(got.items())[:300]:
+        assert kept < k and edits(of[k].encode(), of[kept].encode()) == e
+
+
+def test_parities_bound_the_edits():
+    rng = random.Random(2)
+    for _ in range(300):
+        a = bytes(rng.choice(b"abcde ") for _ in range(rng.randrange(1, 60)))
+        b = bytearray(a)
+        for _ in range(2):
+            p = rng.randrange(len(b) + 1)
+            b[p : p + rng.randrange(2)] = bytes(rng.choice(b"abcde ") for _ in range(rng.randrange(2)))
+        b = bytes(b) or b"x"
+        data = np.frombuffer(a + b"\n" + b, np.uint8)
+        x, y = linededup.parities(data, np.array([0, len(a) + 1]), np.array([len(a), len(b)]))
+        assert int(x ^ y).bit_count() <= 4 * edits(a, b)
 
 
 def test_line_dedup_awkward(docs, none):

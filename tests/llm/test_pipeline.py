@@ -53,9 +53,9 @@ def test_lines(steps):
     first, gone = {}, set()
     for d, t in sorted(zip(before.doc_id, before.text)):
         for n, x in enumerate(t.encode().split(b"\n")):
-            if len(x) >= linededup.LEAST and first.setdefault(x, (d, n)) != (d, n):
+            if x and first.setdefault(x, (d, n)) != (d, n):
                 gone.add((d, n))
-    lines = sorted(first, key=first.get)
+    lines = sorted((x for x in first if len(x) >= linededup.LEAST), key=first.get)
     size = np.array([len(x) for x in lines])
     i, j = np.nonzero(np.triu(np.abs(size[:, None] - size[None]) <= linededup.EDITS, 1))
     for part in range(0, len(i), 20000):
