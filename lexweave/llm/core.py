@@ -168,7 +168,16 @@ def stored(df: DataFrame) -> DataFrame:
         df.write.parquet(at)
     finally:
         spark.conf.set(CLEANUP, was)
-    return spark.read.parquet(at)
+    out = spark.read.parquet(at)
+    out._lexweave_at = at
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a table from stored() that nothing will read any more."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df._lexweave_at)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -107,6 +107,7 @@ def test_simhash_groups(docs, none):
     of = {d: (r.group_id, r.keep) for (d, _), r in got.items() if d}
     assert of[1] == (1, True) and of[2] == (1, False) and of[3] == (1, False)
     assert of[4] == (4, True) and of[5] == (5, True) and of[6] == (6, True)
+    assert {d: r.links for (d, _), r in got.items() if d in (1, 2, 3, 4)} == {1: 3, 2: 3, 3: 3, 4: 0}
     assert simhash.groups(none).count() == 0
 
 
@@ -134,6 +135,39 @@ def test_simhash_recall(spark):
     assert all(label[a] == label[got[a]] for a in got)
 
 
+def test_forest_prunes_real_fingerprints():
+    import pyarrow.parquet as pq
+
+    code, some = simhash.fingerprint_rows(*string_bytes(pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"]))
+    two = np.unique(simhash.two_words(code[some]), axis=0)[::3]
+    rank = simhash.gray_rank(two)
+    two = two[np.lexsort((rank[:, 1], rank[:, 0]))]
+    forest = simhash.Forest(two, np.zeros(len(two), np.int64))
+    found = [forest.pairs(np.arange(lo, min(lo + 500, len(two))), simhash.RADIUS) for lo in range(0, len(two), 500)]
+    assert sum(len(a) for a, _ in found) > 50 and forest.visits <= 0.05 * len(two) * (len(two) - 1) / 2
+
+
+def test_sizing_keeps_the_recall():
+    for n in (10, 10**5, 10**7, 10**10):
+        prefix, tables = simhash.sizing(n, simhash.RADIUS)
+        assert n / 2**prefix <= 32 or prefix == 40
+        assert 1 - (1 - np.prod(1 - simhash.RADIUS / (128 - np.arange(prefix)))) ** tables >= simhash.RECALL
+
+
+def test_components_of_a_hub_and_a_chain(spark):
+    star = spark.range(1, 100_001).select(F.lit(0).cast("bigint").alias("a"), F.col("id").alias("b"))
+    chain = spark.range(200_000, 200_060).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = simhash.components(star.unionByName(chain)).groupBy("root").agg(F.count("*").alias("n")).collect()
+    assert {r.root: r.n for r in got} == {0: 100_000, 200_000: 60}
+
+
+def test_near_dedup_keeps_one_and_the_same_of_rows_equal_in_id_and_text(spark):
+    rows = [(1, BASE, x) for x in "bcad"] + [(2, prose(50), "z")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, tag string")
+    kept = {tuple(sorted(r.tag for r in simhash.near_dedup(spark, x, "").collect())) for x in (d, d.orderBy("tag"), d.orderBy(F.desc("tag")).repartition(3))}
+    assert len(kept) == 1 and len(kept.pop()) == 2
+
+
 def test_forest_finds_all_pairs_of_a_part():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 256, (20, 16), dtype=np.uint8)
