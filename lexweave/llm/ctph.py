@@ -4,9 +4,8 @@ A rolling hash of the last 7 bytes ends a piece where it is -1 modulo the block
 letters by a hash of its bytes; the letters are the text's signature at that block size. k is the least at which the
 signature has at most 64 letters; the one at k + 1 is kept besides. Texts are compatible where they have signatures at a
 common block size: k equal, or one apart. Their score is 100 * (1 - edit distance / length of the longer signature),
-the better one where two block sizes are common. Only signatures that share `GRAM` letters in a row are compared.
-
-Runs of one letter are cut to three before this, as they say little. Documents of equal fingerprint are a group, whose
+the better one where two block sizes are common. As is usual with such hashes, signatures that share no `GRAM` letters in a row score 0,
+and runs of one letter count as three of them, as they say little. Documents of equal fingerprint are a group, whose
 rows all bear its group_id; pairs of distinct fingerprints that score `LEAST_SCORE` or more stand in `matches`, each pair once: in the
 list of the group that comes later in the order of lowest doc_ids, on the rows of its lowest doc_id. The first match of a
 document, match_id, is the one of the lowest doc_id among all documents before it that match.
@@ -16,7 +15,8 @@ the first run of each stretch of letters that both have, so that long stretches
 
 Defined cases: a null text has no fingerprint and no match; an empty one has an empty signature at block size 3, which
 matches other empty ones only. Documents of equal fingerprint match the lowest doc_id among them with 100; rows repeated
-in full all have the same result. A null doc_id comes after all others. An empty table gives an empty table. Other
+in full all have the same result. A null doc_id comes after all others. A text of any length is read whole, as one row of a batch; its signature has 64 letters at most.
+Equality of fingerprints is that of their 64-bit hashes. An empty table gives an empty table. Other
 columns aren't used.
 """
 
@@ -30,7 +30,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.core import Buckets, Prefix, by_bucket, chunks, column, mix, partitions, spread, stored, string_bytes, table
+from lexweave.llm.core import Buckets, Prefix, by_bucket, chunks, column, forget, mix, partitions, spread, stored, string_bytes, table
 from lexweave.ship import map_arrow
 
 WINDOW = 7
@@ -205,7 +205,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             k, letters, offs = signatures(*string_bytes(b.column(1)))
             null = pa.array(b.column(1).is_null())
-            sigs = [packed_letters(*capped_runs(x, o)) for x, o in zip(letters, offs)]
+            sigs = [packed_letters(x, o) for x, o in zip(letters, offs)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.compute.if_else(null, pa.scalar(None, c.type), c) for c in (pa.array(k.astype(np.int32)), *sigs))], ["doc_id", "k", "short", "long"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -222,7 +222,7 @@ def matches(prints: DataFrame) -> DataFrame:
         for b in batches:
             ids, k = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
             for up in (0, 1):
-                r = gram_records(k + up, *unpacked(b.column(2 + up)), ids)
+                r = gram_records(k + up, *capped_runs(*unpacked(b.column(2 + up))), ids)
                 out.add(0, mix(r["key"] >> np.uint64(7)), r)
             if out.full():
                 yield from out.flush()
@@ -243,10 +243,11 @@ def matches(prints: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(r[c].view(np.int64)) for c in ("a", "b")], ["a", "b"])
 
     grams = map_arrow(prints.select("print", "k", "short", "long"), grams_of, Buckets.SCHEMA)
-    pairs = map_arrow(spread(map_arrow(spread(grams), pairs_of, Buckets.SCHEMA)), distinct, "a bigint, b bigint")
+    pairs = stored(map_arrow(spread(map_arrow(spread(grams), pairs_of, Buckets.SCHEMA)), distinct, "a bigint, b bigint"))
     order = F.struct(F.isnull("first").alias("late"), F.col("first").alias("id"), F.col("print").alias("print"))
     sig = prints.select(F.col("print").alias("p"), order.alias("at"), "k", "short", "long")
-    found = _scored(pairs, sig)
+    found = stored(_scored(pairs, sig))
+    forget(pairs)
     each = found.select(F.greatest("x", "y").alias("own"), F.least("x", "y").alias("at"), "score")
     lists = each.groupBy(F.col("own.print").alias("print")).agg(F.sort_array(F.collect_list(F.struct("at", "score"))).alias("m"))
     as_list = F.transform("m", lambda x: F.struct(x["at"]["print"].alias("group_id"), x["at"]["id"].alias("doc_id"), x["score"].alias("score")))
@@ -270,7 +271,7 @@ def _scored(pairs: DataFrame, sig: DataFrame) -> DataFrame:
                 at = np.flatnonzero(kb - ka == shift)
                 if len(at):
                     i = pa.array(at)
-                    best[at] = np.maximum(best[at], scores(unpacked(b.column(x).take(i)), unpacked(b.column(y).take(i))))
+                    best[at] = np.maximum(best[at], scores(capped_runs(*unpacked(b.column(x).take(i))), capped_runs(*unpacked(b.column(y).take(i)))))
             ok = pa.array(np.flatnonzero(best >= LEAST_SCORE))
             yield pa.RecordBatch.from_arrays([b.column(0).take(ok), b.column(1).take(ok), pa.array(best.astype(np.int32)).take(ok)], ["x", "y", "score"])
 
