@@ -2,6 +2,10 @@
 
 All sentences of a batch lie in one array of code points, the longest first, and a dynamic program advances all of them by
 one code point a step. Spans are looked up in the vocabulary by hashes of code point ranges, all at once.
+
+A text of more than `LONG` code points is cut into chunks that advance side by side: a first pass finds how each chunk
+carries the scores of the places before it to those at its end, these matrices are applied one after the other, and a second pass
+fills the places in. So a long text takes some `CHUNK` steps and not one for each code point.
 """
 
 from __future__ import annotations
@@ -11,7 +15,11 @@ from dataclasses import dataclass, field
 import numpy as np
 
 NEVER = -(1 << 40)
+LONG, CHUNK, BATCH = 1024, 256, 400_000
 BOS, EOS = 250, 251
+BOS_ID = 0xFFFE  # stands before the first word in a model's bigrams
+MODES = ("ascii", "utf8len", "ranges", "compat")
+LOSSLESS_WS = 1
 OTHER, SPACE, DIGIT, ALPHA, HIRAGANA, KATAKANA, KANJI, FULLWIDTH, SYMBOL = range(9)
 
 _MULT = np.uint64(0xD6E8FEB86659FD93)
@@ -39,12 +47,21 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.r_[0, np.cumsum(size)]
 
 
-def classes(points: np.ndarray) -> np.ndarray:
-    """The character class of each code point, in the COMPAT mode."""
+def classes(points: np.ndarray, mode: str = "compat", ranges: tuple = (), fallback: str = "utf8len") -> np.ndarray:
+    """The character class of each code point; ranges have lo, hi and class_id."""
+    if mode not in MODES:
+        raise ValueError(f"mode {mode!r}: one of {', '.join(MODES)}")
     out = np.full(len(points), OTHER, np.uint8)
-    ascii_ = points <= 0x7F
-    out[ascii_] = SYMBOL
-    for lo, hi, c in ((0x30, 0x39, DIGIT), (0x41, 0x5A, ALPHA), (0x61, 0x7A, ALPHA), (0x3040, 0x309F, HIRAGANA), (0x30A0, 0x30FF, KATAKANA), (0x4E00, 0x9FFF, KANJI), (0xFF00, 0xFFEF, FULLWIDTH), (0x2580, 0x2584, SPACE)):
+    if mode == "utf8len" or mode == "ranges" and fallback == "utf8len":
+        out[:] = np.where(points < 0x800, 9, np.where(points < 0x10000, 10, 11))
+    if mode == "compat":
+        given = ((0x3040, 0x309F, HIRAGANA), (0x30A0, 0x30FF, KATAKANA), (0x4E00, 0x9FFF, KANJI), (0xFF00, 0xFFEF, FULLWIDTH))
+    else:
+        given = tuple((r.lo, r.hi, r.class_id) for r in ranges if r.class_id) if mode == "ranges" else ()
+    for lo, hi, c in given:
+        out[(points >= lo) & (points <= hi)] = c
+    out[points <= 0x7F] = SYMBOL
+    for lo, hi, c in ((0x30, 0x39, DIGIT), (0x41, 0x5A, ALPHA), (0x61, 0x7A, ALPHA), (0x2580, 0x2584, SPACE)):
         out[(points >= lo) & (points <= hi)] = c
     out[np.isin(points, (32, 9, 10, 13))] = SPACE
     return out
@@ -95,24 +112,27 @@ class PieceTable:
         return out
 
 
-def emission_table(weights: dict[int, int]) -> np.ndarray:
-    """(label, prev, cur, next) -> sum of the five templates' Q8.8 weights, clamped to 16 bits; 12 stands for BOS and 13 for EOS."""
-    code = list(range(12)) + [BOS, EOS]
+def emission_table(weights: dict[int, int], codes: list[int]) -> np.ndarray:
+    """(label, prev, cur, next) -> sum of the five templates' Q8.8 weights, clamped to 16 bits, by the places of classes in codes."""
     w = lambda t, y, a, b=0: weights.get(t << 24 | y << 16 | a << 8 | b, 0)
-    out = np.zeros((2, 14, 14, 14), np.int64)
+    n = len(codes)
+    out = np.zeros((2, n, n, n), np.int64)
     for y in (0, 1):
-        cur = np.array([w(0, y, c) for c in code])
-        prev = np.array([w(1, y, c) for c in code])
-        nxt = np.array([w(2, y, c) for c in code])
-        pc = np.array([[w(3, y, a, b) for b in code] for a in code])
-        cn = np.array([[w(4, y, a, b) for b in code] for a in code])
+        cur = np.array([w(0, y, c) for c in codes])
+        prev = np.array([w(1, y, c) for c in codes])
+        nxt = np.array([w(2, y, c) for c in codes])
+        pc = np.array([[w(3, y, a, b) for b in codes] for a in codes])
+        cn = np.array([[w(4, y, a, b) for b in codes] for a in codes])
         out[y] = cur[None, :, None] + prev[:, None, None] + nxt[None, None, :] + pc[:, :, None] + cn[None, :, :]
     return np.clip(out, -32768, 32767)
 
 
 @dataclass
 class Model:
-    """A joint model: pieces with Q8.8 unigram scores, CRF weights and scalars; bigrams (previous id, id) -> score may be empty."""
+    """A joint model: pieces with Q8.8 unigram scores, CRF weights and scalars; bigrams (previous id or BOS_ID, id) -> score may be empty.
+
+    cc_mode, cc_ranges and cc_fallback say what classes characters have; flags are those of the model file.
+    """
 
     pieces: list[str]
     logp_q: np.ndarray
@@ -128,12 +148,25 @@ class Model:
     bos_to1: int = 128
     bigrams: dict[tuple[int, int], int] = field(default_factory=dict)
     logp: np.ndarray | None = None  # natural logarithms, where the model was trained here
+    flags: int = 0
+    cc_mode: str = "compat"
+    cc_fallback: str = "utf8len"
+    cc_ranges: tuple = ()
 
     def __post_init__(self) -> None:
-        self._table = self._emit = None
+        self._table = self._emit = self._pairs = None
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_table": None, "_emit": None}
+        return {**self.__dict__, "_table": None, "_emit": None, "_pairs": None}
+
+    @property
+    def lossless_ws(self) -> bool:
+        return bool(self.flags & LOSSLESS_WS)
+
+    @property
+    def codes(self) -> list[int]:
+        """The classes that characters may have, then those of the text's ends."""
+        return [*range(12), *sorted({r.class_id for r in self.cc_ranges if r.class_id > 11}), BOS, EOS]
 
     @property
     def table(self) -> PieceTable:
@@ -144,9 +177,18 @@ class Model:
     @property
     def emit(self) -> np.ndarray:
         if self._emit is None:
-            self._emit = emission_table(self.crf)
+            self._emit = emission_table(self.crf, self.codes)
         return self._emit
 
+    @property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bigrams' keys in order and their scores; in a key the text's beginning has the number after the last piece."""
+        if self._pairs is None:
+            n = len(self.pieces) + 1
+            both = sorted(((n - 1 if a == BOS_ID else a) * n + b, q) for (a, b), q in self.bigrams.items())
+            self._pairs = np.array([k for k, _ in both], np.int64), np.array([q for _, q in both], np.int64)
+        return self._pairs
+
 
 class Lattice:
     """The spans of a batch of sentences, longest sentence first; ids[k - 1] has the piece of length k that ends before each place."""
@@ -165,7 +207,7 @@ class Lattice:
         self.pos = np.arange(self.places) - self.base[self.row]
         self.end = self.pos + self.offs[:-1][self.row]  # code points before each place
         spans = SpanHash(self.points)
-        self.ids = np.full((max_len, self.places), -1, np.int64)
+        self.ids = np.full((max_len, self.places), -1, np.int32)
         for k in range(1, max_len + 1):
             ok = np.flatnonzero(self.pos >= k)
             self.ids[k - 1, ok] = table.find(spans.of(self.end[ok] - k, k))
@@ -177,25 +219,21 @@ class Lattice:
         for p in range(1, top + 1):
             yield p, self.base[: alive[p]] + p
 
-    def back(self):
-        """The same backwards, with the number of sentences; p = 0 is included."""
-        top = int(self.size.max(initial=0))
-        alive = np.searchsorted(-self.size, -np.arange(top + 1), side="right")
-        for p in range(top, -1, -1):
-            yield p, self.base[: alive[p]] + p
-
-    def class_codes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """prev, cur and next class of each code point, as indexes of emission_table."""
-        cur = classes(self.points).astype(np.int64)
-        prev, nxt = np.r_[12, cur[:-1]][: len(cur)], np.r_[cur[1:], 13][-len(cur) :] if len(cur) else cur
+    def class_codes(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """prev, cur and next class of each code point, as places in the model's codes."""
+        first, last = len(m.codes) - 2, len(m.codes) - 1
+        number = np.zeros(256, np.int64)
+        number[m.codes[:-2]] = np.arange(first)
+        cur = number[classes(self.points, m.cc_mode, m.cc_ranges, m.cc_fallback)]
+        prev, nxt = np.r_[first, cur[:-1]][: len(cur)], np.r_[cur[1:], last][-len(cur) :] if len(cur) else cur
         some = self.size > 0
-        prev[self.offs[:-1][some]] = 12
-        nxt[self.offs[1:][some] - 1] = 13
+        prev[self.offs[:-1][some]] = first
+        nxt[self.offs[1:][some] - 1] = last
         return prev, cur, nxt
 
     def joint_scores(self, m: Model) -> np.ndarray:
         """The score of the span of each length that ends at each place, in Q8.8."""
-        e0, e1 = (m.emit[y][self.class_codes()] for y in (0, 1))
+        e0, e1 = (m.emit[y][self.class_codes(m)] for y in (0, 1))
         pref = np.r_[0, np.cumsum(e0)]
         out = np.full((self.max_len, self.places), NEVER, np.int64)
         for k in range(1, self.max_len + 1):
@@ -220,110 +258,258 @@ class Lattice:
         return out
 
     def cut(self, lengths: np.ndarray) -> list[np.ndarray]:
-        """Each sentence's boundaries, from the length of the best last span at each place; in the order of the sorted sentences."""
+        """Each sentence's boundaries, from the length of the last span at each place; in the order of the sorted sentences."""
         mark = np.zeros(self.places, bool)
         at = self.base + self.size
         mark[self.base] = True
-        live = np.arange(len(at))
+        long = int(np.searchsorted(-self.size, -LONG))
+        for s in range(long):
+            base, p, out = int(self.base[s]), int(self.size[s]), []
+            back = lengths[base : base + p + 1].tolist()
+            while p > 0:
+                out.append(p)
+                p -= back[p]
+            mark[base + np.array(out)] = True
+        live = np.arange(long, len(at))
         while len(live):
             mark[at[live]] = True
             at[live] -= lengths[at[live]]
             live = live[at[live] > self.base[live]]
+        return self.split(mark)
+
+    def split(self, mark: np.ndarray) -> list[np.ndarray]:
+        """The marked places of each sentence."""
         hits = np.flatnonzero(mark)
         return np.split(self.pos[hits], np.searchsorted(hits, self.base[1:])) if len(self.base) else []
 
+    def reversed(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """scores as those of the sentences read backwards, and the place that each place then has."""
+        there = 2 * self.base[self.row] + self.size[self.row] - np.arange(self.places)
+        out = np.full_like(scores, -np.inf)
+        for k in range(1, self.max_len + 1):
+            ok = np.flatnonzero(self.pos >= k)
+            out[k - 1, ok] = scores[k - 1, there[ok] + k]
+        return out, there
 
-def viterbi(lat: Lattice, scores: np.ndarray, start: float, longest_wins: bool = False) -> tuple[list[np.ndarray | None], np.ndarray]:
-    """Boundaries and score of each sentence's best path, in the sentences' own order; None where no path covers it.
 
-    At equal scores the shortest last span wins, or the longest.
-    """
+def forward(lat: Lattice, scores: np.ndarray, start: float, add=np.maximum) -> np.ndarray:
+    """What `add` makes of the scores of all paths to each place: the best, or with logaddexp their sum."""
     never = NEVER if scores.dtype.kind == "i" else -np.inf
     best = np.full(lat.places, never, scores.dtype)
-    length = np.zeros(lat.places, np.int64)
     best[lat.base] = start
-    ks = range(lat.max_len, 0, -1) if longest_wins else range(1, lat.max_len + 1)
+    if int(lat.size.max(initial=0)) > LONG:
+        _forward_in_chunks(lat, scores, best, never, add)
+        return best
     for p, at in lat.steps():
-        top, arg = np.full(len(at), never, scores.dtype), np.zeros(len(at), np.int64)
-        for k in ks:
-            if k > p:
-                continue
-            cand = best[at - k] + scores[k - 1, at]
-            more = cand > top
-            top, arg = np.where(more, cand, top), np.where(more, k, arg)
-        dead = top <= never // 2 if scores.dtype.kind == "i" else ~np.isfinite(top)
-        best[at], length[at] = np.where(dead, never, top), np.where(dead, 0, arg)
+        acc = best[at - 1] + scores[0, at]
+        for k in range(2, min(lat.max_len, p) + 1):
+            acc = add(acc, best[at - k] + scores[k - 1, at])
+        best[at] = np.maximum(acc, never)
+    return best
+
+
+def _forward_in_chunks(lat: Lattice, scores: np.ndarray, best: np.ndarray, never: float, add) -> None:
+    width, chunk = lat.max_len, max(CHUNK, lat.max_len)
+    count = np.maximum(-(-lat.size // chunk), 1)
+    of = np.repeat(np.arange(len(count)), count)
+    lead = np.cumsum(count) - count
+    number = np.arange(len(of)) - lead[of]
+    first, size = lat.base[of] + number * chunk, np.minimum(lat.size[of] - number * chunk, chunk)
+
+    def advance(ring: list[np.ndarray], at: np.ndarray, more: int) -> np.ndarray:
+        acc = ring[-1] + scores[0, at].reshape(-1, *[1] * more)
+        for k in range(2, width + 1):
+            acc = add(acc, ring[-k] + scores[k - 1, at].reshape(-1, *[1] * more))
+        return np.maximum(acc, never)
+
+    # how the places before a chunk, and its first, bear on its last ones; the last chunk of a text leads nowhere
+    inner = np.flatnonzero(number < count[of] - 1)
+    entry = np.full((len(of), width), never, scores.dtype)  # of a chunk: the score at its first place and at those before
+    entry[lead, 0] = best[lat.base]
+    if len(inner):
+        ring = [np.full((len(inner), width), never, scores.dtype) for _ in range(width)]
+        for j in range(width):
+            ring[-1 - j][:, j] = 0
+        for t in range(1, chunk + 1):
+            ring = [*ring[1:], advance(ring, first[inner] + t, 1)]
+        carry = np.stack(ring[::-1], axis=1)  # chunk, place from its end, place before its begin
+        where = np.full(len(of), -1)
+        where[inner] = np.arange(len(inner))
+        for c in range(int(count.max()) - 1):
+            here = lead[count > c + 1] + c
+            entry[here + 1] = np.maximum(add.reduce(carry[where[here]] + entry[here][:, None, :], axis=2), never)
+    order = np.argsort(-size, kind="stable")
+    first, size, entry = first[order], size[order], entry[order]
+    alive = np.searchsorted(-size, -np.arange(chunk + 1), side="right")
+    ring = [entry[:, width - 1 - j] for j in range(width)]
+    for t in range(1, int(size.max(initial=0)) + 1):
+        n = alive[t]
+        ring = [r[:n] for r in ring]
+        now = advance(ring, first[:n] + t, 0)
+        best[first[:n] + t] = now
+        ring = [*ring[1:], now]
+
+
+def last_lengths(lat: Lattice, scores: np.ndarray, best: np.ndarray, longest_wins: bool = False) -> np.ndarray:
+    """The length of the best path's last span at each place, 0 where no path leads: of equal ones the shortest, or the longest."""
+    never = NEVER // 2 if scores.dtype.kind == "i" else -np.inf
+    top, arg = np.full(lat.places, never, scores.dtype), np.zeros(lat.places, np.int64)
+    for k in range(lat.max_len, 0, -1) if longest_wins else range(1, lat.max_len + 1):
+        cand = np.full(lat.places, never, scores.dtype)
+        ok = np.flatnonzero(lat.pos >= k)
+        cand[ok] = best[ok - k] + scores[k - 1, ok]
+        more = cand > top
+        top, arg = np.where(more, cand, top), np.where(more, k, arg)
+    return arg
+
+
+def viterbi(lat: Lattice, scores: np.ndarray, start: float, longest_wins: bool = False) -> tuple[list[np.ndarray | None], np.ndarray]:
+    """Boundaries and score of each sentence's best path, in the sentences' own order; None where no path covers it.
+
+    At equal scores the shortest last span wins, or the longest.
+    """
+    best = forward(lat, scores, start)
+    length = last_lengths(lat, scores, best, longest_wins)
     final = best[lat.base + lat.size]
-    ok = final > never // 2 if scores.dtype.kind == "i" else np.isfinite(final)
-    safe = np.where(length > 0, length, 1)
-    bounds = [b if good else None for b, good in zip(lat.cut(safe), ok)]
+    ok = final > NEVER // 2 if scores.dtype.kind == "i" else np.isfinite(final)
+    bounds = [b if good else None for b, good in zip(lat.cut(np.maximum(length, 1)), ok)]
     return lat.unsorted(bounds), np.array(lat.unsorted(final.tolist())) if len(final) else final
 
 
+def _pair_gain(m: Model, prev: np.ndarray, cur: np.ndarray) -> np.ndarray:
+    """What a bigram adds to a span's score that has the unigram's in it; 0 where the model has no such bigram."""
+    keys, values = m.pairs
+    if not len(keys):
+        return np.zeros(len(cur), np.int64)
+    key = prev.astype(np.int64) * (len(m.pieces) + 1) + cur
+    where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    hit = (keys[where] == key) & (prev >= 0) & (cur >= 0)
+    uni = m.logp_q[np.maximum(cur, 0)].astype(np.int64) if len(m.logp_q) else 0
+    return np.where(hit, (m.lambda0 * values[where] >> 8) - (m.lambda0 * uni >> 8), 0)
+
+
+def _pair_edges(lat: Lattice, scores: np.ndarray, m: Model, p: int, k: int, at: np.ndarray):
+    """(j, score) of the spans of length k that end at p, after each word length j that there may be before them, 0 for none."""
+    cur = lat.ids[k - 1, at]
+    if p == k:
+        yield 0, scores[k - 1, at] + _pair_gain(m, np.full(len(at), len(m.pieces)), cur)
+    for j in range(1, min(lat.max_len, p - k) + 1):
+        yield j, scores[k - 1, at] + _pair_gain(m, lat.ids[j - 1, at - k], cur)
+
+
+def _walk(lat: Lattice, s: int, step) -> np.ndarray:
+    """Sentence s's boundaries, from its end: step(place) gives the place before."""
+    at, out = int(lat.base[s] + lat.size[s]), []
+    while at > lat.base[s]:
+        out.append(at - int(lat.base[s]))
+        at = step(at)
+    return np.array([0, *out[::-1]])
+
+
 def bigram_viterbi(lat: Lattice, scores: np.ndarray, m: Model) -> tuple[list[np.ndarray | None], np.ndarray]:
-    """As viterbi over states (place, last length), for a model that has bigrams; scores must be without the LM where both words are known."""
-    L, n = lat.max_len, len(m.pieces) + 1
-    keys = np.array(sorted(a * n + b for a, b in m.bigrams), np.int64)
-    vals = np.array([m.bigrams[int(k // n), int(k % n)] for k in keys], np.int64)
+    """As viterbi over states (place, last length), for a model that has bigrams. Texts of any length advance by a code point a step."""
+    L = lat.max_len
     best = np.full((L + 1, lat.places), NEVER, np.int64)
-    back = np.zeros((L + 1, lat.places), np.int64)
+    back = np.zeros((L + 1, lat.places), np.uint8)
     best[0, lat.base] = m.bos_to1
     for p, at in lat.steps():
         for k in range(1, min(L, p) + 1):
-            cur = lat.ids[k - 1, at]
-            top, arg = np.full(len(at), NEVER, np.int64), np.zeros(len(at), np.int64)
-            for j in range(0, L + 1):
-                if (j == 0) != (p == k) or j > p - k:
-                    continue
-                prev_id = lat.ids[j - 1, at - k] if j else np.full(len(at), -1)
-                cand = best[j, at - k] + scores[k - 1, at]
-                if len(keys) and j:
-                    key = prev_id * n + cur
-                    where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    hit = (keys[where] == key) & (prev_id >= 0) & (cur >= 0)
-                    uni = m.logp_q[np.maximum(cur, 0)].astype(np.int64)
-                    cand = cand + np.where(hit, (m.lambda0 * vals[where] >> 8) - (m.lambda0 * uni >> 8), 0)
+            top, arg = np.full(len(at), NEVER, np.int64), np.zeros(len(at), np.uint8)
+            for j, edge in _pair_edges(lat, scores, m, p, k, at):
+                cand = best[j, at - k] + edge
                 more = cand > top
-                top, arg = np.where(more, cand, top), np.where(more, j, arg)
+                top, arg = np.where(more, cand, top), np.where(more, np.uint8(j), arg)
             best[k, at], back[k, at] = top, arg
     ends = lat.base + lat.size
-    k = np.argmax(best[1:, ends], axis=0) + 1
-    final = best[k, ends]
+    last = np.argmax(best[1:, ends], axis=0) + 1
+    final = np.where(lat.size > 0, best[last, ends], m.bos_to1)
     bounds = []
     for s in range(len(ends)):
-        at, kk, out = int(ends[s]), int(k[s]), []
-        while at > lat.base[s]:
-            out.append(at - lat.base[s])
-            at, kk = at - kk, int(back[kk, at])
-        bounds.append(np.array([0, *out[::-1]]) if lat.size[s] else np.array([0]))
+        k = int(last[s])
+
+        def step(at: int) -> int:
+            nonlocal k
+            to, k = at - k, int(back[k, at])
+            return to
+
+        bounds.append(_walk(lat, s, step))
     return lat.unsorted(bounds), np.array(lat.unsorted(final.tolist()))
 
 
+def _best_of(cand: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n greatest of each row of these arrays side by side, and their places; of equal ones the first."""
+    both = np.concatenate(cand, axis=1)
+    if both.shape[1] < n:
+        both = np.concatenate([both, np.full((len(both), n - both.shape[1]), NEVER)], axis=1)
+    order = np.argsort(-both, axis=1, kind="stable")[:, :n]
+    return np.maximum(np.take_along_axis(both, order, 1), NEVER), order
+
+
 def nbest(lat: Lattice, scores: np.ndarray, start: int, n: int) -> list[list[tuple[int, np.ndarray]]]:
-    """The n best (score, boundaries) of each sentence, best first; of equal scores first the one of the shorter last span."""
+    """The n best (score, boundaries) of each sentence, best first; of equal scores first the one of the shorter last span. A place takes two bytes for each of n."""
     L = lat.max_len
-    best = np.full((lat.places, n), NEVER, np.int64)
-    length, rank = np.zeros((lat.places, n), np.int64), np.zeros((lat.places, n), np.int64)
-    best[lat.base, 0] = start
+    ring = np.full((L + 1, len(lat.base), n), NEVER, np.int64)
+    ring[0, :, 0] = start
+    length, rank, final = np.zeros((lat.places, n), np.uint8), np.zeros((lat.places, n), np.uint8), ring[0].copy()
     for p, at in lat.steps():
-        top = min(L, p)
-        cand = np.concatenate([best[at - k] + scores[k - 1, at][:, None] for k in range(1, top + 1)], axis=1)
-        order = np.argsort(-cand, axis=1, kind="stable")[:, :n]
-        got = np.take_along_axis(cand, order, 1)
-        w = order.shape[1]
-        best[at, :w] = np.where(got > NEVER // 2, got, NEVER)
-        length[at, :w], rank[at, :w] = order // n + 1, order % n
+        a = len(at)
+        got, order = _best_of([ring[(p - k) % (L + 1), :a] + scores[k - 1, at][:, None] for k in range(1, min(L, p) + 1)], n)
+        ring[p % (L + 1), :a] = got
+        length[at], rank[at] = order // n + 1, order % n
+        done = lat.size[:a] == p
+        final[:a][done] = got[done]
     out = []
     for s in range(len(lat.base)):
-        end, found = int(lat.base[s] + lat.size[s]), []
-        for r in range(n):
-            if best[end, r] <= NEVER // 2:
-                break
-            at, rr, b = end, r, []
-            while at > lat.base[s]:
-                b.append(at - lat.base[s])
-                at, rr = at - int(length[at, rr]), int(rank[at, rr])
-            found.append((int(best[end, r]), np.array([0, *b[::-1]])))
+        found = []
+        for r in np.flatnonzero(final[s] > NEVER // 2).tolist():
+            score = int(final[s, r])
+
+            def step(at: int) -> int:
+                nonlocal r
+                to, r = at - int(length[at, r]), int(rank[at, r])
+                return to
+
+            found.append((score, _walk(lat, s, step)))
+        out.append(found)
+    return lat.unsorted(out)
+
+
+def bigram_nbest(lat: Lattice, scores: np.ndarray, m: Model, n: int) -> list[list[tuple[int, np.ndarray]]]:
+    """As nbest over states (place, last length), for a model that has bigrams."""
+    L, rows = lat.max_len, len(lat.base)
+    ring = np.full((L + 1, L + 1, rows, n), NEVER, np.int64)
+    ring[0, 0, :, 0] = m.bos_to1
+    before, rank = np.zeros((L + 1, lat.places, n), np.uint8), np.zeros((L + 1, lat.places, n), np.uint8)
+    final, last = np.full((rows, n), NEVER, np.int64), np.zeros((rows, n), np.int64)
+    for p, at in lat.steps():
+        a, now = len(at), ring[p % (L + 1)]
+        now[:] = NEVER
+        for k in range(1, min(L, p) + 1):
+            cand, js = [], []
+            for j, edge in _pair_edges(lat, scores, m, p, k, at):
+                cand.append(ring[(p - k) % (L + 1), j, :a] + edge[:, None])
+                js.append(j)
+            now[k, :a], order = _best_of(cand, n)
+            before[k, at], rank[k, at] = np.array(js)[np.minimum(order // n, len(js) - 1)], order % n
+        done = np.flatnonzero(lat.size[:a] == p)
+        if len(done):
+            final[done], order = _best_of([now[k, done] for k in range(1, L + 1)], n)
+            last[done] = order  # (length - 1) * n + rank
+    out = []
+    for s in range(rows):
+        if not lat.size[s]:
+            out.append([(m.bos_to1, np.array([0]))])
+            continue
+        found = []
+        for i in np.flatnonzero(final[s] > NEVER // 2).tolist():
+            k, r = int(last[s, i]) // n + 1, int(last[s, i]) % n
+
+            def step(at: int) -> int:
+                nonlocal k, r
+                to, k, r = at - k, int(before[k, at, r]), int(rank[k, at, r])
+                return to
+
+            found.append((int(final[s, i]), _walk(lat, s, step)))
         out.append(found)
     return lat.unsorted(out)
 
@@ -336,61 +522,114 @@ def xorshift32(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _seeded(lat: Lattice, seeds: np.ndarray) -> np.ndarray:
+    state = seeds[lat.order].astype(np.uint32)
+    return np.where(state == 0, np.uint32(0x12345678), state)
+
+
+def _temperature(t: float) -> float:
+    return t if np.isfinite(t) and t > 0 else 1.0
+
+
+def _drawn(state: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The column of each row that a state's number falls on, by the rows' weights; the last that has one where rounding leaves none."""
+    total = np.cumsum(weight, axis=1)
+    u = (state >> np.uint32(8)) / float(1 << 24) * total[:, -1]
+    last = weight.shape[1] - 1 - np.argmax(weight[:, ::-1] > 0, axis=1)
+    hit = (u[:, None] <= total) & (weight > 0)
+    return np.where(hit.any(axis=1), np.argmax(hit, axis=1), last)
+
+
 def sample(lat: Lattice, scores: np.ndarray, start: int, temperature: float, seeds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """A path of each sentence, drawn with probability proportional to exp(score / temperature), and its score; seeds in the sentences' own order."""
-    t = temperature if np.isfinite(temperature) and temperature > 0 else 1.0
+    """A path of each sentence, drawn with probability proportional to exp(score / temperature), and its score; seeds in the sentences' own order.
+
+    One number is drawn for each word, from the last to the first.
+    """
+    t = _temperature(temperature)
     edge = np.where(scores > NEVER // 2, scores / 256.0 / t, -np.inf)
-    total = np.full(lat.places, -np.inf)
-    total[lat.base] = start / 256.0 / t
-    for p, at in lat.steps():
-        acc = np.full(len(at), -np.inf)
-        for k in range(1, min(lat.max_len, p) + 1):
-            acc = np.logaddexp(acc, total[at - k] + edge[k - 1, at])
-        total[at] = acc
-    state = seeds[lat.order].astype(np.uint32)
-    state = np.where(state == 0, np.uint32(0x12345678), state)
+    total = forward(lat, edge, start / 256.0 / t, np.logaddexp)
+    state = _seeded(lat, seeds)
     at, score = lat.base + lat.size, np.full(len(lat.base), start, np.int64)
     mark = np.zeros(lat.places, bool)
     mark[lat.base] = True
     live = np.flatnonzero(lat.size > 0)
+    lengths = np.arange(1, lat.max_len + 1)
     while len(live):
         here = at[live]
         mark[here] = True
-        weight = np.zeros((len(live), lat.max_len))
-        for k in range(1, lat.max_len + 1):
-            ok = lat.pos[here] >= k
-            weight[ok, k - 1] = np.exp(total[here[ok] - k] + edge[k - 1, here[ok]] - total[here[ok]])
+        with np.errstate(invalid="ignore"):
+            lw = np.where(lat.pos[here][:, None] >= lengths, total[np.maximum(here[:, None] - lengths, 0)] + edge[:, here].T, -np.inf)
+            weight = np.exp(lw - lw.max(axis=1, keepdims=True))
         state[live] = xorshift32(state[live])
-        u = (state[live] >> np.uint32(8)) / float(1 << 24) * weight.sum(axis=1)
-        k = np.minimum((u[:, None] > np.cumsum(weight, axis=1)).sum(axis=1), lat.max_len - 1)
-        k = np.where(weight[np.arange(len(live)), k] > 0, k, weight.argmax(axis=1))
+        k = _drawn(state[live], weight)
         score[live] += scores[k, here]
         at[live] = here - (k + 1)
         live = live[at[live] > lat.base[live]]
-    hits = np.flatnonzero(mark)
-    bounds = np.split(lat.pos[hits], np.searchsorted(hits, lat.base[1:])) if len(lat.base) else []
-    return lat.unsorted(bounds), np.array(lat.unsorted(score.tolist()))
+    return lat.unsorted(lat.split(mark)), np.array(lat.unsorted(score.tolist()))
+
+
+def bigram_sample(lat: Lattice, scores: np.ndarray, m: Model, temperature: float, seeds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """As sample over states (place, last length), for a model that has bigrams."""
+    L, t = lat.max_len, _temperature(temperature)
+    alpha = np.full((L + 1, lat.places), -np.inf)
+    alpha[0, lat.base] = m.bos_to1 / 256.0 / t
+    for p, at in lat.steps():
+        for k in range(1, min(L, p) + 1):
+            acc = np.full(len(at), -np.inf)
+            for j, edge in _pair_edges(lat, scores, m, p, k, at):
+                acc = np.logaddexp(acc, alpha[j, at - k] + edge / 256.0 / t)
+            alpha[k, at] = acc
+    state = _seeded(lat, seeds)
+    at, score = lat.base + lat.size, np.full(len(lat.base), m.bos_to1, np.int64)
+    mark = np.zeros(lat.places, bool)
+    mark[lat.base] = True
+    live = np.flatnonzero(lat.size > 0)
+    word = np.zeros(len(at), np.int64)
+    if len(live):
+        lw = alpha[1:, at[live]].T
+        state[live] = xorshift32(state[live])
+        word[live] = _drawn(state[live], np.exp(lw - lw.max(axis=1, keepdims=True))) + 1
+    while len(live):
+        here, k = at[live], word[live]
+        mark[here] = True
+        to, cur = here - k, lat.ids[k - 1, here]
+        own = scores[k - 1, here]
+        first = lat.pos[to] == 0
+        gain = np.stack([_pair_gain(m, np.where(lat.pos[to] >= j, lat.ids[j - 1, to], -1), cur) for j in range(1, L + 1)], axis=1)
+        lw = alpha[1:, to].T + (own[:, None] + gain) / 256.0 / t
+        lw[first] = 0.0
+        state[live[~first]] = xorshift32(state[live[~first]])
+        j = _drawn(state[live], np.exp(lw - lw.max(axis=1, keepdims=True)))
+        score[live] += own + np.where(first, _pair_gain(m, np.full(len(live), len(m.pieces)), cur), gain[np.arange(len(live)), j])
+        at[live], word[live] = to, j + 1
+        live = live[~first]
+    return lat.unsorted(lat.split(mark)), np.array(lat.unsorted(score.tolist()))
+
+
+def best_paths(lat: Lattice, m: Model) -> tuple[list[np.ndarray | None], np.ndarray]:
+    """Boundaries and score of each sentence's best path by the joint model."""
+    scores = lat.joint_scores(m)
+    return bigram_viterbi(lat, scores, m) if m.bigrams else viterbi(lat, scores, m.bos_to1)
+
+
+def best_n(lat: Lattice, m: Model, n: int) -> list[list[tuple[int, np.ndarray]]]:
+    scores = lat.joint_scores(m)
+    return bigram_nbest(lat, scores, m, n) if m.bigrams else nbest(lat, scores, m.bos_to1, n)
+
+
+def drawn_paths(lat: Lattice, m: Model, temperature: float, seeds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    scores = lat.joint_scores(m)
+    return bigram_sample(lat, scores, m, temperature, seeds) if m.bigrams else sample(lat, scores, m.bos_to1, temperature, seeds)
 
 
 def expected_counts(lat: Lattice, logp: np.ndarray) -> tuple[np.ndarray, float, int, float, int]:
     """Expected uses of each piece, sum of log Z, sentences, expected tokens, and sentences that no path covers (not counted otherwise)."""
     scores = lat.lm_scores(logp)
-    alpha, beta = np.full(lat.places, -np.inf), np.full(lat.places, -np.inf)
-    alpha[lat.base] = 0
     ends = lat.base + lat.size
-    beta[ends] = 0
     with np.errstate(invalid="ignore"):
-        for p, at in lat.steps():
-            acc = np.full(len(at), -np.inf)
-            for k in range(1, min(lat.max_len, p) + 1):
-                acc = np.logaddexp(acc, alpha[at - k] + scores[k - 1, at])
-            alpha[at] = acc
-        for p, at in lat.back():
-            acc = beta[at]
-            for k in range(1, lat.max_len + 1):
-                inside = np.flatnonzero(lat.size[: len(at)] >= p + k)
-                acc[inside] = np.logaddexp(acc[inside], scores[k - 1, at[inside] + k] + beta[at[inside] + k])
-            beta[at] = acc
+        alpha = forward(lat, scores, 0.0, np.logaddexp)
+        back, there = lat.reversed(scores)
+        beta = forward(lat, back, 0.0, np.logaddexp)[there]
         z = alpha[ends]
         ok = np.isfinite(z) & (lat.size > 0)
         counts, tokens = np.zeros(len(logp)), 0.0
@@ -404,7 +643,12 @@ def expected_counts(lat: Lattice, logp: np.ndarray) -> tuple[np.ndarray, float,
     return counts, float(z[ok].sum()), int(ok.sum()), float(tokens), int(((lat.size > 0) & ~ok).sum())
 
 
-def batches(texts: list[str], most: int = 400_000) -> list[list[int]]:
+def batch_for(n: int) -> int:
+    """Code points of a batch of which n paths are kept at each place."""
+    return max(20_000, 4 * BATCH // max(n, 4))
+
+
+def batches(texts: list[str], most: int = BATCH) -> list[list[int]]:
     """Numbers of the texts in groups of about so many code points, texts of like length together."""
     order = sorted(range(len(texts)), key=lambda k: len(texts[k]))
     out, here, size = [], [], 0

@@ -6,22 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import detok_line, lossless_decode, lossless_encode
+from lexweave.functions.utf8 import normalize_utf8
 from lexweave.operators import lattice as L
 from lexweave.operators import segment as S
 from lexweave.sources.corpus import tokenizer_lines
 
 
-def tokenize_df(docs: DataFrame, model: L.Model, *, max_line_bytes: int = 16384, lossless_ws: bool = False, read_all: bool = False, sample: bool = False, temperature: float = 1.0, seed: int = 1, nsamples: int = 1, nbest: int = 0, sample_nbest: bool = False) -> DataFrame:
+def tokenize_df(docs: DataFrame, model: L.Model, *, max_line_bytes: int = 16384, lossless_ws: bool | None = None, normalize: bool = True, fallback_char: str = "?", read_all: bool = False, sample: bool = False, temperature: float = 1.0, seed: int = 1, nsamples: int = 1, nbest: int = 0, sample_nbest: bool = False) -> DataFrame:
     """(doc_id, line_no, rep, rank, score, tokens): the lines of docs, or with read_all each text whole, segmented.
 
     One row for the best path, or for each of nbest or nsamples; sample_nbest draws nsamples of the nbest with equal chances.
-    Seeds are made of (seed, doc_id, line_no, rep), so the result doesn't hang on the order of rows.
+    White space is encoded where lossless_ws says so or, if it is None, the model. The text may be binary; normalize makes valid UTF-8 of it
+    and of strings that aren't, with fallback_char for what can't be read. Seeds are made of (seed, doc_id, line_no, rep), so the result doesn't hang on the order of rows.
     """
+    if normalize:
+        docs = docs.withColumn("text", normalize_utf8(F.col("text").cast("binary"), fallback_char))
+    elif dict(docs.dtypes)["text"] == "binary":
+        docs = docs.withColumn("text", F.col("text").cast("string"))
     if read_all:
         lines = docs.select("doc_id", F.lit(0).cast("bigint").alias("line_no"), F.col("text").alias("line"))
     else:
         lines = tokenizer_lines(docs, max_line_bytes)
-    if lossless_ws:
+    if model.lossless_ws if lossless_ws is None else lossless_ws:
         lines = lines.withColumn("line", lossless_encode(F.col("line")))
     zero = F.lit(0)
     columns = ("doc_id", "line_no", "rep", "rank", "score", "tokens")

@@ -21,7 +21,7 @@ def _tokens(text: str, bounds: np.ndarray) -> list[str]:
     return [text[x:y] for x, y in zip(b, b[1:])]
 
 
-def _mapped(df: DataFrame, text: str, model: L.Model, add: str, work: Callable) -> DataFrame:
+def _mapped(df: DataFrame, text: str, model: L.Model, add: str, work: Callable, most: int = L.BATCH) -> DataFrame:
     """df with columns added that work(model, texts, rows) gives for the texts that are neither null nor empty."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
@@ -34,7 +34,7 @@ def _mapped(df: DataFrame, text: str, model: L.Model, add: str, work: Callable)
             texts = b.column(at).to_pylist()
             some = [k for k, t in enumerate(texts) if t]
             cols: list[list] | None = None
-            for part in L.batches([texts[k] for k in some]):
+            for part in L.batches([texts[k] for k in some], most):
                 rows = [some[k] for k in part]
                 got = work(m, [texts[k] for k in rows], b, rows)
                 cols = cols or [[None] * len(texts) for _ in got]
@@ -62,8 +62,7 @@ def tokenize(df: DataFrame, model: L.Model, text: str = "line") -> DataFrame:
 
     def work(m: L.Model, texts: list[str], b: pa.RecordBatch, rows: list[int]) -> tuple:
         lat = L.Lattice(texts, m.table, m.max_len)
-        scores = lat.joint_scores(m)
-        bounds, score = L.bigram_viterbi(lat, scores, m) if m.bigrams else L.viterbi(lat, scores, m.bos_to1)
+        bounds, score = L.best_paths(lat, m)
         return [_tokens(t, x) for t, x in zip(texts, bounds)], score.tolist()
 
     return _mapped(df, text, model, "tokens array<string>; score bigint", work)
@@ -88,10 +87,10 @@ def tokenize_nbest(df: DataFrame, model: L.Model, n: int = 8, text: str = "line"
 
     def work(m: L.Model, texts: list[str], b: pa.RecordBatch, rows: list[int]) -> tuple:
         lat = L.Lattice(texts, m.table, m.max_len)
-        found = L.nbest(lat, lat.joint_scores(m), m.bos_to1, n)
+        found = L.best_n(lat, m, n)
         return ([[{"rank": r, "score": s, "tokens": _tokens(t, x)} for r, (s, x) in enumerate(f)] for t, f in zip(texts, found)],)
 
-    return _mapped(df, text, model, "nbest array<struct<rank:int,score:bigint,tokens:array<string>>>", work)
+    return _mapped(df, text, model, "nbest array<struct<rank:int,score:bigint,tokens:array<string>>>", work, L.batch_for(n))
 
 
 def emission_sums(df: DataFrame, model: L.Model, text: str = "line") -> DataFrame:
@@ -99,7 +98,7 @@ def emission_sums(df: DataFrame, model: L.Model, text: str = "line") -> DataFram
 
     def work(m: L.Model, texts: list[str], b: pa.RecordBatch, rows: list[int]) -> tuple:
         lat = L.Lattice(texts, m.table, 0)
-        e0, e1 = (m.emit[y][lat.class_codes()] for y in (0, 1))
+        e0, e1 = (m.emit[y][lat.class_codes(m)] for y in (0, 1))
         first = lat.offs[:-1]
         total = np.cumsum(e0)
         run = total - np.repeat(total[first] - e0[first], lat.size)
@@ -149,7 +148,7 @@ def tokenize_sample(df: DataFrame, model: L.Model, temperature: float = 1.0, see
     def work(m: L.Model, texts: list[str], b: pa.RecordBatch, rows: list[int]) -> tuple:
         lat = L.Lattice(texts, m.table, m.max_len)
         seeds = b.column(at).take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint32)
-        bounds, score = L.sample(lat, lat.joint_scores(m), m.bos_to1, temperature, seeds)
+        bounds, score = L.drawn_paths(lat, m, temperature, seeds)
         return [_tokens(t, x) for t, x in zip(texts, bounds)], score.tolist()
 
     return _mapped(df, text, model, "tokens array<string>; score bigint", work)

@@ -8,14 +8,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import char_class, characters, code_point, gold_class
+from lexweave.functions.text import ClassRange, char_class, characters, code_point
 from lexweave.operators import lattice as L
 from lexweave.operators import vocabulary as V
 from lexweave.ship import map_arrow
-from lexweave.sources.corpus import corpus_lines, spread, within_limits
+from lexweave.sources.corpus import corpus_lines, spread, with_eol, within_limits
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,15 @@ class TrainConfig:
     crf_tol: float = 1e-4
     crf_unsupervised: bool = False
     crf_unsup_sentences: int = 1000
-    encode_corpus: bool = False
+    lossless_ws: bool = False  # marks the model, so that its users encode white space
+    encode_corpus: bool = False  # encodes the lines to train on, too
+    lossless_eol: bool = False  # ends each line with the sign for its newline
+    cc_mode: str = "compat"
+    cc_ranges: tuple[ClassRange, ...] = ()
+    cc_fallback: str = "utf8len"
+
+    def classes(self, cp: Column) -> Column:
+        return char_class(cp, self.cc_mode, self.cc_ranges, self.cc_fallback)
 
 
 class NoCover(ValueError):
@@ -130,7 +138,10 @@ def em_train(lines: DataFrame, vocab: DataFrame, config: TrainConfig) -> tuple[D
 
 def induce(docs: DataFrame, config: TrainConfig) -> tuple[DataFrame, DataFrame]:
     """The mapped lines to train on, and the first vocabulary."""
-    lines = within_limits(corpus_lines(docs), config.max_line_bytes, None)
+    lines = corpus_lines(docs)
+    if config.lossless_eol:
+        lines = with_eol(lines)
+    lines = within_limits(lines, config.max_line_bytes, None)
     if config.encode_corpus:
         from lexweave.functions.text import lossless_encode
 
@@ -142,7 +153,9 @@ def induce(docs: DataFrame, config: TrainConfig) -> tuple[DataFrame, DataFrame]:
         mapped = mapped.filter(F.char_length("line") <= config.max_sentence_cp)
     mapped = spread(mapped).persist(StorageLevel.MEMORY_AND_DISK)
     singles = V.codepoint_counts(mapped)
-    grams = V.ngram_counts(V.byte_budget(mapped, config.sample_bytes), 2, config.max_piece_len, config.min_count, config.fallback_char, V.start_filter(singles))
+    some = V.byte_budget(mapped, config.sample_bytes)
+    some = some.repartition(some.sparkSession.sparkContext.defaultParallelism)  # sample_bytes at most
+    grams = V.ngram_counts(some, 2, config.max_piece_len, config.min_count, config.fallback_char, V.start_filter(singles))
     singles = singles.select("ch", "cnt")
     return mapped, V.vocabulary(singles, V.candidates(grams, config.cand_total, config.max_piece_len))
 
@@ -161,15 +174,15 @@ def train(docs: DataFrame, config: TrainConfig = TrainConfig(), gold: DataFrame
     if crf_config:
         crf = crf.overridden(crf_config[0], crf_config[1])
     if gold is not None:
-        crf = crf_fit(gold_sequences(gold, config.max_sentence_cp), crf, config)
+        crf = crf_fit(gold_sequences(gold, config.max_sentence_cp, config.classes), crf, config)
     if config.crf_unsupervised:
         some = corpus_lines(docs).orderBy("doc_id", "line_no").limit(config.crf_unsup_sentences)
         lm = L.Model(trained.toPandas()["piece"].tolist(), np.zeros(0), max_len=config.max_piece_len, logp=trained.toPandas()["logp"].to_numpy())
-        crf = crf_fit(pseudo_labels(some, lm), crf, config)
+        crf = crf_fit(pseudo_labels(some, lm, config.classes), crf, config)
     lines.unpersist()
     q = quantized(chosen["logp"].to_numpy())
     return (
-        L.Model(chosen["piece"].tolist(), q, crf.quantized(), config.max_piece_len, int(quantized(config.lambda0)), int(quantized(config.unk_base)), int(quantized(config.unk_per_cp)), **crf.scalars(), logp=chosen["logp"].to_numpy()),
+        L.Model(chosen["piece"].tolist(), q, crf.quantized(), config.max_piece_len, int(quantized(config.lambda0)), int(quantized(config.unk_base)), int(quantized(config.unk_per_cp)), **crf.scalars(), logp=chosen["logp"].to_numpy(), flags=L.LOSSLESS_WS if config.lossless_ws or config.encode_corpus else 0, cc_mode=config.cc_mode, cc_fallback=config.cc_fallback, cc_ranges=config.cc_ranges),
         history,
     )
 
@@ -222,9 +235,8 @@ class CrfWeights:
         return {f"trans{n}": int(quantized(w)) for n, w in zip(("00", "01", "10", "11"), self.trans)} | {"bos_to1": int(quantized(self.bos))}
 
 
-def gold_sequences(lines: DataFrame, max_sentence_cp: int = 2048, gold_classes: bool = False) -> DataFrame:
-    """(cls, y) of each line of tokens: its characters' classes, and 1 where a token begins. Lines without tokens, or too long, are left out."""
-    of = gold_class if gold_classes else char_class
+def gold_sequences(lines: DataFrame, max_sentence_cp: int = 2048, of=char_class) -> DataFrame:
+    """(cls, y) of each line of tokens: its characters' classes by the function `of`, and 1 where a token begins. Lines without tokens, or too long, are left out."""
     keys = [c for c in lines.columns if c != "line"]
     chars = characters(F.col("line"))
     before = F.concat(F.array(F.lit(" ")), F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))))
@@ -233,15 +245,20 @@ def gold_sequences(lines: DataFrame, max_sentence_cp: int = 2048, gold_classes:
     return some.select(*keys, F.transform("s", lambda s: of(code_point(s["c"]))).alias("cls"), F.col("s.y").alias("y"))
 
 
-def pseudo_labels(lines: DataFrame, model: L.Model) -> DataFrame:
-    """(cls, y) of each line by the unigram model's best path; every character begins a word where there is none."""
+def pseudo_labels(lines: DataFrame, model: L.Model, of=char_class, keep: DataFrame | None = None) -> DataFrame:
+    """(cls, y) of each line by the unigram model's best path; every character begins a word where there is none.
+
+    With keep, (ch) of the characters that aren't rare, the path is that of the line with rare ones mapped.
+    """
     from lexweave.operators.segment import tokenize_lm
 
+    if keep is not None:
+        lines = V.map_rare(lines, keep)
     keys = [c for c in lines.columns if c != "line"]
     found = tokenize_lm(lines, model)
     n = F.char_length("line")
     marks = F.flatten(F.transform("tokens", lambda t: F.concat(F.array(F.lit(1)), F.array_repeat(F.lit(0), F.char_length(t) - 1))))
-    return found.select(*keys, F.transform(characters(F.col("line")), lambda c: char_class(code_point(c))).alias("cls"), F.when(F.col("tokens").isNull(), F.array_repeat(F.lit(1), n)).otherwise(marks).alias("y")).filter(F.size("cls") > 0)
+    return found.select(*keys, F.transform(characters(F.col("line")), lambda c: of(code_point(c))).alias("cls"), F.when(F.col("tokens").isNull(), F.array_repeat(F.lit(1), n)).otherwise(marks).alias("y")).filter(F.size("cls") > 0)
 
 
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -43,9 +43,25 @@ def keep_chars(counts: DataFrame, char_vocab: int, fallback: str = "?") -> DataF
 
 
 def map_rare(lines: DataFrame, keep: DataFrame, fallback: str = "?") -> DataFrame:
-    """The lines with characters outside the keep-set as the fallback. The keep-set is a character class of one regular expression: it has char_vocab members at most."""
-    kept = "".join(f"\\x{{{r[0]:x}}}" for r in keep.select("cp").collect())
-    return lines.withColumn("line", F.regexp_replace("line", f"[^{kept}]", fallback.replace("\\", "\\\\").replace("$", "\\$")))
+    """The lines with characters outside the keep-set as the fallback. The keep-set has char_vocab members at most; a character is looked up in a table of all code points."""
+    table = np.zeros(0x110000, bool)
+    table[[r[0] for r in keep.select("cp").collect()]] = True
+    shared = lines.sparkSession.sparkContext.broadcast(np.packbits(table))
+    names = lines.columns
+    at, other = names.index("line"), np.uint32(ord(fallback))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(shared.value).view(bool)
+        for b in parts:
+            texts = b.column(at).to_pylist()
+            points, offs = code_points([t or "" for t in texts])
+            all_text = np.where(known[points], points, other).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            new = [None if t is None else all_text[lo:hi] for t, lo, hi in zip(texts, offs.tolist(), offs[1:].tolist())]
+            cols = list(b.columns)
+            cols[at] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return map_arrow(lines, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema))
 
 
 def _starts(points: np.ndarray, filter_starts: str) -> np.ndarray:
@@ -68,7 +84,7 @@ def ngram_counts(lines: DataFrame, n_min: int = 2, n_max: int = 8, min_count: in
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            texts = b.column(0).to_pylist()
+            texts = [t for t in b.column(0).to_pylist() if t]
             points, offs = code_points(texts)
             if not len(points):
                 continue

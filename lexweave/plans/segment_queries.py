@@ -206,7 +206,7 @@ def pseudo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.gold_sequences(lines_of(spark, sf_dir), gold_classes=True)
+    found = R.gold_sequences(lines_of(spark, sf_dir), of=T.gold_class)
     return found.select("doc_id", "line_no", F.array_join("y", "").alias("y"), F.array_join("cls", ",").alias("cls"))
 
 

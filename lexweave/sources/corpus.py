@@ -13,9 +13,18 @@ TRIMMED = " \t\r"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores; a small file is one split. Large inputs aren't moved."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df in as many partitions as there are cores, where it is too small for as many splits of files. Larger inputs, and streams, aren't moved.
+
+    The size is the plan's own estimate, so no job runs for it; a plan that holds a repartitioning already is left alone.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    small = plan.stats().sizeInBytes() < cores * split
+    return df.repartition(cores) if small and "Repartition" not in plan.toString() else df
 
 
 def corpus_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

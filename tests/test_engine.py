@@ -1,10 +1,14 @@
 """Training, segmentation and streams end to end."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexweave.functions.model import SegmenterModel
+from lexweave.functions.text import ClassRange
+from lexweave.operators import lattice as L
 from lexweave.operators import pipeline as P
 from lexweave.operators import segment as S
 from lexweave.operators import training as R
@@ -87,6 +91,7 @@ def test_model_object(spark, docs, trained, tmp_path):
         elif r.text == "":
             assert r.a == []
     m.register()
+    assert spark.sql("select nbest8('the cat') n").first().n[0].tokens == spark.sql("select tokenize('the cat') t").first().t
     docs.createOrReplaceTempView("texts")
     assert spark.sql("select size(tokenize(text)) n from texts where doc_id = 1").first().n > 0
     assert spark.sql("select t.doc_id, b.rank, b.score from texts t, lateral nbest_rows(t.text, 2) b where t.doc_id = 3").count() == 2
@@ -100,8 +105,45 @@ def test_bigram_models_segment(spark, docs, trained):
     import copy
 
     m = copy.copy(trained[0])
-    m.bigrams = {(0, 1): 100}
-    assert S.tokenize(C.corpus_lines(docs), m).filter("array_join(tokens, '') <> line").count() == 0
+    r = np.random.default_rng(1)
+    m.bigrams = {(int(a), int(b)): int(q) for a, b, q in zip(r.choice([L.BOS_ID, *range(len(m.pieces))], 400), r.integers(0, len(m.pieces), 400), r.integers(-900, 900, 400))}
+    lines = C.corpus_lines(docs)
+    assert S.tokenize(lines, m).filter("array_join(tokens, '') <> line").count() == 0
+    best = {(x.doc_id, x.line_no): (x.score, x.tokens) for x in S.tokenize(lines, m).collect()}
+    several = {(x.doc_id, x.line_no): (x.nbest[0].score, x.nbest[0].tokens) for x in S.tokenize_nbest(lines, m, 3).collect()}
+    assert best == several
+
+
+def test_texts_of_other_bytes(spark, trained):
+    d = spark.createDataFrame([(1, b"the \xff cat\nsat\xe3\x81"), (2, "日本語".encode())], "doc_id bigint, text binary")
+    got = {(r.doc_id, r.line_no): "".join(r.tokens) for r in P.tokenize_df(d, trained[0], fallback_char="#").collect()}
+    assert got == {(1, 0): "the # cat", (1, 1): "sat##", (2, 0): "日本語"}
+    plain = {(r.doc_id, r.line_no): "".join(r.tokens) for r in P.tokenize_df(d.filter("doc_id = 2"), trained[0], normalize=False).collect()}
+    assert plain == {(2, 0): "日本語"}
+
+
+def test_classes_and_flags_go_with_the_model(spark, docs, tmp_path):
+    ranges = (ClassRange(0x3040, 0x30FF, 4), ClassRange(0x4E00, 0x9FFF, 6))
+    config = replace(CONFIG, lossless_ws=True, lossless_eol=True, cc_mode="ranges", cc_ranges=ranges, iters=1)
+    model, _ = R.train(docs, config)
+    assert "▃" in model.pieces and model.lossless_ws and model.cc_ranges == ranges
+    m = SegmenterModel(spark, model)
+    for at in (str(tmp_path / "m"), str(tmp_path / "m.bin")):
+        m.save(at)
+        again = SegmenterModel.load(spark, at).model
+        assert (again.lossless_ws, again.cc_mode, again.cc_ranges, again.cc_fallback) == (True, "ranges", ranges, "utf8len")
+        found = P.detokenize_df(P.tokenize_df(docs, again, read_all=True))
+        assert {(r.doc_id, r.text) for r in found.collect()} == {(d, t) for d, t in SAMPLE}
+
+
+def test_spread_runs_no_job_and_leaves_streams(spark, docs, tmp_path):
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    out = C.spread(C.spread(C.corpus_lines(docs)).groupBy("doc_id").count())
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    (tmp_path / "in").mkdir()
+    assert C.spread(stream.text_stream(spark, str(tmp_path / "in"))).isStreaming
+    assert out.count() == 61
 
 
 def test_boundary_scores(spark):

@@ -3,10 +3,12 @@
 import collections
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 
+from lexweave.functions.text import ClassRange
 from lexweave.operators import lattice as L
 from lexweave.operators import training as R
 from lexweave.sources import model_store
@@ -27,7 +29,7 @@ def path_scores(m, x):
     before, after, e = [12, *c[:-1]], [*c[1:], 13], m.emit
     out = []
     for cut in segmentations(len(x), m.max_len):
-        total, p, last = m.bos_to1, 0, None
+        total, p, last = m.bos_to1, 0, L.BOS_ID
         for k in cut:
             w = x[p : p + k]
             known = w in m.pieces
@@ -58,13 +60,18 @@ def test_best_paths(bigrams):
         pieces = sorted({"".join(r.choice("ab1あ。") for _ in range(r.randrange(1, most + 1))) for _ in range(r.randrange(1, 12))})
         m = L.Model(pieces, np.array([r.randrange(-3000, 0) for _ in pieces], np.int64), {k: r.choice([-20, 0, 30, 100]) for k in R.feature_keys().tolist()}, most, lambda0=r.choice([0, 13, 256]))
         if bigrams:
-            m.bigrams = {(r.randrange(len(pieces)), r.randrange(len(pieces))): r.randrange(-2000, 500) for _ in range(6)}
+            m.bigrams = {(r.choice([L.BOS_ID, *range(len(pieces))]), r.randrange(len(pieces))): r.randrange(-2000, 500) for _ in range(12)}
         texts = ["".join(r.choice("ab1あ。") for _ in range(r.randrange(1, 9))) for _ in range(5)]
         lat = L.Lattice(texts, m.table, most)
         scores = lat.joint_scores(m)
         two, value2 = L.bigram_viterbi(lat, scores, m)
         for k, x in enumerate(texts):
             assert value2[k] == max(path_scores(m, x))[0]
+        several = L.bigram_nbest(lat, scores, m, 4)
+        for k, x in enumerate(texts):
+            of = {tuple(np.cumsum([0, *cut]).tolist()): v for v, cut in path_scores(m, x)}
+            assert [v for v, _ in several[k]] == sorted(of.values(), reverse=True)[:4] and several[k][0][1].tolist() == two[k].tolist()
+            assert all(of[tuple(b.tolist())] == v for v, b in several[k]) and len({tuple(b.tolist()) for _, b in several[k]}) == len(several[k])
         if bigrams:
             continue
         one, value = L.viterbi(lat, scores, m.bos_to1)
@@ -150,19 +157,112 @@ def test_generator():
     assert L.xorshift32(np.array([1], np.uint32))[0] == 270369
 
 
+@pytest.mark.parametrize("mode", L.MODES)
+def test_classes_are_those_of_the_column_function(spark, mode):
+    from pyspark.sql import functions as F
+
+    from lexweave.functions.text import ClassRange, char_class
+
+    ranges = (ClassRange(0x61, 0x7A, 77), ClassRange(0xC0, 0x17F, 3), ClassRange(0x3000, 0x303F, 0), ClassRange(0x3040, 0x30FF, 20))
+    points = [*range(0, 0x400), *range(0x2570, 0x2590), *range(0x2FF0, 0x3100), 0x4E00, 0x9FFF, 0xFF00, 0xFFEF, 0xFFF0, 0x1F600]
+    for fallback in ("utf8len", "ascii"):
+        got = L.classes(np.array(points, np.uint32), mode, ranges, fallback).tolist()
+        want = spark.createDataFrame([(c,) for c in points], "cp int").select("cp", char_class(F.col("cp"), mode, ranges, fallback).alias("c")).collect()
+        assert dict(zip(points, got)) == dict(map(tuple, want))
+
+
+def test_long_texts_as_in_short_steps(monkeypatch):
+    r = random.Random(4)
+    pieces = sorted({"".join(r.choice("abc") for _ in range(r.randrange(1, 6))) for _ in range(60)})
+    lp = np.log(np.random.default_rng(0).dirichlet(np.ones(len(pieces))))
+    m = L.Model(pieces, R.quantized(lp), {k: r.choice([-20, 0, 30, 100]) for k in R.feature_keys().tolist()}, 5, logp=lp)
+    texts = ["".join(r.choice("abc 1") for _ in range(n)) for n in (1, 7, 40, 41, 120, 997, 3000, 64, 65)] + ["abcab" * 300, "x" * 70]
+    found = []
+    for long in (10**9, 16):
+        monkeypatch.setattr(L, "LONG", long)
+        monkeypatch.setattr(L, "CHUNK", 32)
+        lat = L.Lattice(texts, m.table, 5)
+        scores, lm = lat.joint_scores(m), lat.lm_scores(lp)
+        one, two = L.viterbi(lat, scores, m.bos_to1), L.viterbi(lat, lm, 0.0, longest_wins=True)
+        counts = L.expected_counts(lat, lp)
+        drawn = L.sample(lat, scores, m.bos_to1, 1.5, np.arange(len(texts)))
+        found.append((one, two, counts, drawn))
+    a, b = found
+    assert a[0][1].tolist() == b[0][1].tolist() and [x.tolist() for x in a[0][0]] == [x.tolist() for x in b[0][0]]
+    assert np.allclose(np.nan_to_num(a[1][1], neginf=-1e9), np.nan_to_num(b[1][1], neginf=-1e9)) and [x is None for x in a[1][0]] == [x is None for x in b[1][0]] and any(x is not None and x[-1] > 1000 for x in b[1][0])
+    assert np.allclose(a[2][0], b[2][0]) and np.allclose(a[2][1:], b[2][1:])
+    assert [x.tolist() for x in a[3][0]] == [x.tolist() for x in b[3][0]]
+
+
+def plain_draw(m, x, temperature, seed):
+    """A path drawn over states (place, last length), one number at a time, by the definition."""
+    lat = L.Lattice([x], m.table, m.max_len)
+    scores, n, top = lat.joint_scores(m), len(x), m.max_len
+    ids = lambda p, k: int(lat.ids[k - 1, p])
+
+    def edge(p, k, j):
+        prev = L.BOS_ID if j == 0 else ids(p - k, j)
+        cur, lm = ids(p, k), 0
+        if cur >= 0 and prev >= 0 and (prev, cur) in m.bigrams:
+            lm = (m.lambda0 * m.bigrams[prev, cur] >> 8) - (m.lambda0 * int(m.logp_q[cur]) >> 8)
+        return int(scores[k - 1, p]) + lm
+
+    alpha = {(0, 0): m.bos_to1 / 256 / temperature}
+    for p in range(1, n + 1):
+        for k in range(1, min(top, p) + 1):
+            parts = [alpha[p - k, j] + edge(p, k, j) / 256 / temperature for j in range(top + 1) if (p - k, j) in alpha]
+            alpha[p, k] = max(parts) + math.log(sum(math.exp(v - max(parts)) for v in parts))
+
+    def draw(options):
+        nonlocal seed
+        seed = int(L.xorshift32(np.array([seed or 0x12345678], np.uint32))[0])
+        u, acc = (seed >> 8) / (1 << 24) * sum(w for _, w in options), 0.0
+        for v, w in options:
+            acc += w
+            if u <= acc:
+                return v
+        return options[-1][0]
+
+    ends = [alpha[n, k] for k in range(1, min(top, n) + 1)]
+    k, p, out = draw([(k, math.exp(alpha[n, k] - max(ends))) for k in range(1, min(top, n) + 1)]), n, [n]
+    while p - k:
+        q = p - k
+        lw = {j: alpha[q, j] + edge(p, k, j) / 256 / temperature for j in range(1, min(top, q) + 1)}
+        p, k = q, draw([(j, math.exp(v - max(lw.values()))) for j, v in lw.items()])
+        out.append(p)
+    return [0, *out[::-1]]
+
+
+@pytest.mark.parametrize("bigrams", [False, True])
+def test_drawn_paths_by_their_seeds(bigrams):
+    r = random.Random(7)
+    pieces = sorted({"".join(r.choice("ab1") for _ in range(r.randrange(1, 4))) for _ in range(12)})
+    m = L.Model(pieces, np.array([r.randrange(-900, 0) for _ in pieces], np.int64), R.CrfWeights.preset().quantized(), 3)
+    if bigrams:
+        m.bigrams = {(r.choice([L.BOS_ID, *range(len(pieces))]), r.randrange(len(pieces))): r.randrange(-900, 300) for _ in range(40)}
+    texts = ["".join(r.choice("ab1") for _ in range(r.randrange(1, 12))) for _ in range(120)]
+    seeds = np.array([r.randrange(2**32) for _ in texts])
+    lat = L.Lattice(texts, m.table, 3)
+    bounds, score = L.drawn_paths(lat, m, 2.0, seeds)
+    for x, s, b, v in zip(texts, seeds.tolist(), bounds, score):
+        assert b.tolist() == plain_draw(m, x, 2.0, s)
+        assert {tuple(np.cumsum([0, *cut]).tolist()): q for q, cut in path_scores(m, x)}[tuple(b.tolist())] == v
+
+
 @pytest.fixture
 def small_model():
-    return L.Model(["a", "ab", "あ", "漢字"], np.array([-1, -2, -3, -400]), R.CrfWeights.preset().quantized(), 3, bigrams={(0, 1): -5})
+    return L.Model(["a", "ab", "あ", "漢字"], np.array([-1, -2, -3, -400]), R.CrfWeights.preset().quantized(), 3, bigrams={(0, 1): -5}, flags=1, cc_mode="ranges", cc_ranges=(ClassRange(0x3040, 0x30FF, 4), ClassRange(0x4E00, 0x9FFF, 200)))
 
 
 def test_binary_file(small_model):
     data = model_store.to_bytes(small_model)
-    again, extra = model_store.from_bytes(data)
+    again = model_store.from_bytes(data)
     for f in ("pieces", "crf", "bigrams", "max_len", *model_store.SCALARS):
         assert getattr(again, f) == getattr(small_model, f)
-    assert again.logp_q.tolist() == small_model.logp_q.tolist() and extra["mode"] == 3
+    assert again.logp_q.tolist() == small_model.logp_q.tolist() and (again.cc_mode, again.cc_fallback, again.cc_ranges, again.flags) == ("ranges", "utf8len", small_model.cc_ranges, 1 | 1 << 10)
+    data = model_store.to_bytes(replace(small_model, cc_ranges=()))
     old = data[:4] + b"v1\0\0" + (1).to_bytes(4, "little") + data[12:52] + data[64:]
-    assert model_store.from_bytes(old)[0].pieces == small_model.pieces and model_store.from_bytes(old)[1]["mode"] == 1
+    assert model_store.from_bytes(old).pieces == small_model.pieces and model_store.from_bytes(old).cc_mode == "utf8len"
     for broken, code in ((data[:20], -11), (b"x" * 100, -12), (data[:8] + b"\7" + data[9:], -13), (data[:-1], -19)):
         with pytest.raises(model_store.ModelFileError) as e:
             model_store.from_bytes(broken)
@@ -173,4 +273,5 @@ def test_binary_file(small_model):
 def test_parquet_model(spark, small_model, tmp_path):
     model_store.save(small_model, spark, str(tmp_path))
     again = model_store.load(spark, str(tmp_path))
+    assert (again.flags, again.cc_mode, again.cc_fallback, again.cc_ranges) == (small_model.flags, small_model.cc_mode, small_model.cc_fallback, small_model.cc_ranges)
     assert (again.pieces, again.crf, again.bigrams, again.lambda0) == (small_model.pieces, small_model.crf, small_model.bigrams, small_model.lambda0)
