@@ -60,16 +60,16 @@ def segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndar
     return i * base + np.maximum(longer, 0), base + (longer >= 0)
 
 
+_PAIR_BIT = np.uint64(1) << (mix(np.arange(1 << 16, dtype=np.uint64)) >> np.uint64(58))
+
+
 def parities(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64 bits of each line: of which of 64 classes of byte pairs it has an odd number. Lines have a byte or more."""
+    """64 bits of each line: of which of 64 classes of byte pairs it has an odd number. Lines have two bytes or more."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    pair = data.astype(np.uint64)
-    pair[:-1] = mix(pair[:-1] << np.uint64(8) | pair[1:]) >> np.uint64(58)
-    pair[start + size - 1] = 64  # the last byte begins no pair
-    bit = np.where(pair < 64, np.uint64(1) << (pair & np.uint64(63)), np.uint64(0))
-    ends = np.append(bit, np.uint64(0))
-    return np.bitwise_xor.reduceat(ends, np.stack([start, start + size], axis=1).ravel())[::2]
+    sums = np.zeros(len(data), np.uint64)
+    np.bitwise_xor.accumulate(_PAIR_BIT[data[:-1].astype(np.uint16) << np.uint16(8) | data[1:]], out=sums[1:])
+    return sums[start + size - 1] ^ sums[start]
 
 
 def segment_records(p: Prefix, start: np.ndarray, size: np.ndarray, hashes: np.ndarray, bits: np.ndarray, edits: int, least: int) -> Iterator[tuple[int, np.ndarray]]:
