@@ -261,6 +261,39 @@ def pseudo_labels(lines: DataFrame, model: L.Model, of=char_class, keep: DataFra
     return found.select(*keys, F.transform(characters(F.col("line")), lambda c: of(code_point(c))).alias("cls"), F.when(F.col("tokens").isNull(), F.array_repeat(F.lit(1), n)).otherwise(marks).alias("y")).filter(F.size("cls") > 0)
 
 
+def gold_arrays(texts: list[str], max_sentence_cp: int = 2048, mode: str = "compat", ranges: tuple = (), fallback: str = "utf8len") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What gold_sequences gives for these lines, as flat arrays of classes and labels, and the kept lines' offsets."""
+    points, offs = L.code_points(texts)
+    blank = (points == 32) | (points == 9)
+    row = np.repeat(np.arange(len(texts)), np.diff(offs))
+    before = np.r_[True, blank[:-1]][: len(points)]
+    before[offs[:-1][np.diff(offs) > 0]] = True
+    size = np.bincount(row[~blank], minlength=len(texts))
+    good = (size > 0) & (size <= max_sentence_cp)
+    keep = ~blank & good[row]
+    return L.classes(points[keep], mode, ranges, fallback).astype(np.int64), before[keep].astype(np.int64), np.r_[0, np.cumsum(size[good])]
+
+
+def gold_counts(lines: DataFrame, count, keys: str, max_sentence_cp: int = 2048) -> DataFrame:
+    """(keys.., cnt): count(cls, y, offs) gives arrays of keys, a row each, for lines of tokens. Tasks send each key once."""
+    names = [k.strip().split()[0] for k in keys.split(",")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: list[np.ndarray] = []
+        for b in batches:
+            rows = count(*gold_arrays([t for t in b.column(0).to_pylist() if t], max_sentence_cp))
+            found, n = np.unique(rows, axis=1, return_counts=True)
+            total.append(np.vstack([found, n]))
+        if total:
+            both = np.concatenate(total, axis=1)
+            found, where = np.unique(both[:-1], axis=1, return_inverse=True)
+            n = np.bincount(where.ravel(), weights=both[-1], minlength=found.shape[1]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in found), pa.array(n)], [*names, "cnt"])
+
+    parts = map_arrow(spread(lines.select("line")), work, f"{keys}, cnt bigint")
+    return parts.groupBy(*names).agg(F.sum("cnt").alias("cnt"))
+
+
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cls, y = (b.column(k).combine_chunks() if isinstance(b.column(k), pa.ChunkedArray) else b.column(k) for k in (0, 1))
     return cls.flatten().to_numpy(zero_copy_only=False).astype(np.int64), y.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, np.cumsum(cls.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
@@ -345,19 +378,21 @@ def crf_gradient(cls: np.ndarray, y: np.ndarray, offs: np.ndarray, w: CrfWeights
     return grad[:-1], g.ravel(), float(ll), len(cls)
 
 
-def crf_pass(sequences: DataFrame, w: CrfWeights) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """crf_gradient over a whole table; every task sends one row of 424 numbers."""
+def crf_pass(sequences: DataFrame, w: CrfWeights, max_sentence_cp: int = 2048) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """crf_gradient over a whole table of (cls, y), or of lines of tokens; every task sends one row of 424 numbers."""
     shared = sequences.sparkSession.sparkContext.broadcast(w)
+    lines = "cls" not in sequences.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(w.feat) + 6)
         for b in batches:
             if b.num_rows:
-                grad, trans, ll, n = crf_gradient(*_flat(b), shared.value)
+                flat = gold_arrays([t for t in b.column(0).to_pylist() if t], max_sentence_cp) if lines else _flat(b)
+                grad, trans, ll, n = crf_gradient(*flat, shared.value)
                 total += np.r_[grad, trans, ll, n]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
 
-    rows = map_arrow(sequences.select("cls", "y"), work, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    rows = map_arrow(sequences.select(*(["line"] if lines else ["cls", "y"])), work, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
     total = np.zeros(len(w.feat) + 6)
     for k, v in rows:
         total[k] = v

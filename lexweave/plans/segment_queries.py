@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +14,9 @@ from lexweave.operators import lattice as L
 from lexweave.operators import segment as S
 from lexweave.operators import training as R
 from lexweave.operators import vocabulary as V
-from lexweave.plans.text_queries import CHARS, LINES, class_sql, gold_class_sql, lines_of
-from lexweave.sources.corpus import spread
+from lexweave.plans.text_queries import CHARS, LINES, RANGES, class_sql, gold_class_sql, lines_of
+from lexweave.ship import map_arrow
+from lexweave.sources.corpus import parse_crf_config, parse_ranges, spread
 
 MAX_LEN = 4
 MIN_COUNT = 50
@@ -24,6 +28,7 @@ TARGET = 1500
 LAMBDA0, LAMBDA_LEN = 2000.0, 0.15
 SINGLES = 40
 UNK_BASE, UNK_PER_CP = -1280, -256
+CRF_CONFIG = "trans00 = 0.3  # a scalar\nfeat 0 1 1 0 = 1.25\nfeat 3 0 250 3 = -0.5\nfeat 4 1 3 0x8 = 0.75\n"
 
 
 # --- vocabulary
@@ -53,9 +58,23 @@ def byte_budget_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.byte_budget(lines_of(spark, sf_dir), BUDGET)
 
 
+_vocabularies: dict = {}
+
+
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    singles = V.codepoint_counts(spread(lines_of(spark, sf_dir))).select("ch", "cnt")
-    return V.settled(V.vocabulary(singles, ngram_top_global(spark, sf_dir)))
+    """The vocabulary of the documents, made once a session and state of their files, and kept on the driver: it has CAND_TOTAL rows and one a character."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    state = lambda p: fs.Path(p).getFileSystem(conf).getFileStatus(fs.Path(p)).toString()
+    key = spark.sparkContext.applicationId, tuple(sorted(state(p) for p in docs.inputFiles()))
+    if key not in _vocabularies:
+        singles = V.codepoint_counts(spread(lines_of(spark, sf_dir))).select("ch", "cnt")
+        found = V.vocabulary(singles, ngram_top_global(spark, sf_dir))
+        _vocabularies.clear()
+        _vocabularies[key] = found.toArrow(), found.schema
+    rows, schema = _vocabularies[key]
+    return spark.createDataFrame(rows, schema).coalesce(1)
 
 
 def vocab_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,13 +129,20 @@ def oov_span_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contexts(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, pos, prev, cur, nxt): the classes around each character, without a shuffle."""
-    cls = spread(lines).select("doc_id", "line_no", F.transform(T.characters(F.col("line")), lambda c: T.char_class(T.code_point(c)).cast("bigint")).alias("c"))
-    n = F.size("c")
-    prev = F.concat(F.array(F.lit(L.BOS).cast("bigint")), F.slice("c", F.lit(1), n - 1))
-    nxt = F.concat(F.slice("c", F.lit(2), n - 1), F.array(F.lit(L.EOS).cast("bigint")))
-    rows = cls.select("doc_id", "line_no", F.posexplode(F.arrays_zip(prev.alias("prev"), F.col("c").alias("cur"), nxt.alias("nxt"))).alias("pos", "r"))
-    return rows.select("doc_id", "line_no", F.col("pos").cast("bigint").alias("pos"), "r.prev", "r.cur", "r.nxt")
+    """(prev, cur, nxt, cnt): how often each class stands between two others. Tasks send each triple once."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 24, np.int64)
+        for b in parts:
+            points, offs = L.code_points([t for t in b.column(0).to_pylist() if t])
+            cur = L.classes(points).astype(np.int64)
+            prev, nxt = R.contexts(cur, offs)
+            np.add.at(total, prev << 16 | cur << 8 | nxt, 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at >> 16, at >> 8 & 255, at & 255, total[at])], ["prev", "cur", "nxt", "cnt"])
+
+    parts = map_arrow(spread(lines.select("line")), count, "prev bigint, cur bigint, nxt bigint, cnt bigint")
+    return parts.groupBy("prev", "cur", "nxt").agg(F.sum("cnt").alias("cnt"))
 
 
 def crf_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +162,7 @@ def emissions(spark: SparkSession, triples: DataFrame) -> DataFrame:
 
 
 def crf_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    triples = contexts(lines_of(spark, sf_dir)).groupBy("prev", "cur", "nxt").agg(F.count("*").alias("cnt"))
+    triples = contexts(lines_of(spark, sf_dir))
     return triples.join(emissions(spark, triples), ["prev", "cur", "nxt"])
 
 
@@ -153,7 +179,7 @@ def segment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = contexts(lines_of(spark, sf_dir)).select("prev", "cur", "nxt").distinct()
+    t = contexts(lines_of(spark, sf_dir))
     return t.select("prev", "cur", "nxt", T.feature_key(F.lit(3), F.lit(1), F.col("prev"), F.col("cur")).alias("key_pc"), T.feature_key(F.lit(4), F.lit(0), F.col("cur"), F.col("nxt")).alias("key_cn"))
 
 
@@ -211,21 +237,22 @@ def gold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crf_empirical_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = R.gold_sequences(lines_of(spark, sf_dir)).select("doc_id", "line_no", "cls", "y")
-    n = F.size("cls")
-    prev, nxt = F.concat(F.array(F.lit(L.BOS)), F.slice("cls", F.lit(1), n - 1)), F.concat(F.slice("cls", F.lit(2), n - 1), F.array(F.lit(L.EOS)))
-    y_next = F.concat(F.slice("y", F.lit(2), n - 1), F.array(F.lit(1)))
-    rows = spread(gold).select(F.explode(F.arrays_zip(prev.alias("p"), F.col("cls").alias("c"), nxt.alias("n"), F.col("y").alias("y"), y_next.alias("z"))).alias("r")).groupBy("r").agg(F.count("*").alias("m"))
+    def count(cls: np.ndarray, y: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        prev, nxt = R.contexts(cls, offs)
+        after = np.r_[y[1:], 1][: len(y)]
+        after[offs[1:] - 1] = 1
+        return np.stack([prev, cls, nxt, y, after])
+
+    rows = R.gold_counts(lines_of(spark, sf_dir), count, "p bigint, c bigint, n bigint, y bigint, z bigint")
     zero = F.lit(0)
-    p, c, x, y, z = (F.col(f"r.{k}") for k in ("p", "c", "n", "y", "z"))
+    p, c, x, y, z = (F.col(k) for k in ("p", "c", "n", "y", "z"))
     key = lambda t, a, b: T.feature_key(F.lit(t), y, a, b)
     keys = F.array(key(0, c, zero), key(1, p, zero), key(2, x, zero), key(3, p, c), key(4, c, x), (-1 - 2 * y - z).cast("bigint"))
-    return rows.select(F.explode(keys).alias("key"), "m").groupBy("key").agg(F.sum("m").alias("cnt"))
+    return rows.select(F.explode(keys).alias("key"), "cnt").groupBy("key").agg(F.sum("cnt").alias("cnt"))
 
 
 def crf_gradient_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = R.gold_sequences(lines_of(spark, sf_dir))
-    grad, trans, ll, n = R.crf_pass(spread(gold), R.CrfWeights.preset())
+    grad, trans, ll, n = R.crf_pass(spread(lines_of(spark, sf_dir)), R.CrfWeights.preset())
     rows = [(int(k), round(float(g), 4)) for k, g in zip(R.feature_keys(), grad)] + [(-1 - k, round(float(g), 4)) for k, g in enumerate(trans)] + [(-5, round(float(ll), 3)), (-6, float(n))]
     return spark.createDataFrame(rows, "key bigint, gradient double")
 
@@ -244,15 +271,55 @@ def _offsets(unit: str):
 
 def boundary_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words by blanks as the truth, runs of one character class as what is found."""
-    gold = R.gold_sequences(lines_of(spark, sf_dir), max_sentence_cp=1 << 30).select("doc_id", "line_no", "cls", "y")
-    n = F.size("cls")
-    before = F.concat(F.array(F.lit(L.BOS)), F.slice("cls", F.lit(1), n - 1))
-    rows = spread(gold).select(F.explode(F.arrays_zip(F.zip_with("cls", before, lambda a, b: (a != b).cast("int")).alias("f"), F.col("y").alias("g"))).alias("r"))
-    sums = rows.agg(F.sum("r.f").alias("found"), F.sum("r.g").alias("gold"), F.sum(F.col("r.f") * F.col("r.g")).alias("hits"))
+
+    def count(cls: np.ndarray, y: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        return np.stack([(cls != R.contexts(cls, offs)[0]).astype(np.int64), y])
+
+    rows = R.gold_counts(lines_of(spark, sf_dir), count, "f bigint, g bigint", 1 << 30)
+    return _f1(rows.agg(*(F.sum(x * F.col("cnt")).alias(k) for k, x in (("found", F.col("f")), ("gold", F.col("g")), ("hits", F.col("f") * F.col("g"))))))
+
+
+def _f1(sums: DataFrame) -> DataFrame:
     p, r = F.col("hits") / F.col("found"), F.col("hits") / F.col("gold")
     return sums.select("found", "gold", "hits", F.round(p, 9).alias("precision"), F.round(r, 9).alias("recall"), F.round(2 * p * r / (p + r), 9).alias("f1"))
 
 
+def model_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words by blanks as the truth; what is found are the words of the joint model in the lines without their blanks."""
+    m = model(spark, sf_dir)
+    shared = spark.sparkContext.broadcast(m)
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(3, np.int64)
+        for b in parts:
+            texts = [t for t in b.column(0).to_pylist() if t]
+            plain = [t.replace(" ", "").replace("\t", "") for t in texts]
+            for part in L.batches(plain):
+                _, y, offs = R.gold_arrays([texts[k] for k in part], 1 << 30)
+                some = [plain[k] for k in part if plain[k]]
+                starts = np.zeros(len(y), np.int64)
+                for lo, x in zip(offs, L.best_paths(L.Lattice(some, shared.value.table, shared.value.max_len), shared.value)[0] if some else []):
+                    starts[lo + x[:-1]] = 1
+                total += [starts.sum(), y.sum(), (starts & y).sum()]
+        yield pa.RecordBatch.from_arrays([pa.array(total[k : k + 1]) for k in range(3)], ["found", "gold", "hits"])
+
+    parts = map_arrow(spread(lines_of(spark, sf_dir).select("line")), work, "found bigint, gold bigint, hits bigint")
+    return _f1(parts.agg(*(F.sum(c).alias(c) for c in ("found", "gold", "hits"))))
+
+
+def crf_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preset with a configuration's weights in place of its own."""
+    _, weights, _ = parse_crf_config(CRF_CONFIG)
+    given = spark.createDataFrame(sorted(weights.items()), "key bigint, given double")
+    t = R.preset_table(spark).join(F.broadcast(given), "key", "left")
+    return t.select(*(F.col(c).cast("bigint").alias(c) for c in ("tid", "label", "v1", "v2", "key")), T.quantize(F.coalesce("given", "weight")).cast("bigint").alias("weight_q"))
+
+
+def class_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of ranges as rows, in order."""
+    return spark.createDataFrame([(r.lo, r.hi, r.class_id) for r in parse_ranges(RANGES)], "lo bigint, hi bigint, class_id bigint")
+
+
 def bigram_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _words(spark, sf_dir)
     pairs = words.filter("size(tokens) > 1").select(F.explode(F.arrays_zip(F.expr("slice(tokens, 1, size(tokens) - 1)").alias("a"), F.expr("slice(tokens, 2, size(tokens) - 1)").alias("b"))).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
@@ -274,7 +341,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ngram_counts, keep_chars, rare_char_map, ngram_topk_per_len, ngram_top_global, byte_budget_sample, vocab_build, quantize_q88, m_step, normalize_logp, char_fallback_cost, mdl_prune_target, mdl_prune_threshold, export_selection, span_matches, oov_span_scores, crf_preset, crf_emissions,
-        emission_prefix_sum, segment_scores, feature_keys, joint_viterbi, unigram_viterbi, nbest_tokens, ffbs_sample, sample_from_nbest, em_expected_counts, pseudo_labels, gold_labels, crf_empirical_counts, crf_gradient_step, boundary_f1, bigram_backoff,
+        emission_prefix_sum, segment_scores, feature_keys, joint_viterbi, unigram_viterbi, nbest_tokens, ffbs_sample, sample_from_nbest, em_expected_counts, pseudo_labels, gold_labels, crf_empirical_counts, crf_gradient_step, boundary_f1, model_f1, crf_config, class_ranges, bigram_backoff,
     )
 } | {"token_offsets_char": _offsets("char"), "token_offsets_byte": _offsets("byte")}
 
@@ -363,6 +430,8 @@ ORACLE_SQL = {
     "span_matches": f"WITH {_VOCAB} SELECT piece_id, piece, count(*) AS matches FROM spans JOIN vocab USING (piece) GROUP BY ALL",
     "oov_span_scores": f"WITH {_VOCAB}, q AS (SELECT piece, {_q('logp')} AS logp_q FROM vocab) SELECT n::BIGINT AS len, logp_q IS NOT NULL AS known, count(*) AS n, sum(coalesce(logp_q, greatest(-32768, {UNK_BASE} + {UNK_PER_CP} * spans.n)))::BIGINT AS sum_score FROM spans LEFT JOIN q USING (piece) GROUP BY spans.n, logp_q IS NOT NULL",
     "crf_preset": f"WITH {_PRESET_SQL} SELECT * FROM preset",
+    "crf_config": f"WITH {_PRESET_SQL}, own AS (SELECT * FROM (VALUES (0 * 16777216 + 65536 + 256, 1.25), (3 * 16777216 + 250 * 256 + 3, -0.5), (4 * 16777216 + 65536 + 3 * 256 + 8, 0.75)) t(key, w)) SELECT p.* REPLACE (coalesce(round_even(o.w::DOUBLE * 256, 0)::BIGINT, weight_q) AS weight_q) FROM preset p LEFT JOIN own o USING (key)",
+    "class_ranges": "SELECT * FROM (VALUES (192::BIGINT, 383::BIGINT, 3::BIGINT), (12352, 12447, 4), (19968, 40959, 6)) t(lo, hi, class_id)",
     "crf_emissions": f"WITH {_EMIT} SELECT prev, cur, nxt, cnt, emit0, emit1 FROM emits",
     "emission_prefix_sum": f"WITH {_RUN} SELECT doc_id, line_no, sum(emit0)::BIGINT AS sum0, sum(emit1)::BIGINT AS sum1, max(r)::BIGINT AS max_prefix, min(r)::BIGINT AS min_prefix FROM run GROUP BY ALL",
     "segment_scores": f"""WITH {_RUN}, led AS (SELECT emit1, r, lead(r, 1) OVER w AS r2, lead(r, 2) OVER w AS r3, lead(r, 3) OVER w AS r4 FROM run WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY i)),

@@ -130,7 +130,7 @@ _ALL_CHARS = f"WITH {CHARS}, seen AS (SELECT DISTINCT ch FROM chars UNION SELECT
 def class_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexweave.plans.segment_queries import contexts
 
-    return contexts(lines_of(spark, sf_dir)).groupBy("prev", "cur", "nxt").agg(F.count("*").alias("cnt"))
+    return contexts(lines_of(spark, sf_dir))
 
 
 def codepoint_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
