@@ -14,7 +14,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-NEVER = -(1 << 40)
+NEVER = -(1 << 60)
+FIXED = 1 << 24  # steps of a unigram log probability in the best path's sums, so that they don't hang on the order of addition
 LONG, CHUNK, BATCH = 1024, 256, 400_000
 BOS, EOS = 250, 251
 BOS_ID = 0xFFFE  # stands before the first word in a model's bigrams
@@ -251,6 +252,11 @@ class Lattice:
         padded = np.append(logp, -np.inf)
         return padded[self.ids]
 
+    def lm_fixed(self, logp: np.ndarray) -> np.ndarray:
+        """lm_scores in steps of 1 / FIXED, NEVER where there is no piece."""
+        padded = np.append(np.rint(logp * FIXED).astype(np.int64), NEVER)
+        return padded[self.ids]
+
     def unsorted(self, rows: list) -> list:
         out = [None] * len(rows)
         for k, r in zip(self.order.tolist(), rows):

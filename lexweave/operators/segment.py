@@ -73,8 +73,8 @@ def tokenize_lm(df: DataFrame, model: L.Model, text: str = "line") -> DataFrame:
 
     def work(m: L.Model, texts: list[str], b: pa.RecordBatch, rows: list[int]) -> tuple:
         lat = L.Lattice(texts, m.table, m.max_len)
-        bounds, score = L.viterbi(lat, lat.lm_scores(m.logp), 0.0, longest_wins=True)
-        return [None if x is None else _tokens(t, x) for t, x in zip(texts, bounds)], [float(s) if np.isfinite(s) else None for s in score]
+        bounds, score = L.viterbi(lat, lat.lm_fixed(m.logp), 0, longest_wins=True)
+        return [None if x is None else _tokens(t, x) for t, x in zip(texts, bounds)], [None if x is None else s / L.FIXED for x, s in zip(bounds, score.tolist())]
 
     return _mapped(df, text, model, "tokens array<string>; logp double", work)
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexweave.plans import segment_queries, text_queries
+from lexweave.plans import decoder_sql, segment_queries, text_queries
 
 QUERIES = text_queries.QUERIES | segment_queries.QUERIES
-ORACLE_SQL = text_queries.ORACLE_SQL | segment_queries.ORACLE_SQL
+ORACLE_SQL = text_queries.ORACLE_SQL | segment_queries.ORACLE_SQL | decoder_sql.ORACLE_SQL
 flagship = segment_queries.flagship

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
@@ -209,21 +209,26 @@ def nbest_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(each.select("doc_id", "line_no", "b.rank", "b.score", "b.tokens"), "rank", "score")
 
 
+def _seed(number: Column) -> Column:
+    """A seed that SQL can tell, too."""
+    return F.pmod(number, F.lit(4294967295)) + 1
+
+
 def ffbs_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = lines_of(spark, sf_dir).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(2))))
-    seeded = each.withColumn("seed", S.seed_of(1, F.col("doc_id"), F.col("line_no"), F.col("rep")))
+    seeded = each.withColumn("seed", _seed(F.col("doc_id") * 1000003 + F.col("line_no") * 7919 + F.col("rep") * 104729))
     return _summary(S.tokenize_sample(seeded, model(spark, sf_dir), 1.0), "rep", "score")
 
 
 def sample_from_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.tokenize_nbest(lines_of(spark, sf_dir), model(spark, sf_dir), 4).withColumn("seed", S.seed_of(1, F.col("doc_id"), F.col("line_no")))
+    found = S.tokenize_nbest(lines_of(spark, sf_dir), model(spark, sf_dir), 4).withColumn("seed", _seed(F.col("doc_id") * 1000003 + F.col("line_no") * 7919))
     one = found.withColumn("b", S.pick_from_nbest(F.col("nbest"), F.col("seed"))).select("doc_id", "line_no", "b.rank", "b.score", "b.tokens")
     return _summary(one, "rank", "score")
 
 
 def em_expected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = model(spark, sf_dir)
-    return R.e_step(lines_of(spark, sf_dir), m.pieces, m.logp, MAX_LEN).select("piece_id", F.round("cnt", 4).alias("cnt"))
+    return R.e_step(lines_of(spark, sf_dir), m.pieces, m.logp, MAX_LEN).select("piece_id", F.round("cnt", 2).alias("cnt"))
 
 
 def pseudo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

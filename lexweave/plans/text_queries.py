@@ -234,6 +234,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "utf8_normalize": "SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES (-1, '/'), (-2, '?x'), (-3, '?'), (-4, '??'))",
     "corpus_lines": f"WITH {LINES} SELECT * FROM lines",
     "line_limits": f"""WITH {LINES} SELECT count(*) AS n_lines, count(*) FILTER (strlen(line) > 4096) AS skipped_bytes, count(*) FILTER (strlen(line) <= 4096 AND length(line) > 2048) AS skipped_cp,
       count(*) FILTER (strlen(line) <= 4096 AND length(line) <= 2048) AS kept FROM lines""",
