@@ -8,7 +8,6 @@ QUERIES = {
     "op1_matroska_packets": matroska.op1_matroska_packets,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_lm_scoring": lmscore.op3_lm_scoring,
-    "op3_lm_scoring_benchmark": lmscore.op3_lm_scoring_benchmark,
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_mix_sources": mixing.op6_mix_sources,

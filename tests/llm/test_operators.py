@@ -490,8 +490,8 @@ def test_lm_by_brute_force(spark, shard):
     texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 20))) for _ in range(25)] + [None, ""]
     queries = [(k, " ".join(rng.choice("abcde") for _ in range(rng.randrange(0, 12)))) for k in range(8)] + [(90, texts[0]), (91, None)]
     corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    for slices in (10, 10_000):
-        got = {r.item_id: r for r in lmscore.lm_scores(spark.createDataFrame(queries, "item_id bigint, text string"), corpus, "item_id", slices, shard).collect()}
+    for block in (10, 10_000):
+        got = {r.item_id: r for r in lmscore.lm_scores(spark.createDataFrame(queries, "item_id bigint, text string"), corpus, "item_id", False, block, shard).collect()}
         for k, t in queries:
             if not t:
                 assert got[k].words == 0 and got[k].log_probability is None
@@ -501,13 +501,16 @@ def test_lm_by_brute_force(spark, shard):
             assert got[k].longest_context == max(contexts) and abs(got[k].mean_context - np.mean(contexts)) < 1e-9
 
 
-def test_lm_of_every_document_by_brute_force(spark, docs, none):
+@pytest.mark.parametrize("shard", [40, 100_000])
+def test_lm_of_documents_against_the_others_by_brute_force(spark, docs, none, shard):
     rng = random.Random(5)
     texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 30))) for _ in range(30)]
     texts += [texts[3], texts[4] + " a b", "q r s " + texts[4], prose(70, rng), "a " * 20, "a " * 17, None, ""]
     texts.append(texts[33] + " z " + texts[33])
     texts.append("zz " + texts[33])
-    got = {r.doc_id: r for r in lmscore.own_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3), "doc_id").collect()}
+    texts += ["k l " * 40, "k l " * 40 + "k", prose(9, rng) + " k l k l k"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in lmscore.lm_scores(d, d, "doc_id", True, 60, shard).collect()}
     assert len(got) == len(texts)
     for k, t in enumerate(texts):
         if not t:
@@ -516,24 +519,53 @@ def test_lm_of_every_document_by_brute_force(spark, docs, none):
         want, contexts = lm_brute(t.split(), [x for j, x in enumerate(texts) if x and j != k])
         assert abs(got[k].log_probability - want) < 1e-9
         assert got[k].longest_context == max(contexts) and abs(got[k].mean_context - np.mean(contexts)) < 1e-9
-    assert lmscore.own_scores(none, "doc_id").count() == 0
+    assert lmscore.lm_scores(none, none, "doc_id", True).count() == 0
 
 
-def test_lm_query_scores_all_documents(spark):
-    got = lmscore.op3_lm_scoring(spark, "/root/testdata/sf0.001")
-    want = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    assert got.count() == want.select("doc_id").distinct().count() and set(r.doc_id for r in got.collect()) == set(r.doc_id for r in want.collect())
-
-
-def test_lm_sums_to_one():
+def test_lm_records_of_a_long_copy_are_few():
+    rng = random.Random(3)
+    h = np.array([rng.getrandbits(63) for _ in range(2000)], np.uint64)
+    q = lmscore.Queries(h, np.array([0, len(h)]))
+    dense = np.zeros((len(h), lmscore.DENSE, 2), np.int64)
+    s = lmscore.Shard.of(np.r_[h, h, h[:100]], np.array([0, 2000, 4000, 4100]))
+    deep = lmscore.shard_counts(q, s, dense)
+    assert len(deep) <= 4 * len(h) and (dense[50, 0] == [3, 3]).all()
+    r = lmscore.summed(dense, [deep])
+    last = r[r["place"] == 1999]
+    assert last["depth"].tolist() == [1, 2001] and last["count"].tolist() == [2, 0]
+
+
+def test_lm_rows_repeated_in_full_count_for_each_other(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, "x a b c d e y"), (3, "q")]
+    for shard in (3, 1000):
+        d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+        got = {r.doc_id: r for r in lmscore.lm_scores(d, d, "doc_id", True, 1000, shard).collect()}
+        for k, n in ((1, 3), (2, 1), (3, 1)):
+            t = next(t for i, t in rows if i == k)
+            rest = [x for _, x in rows]
+            rest.remove(t)
+            want, contexts = lm_brute(t.split(), rest)
+            assert abs(got[k].log_probability - n * want) < 1e-9 and got[k].longest_context == max(contexts)
+
+
+def test_lm_query_set_is_every_twentieth_document(spark):
+    got = {r.doc_id for r in lmscore.op3_lm_scoring(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.doc_id % 20 == 0}
+
+
+def test_lm_sums_to_one(spark):
     texts = ["a b a c", "b a"]
-    total = sum(np.exp(lm_brute(["b", w], texts)[0] - lm_brute(["b"], texts)[0]) for w in "abc") + np.exp(lm_brute(["b", "z"], texts)[0] - lm_brute(["b"], texts)[0])
-    assert abs(total - 1) < 1e-9
+    corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    queries = [(k, f"b {w}") for k, w in enumerate("abcz")] + [(9, "b")]
+    got = {r.item_id: r.log_probability for r in lmscore.lm_scores(spark.createDataFrame(queries, "item_id bigint, text string"), corpus, "item_id").collect()}
+    assert abs(sum(np.exp(got[k] - got[9]) for k in range(4)) - 1) < 1e-9
 
 
 def test_lm_awkward(spark, docs, none):
     assert lmscore.lm_scores(docs, none, "doc_id").filter("words > 0").agg(F.max("perplexity")).first()[0] == 1.0
     assert lmscore.lm_scores(none, docs, "doc_id").count() == 0
+    got = {r.doc_id: r for r in lmscore.lm_scores(docs, docs, "doc_id", own=True).collect() if r.doc_id}
+    assert got[2].longest_context == 119 and got[4].words == 0 and got[6].words > 100_000
 
 
 def test_matroska_round_trip():
