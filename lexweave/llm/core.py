@@ -13,8 +13,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 CHUNK_BYTES = 2 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -197,6 +198,23 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def id_key(docs: DataFrame) -> Column:
+    """A number for each doc_id that tells them apart and puts them in order: integers by value, others by their 64-bit hash."""
+    id_ = column(docs, "doc_id")
+    return id_.cast("bigint") if isinstance(docs.schema["doc_id"].dataType, IntegralType) else F.xxhash64(id_)
+
+
+def with_ids(found: DataFrame, docs: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """found with the documents' own ids, under new names, in place of columns of id_key()s."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, IntegralType):
+        return found.withColumns({k: F.col(k).cast(kind) for k in keys}).withColumnsRenamed(keys)
+    ids = docs.select(id_key(docs).alias("k"), column(docs, "doc_id").alias("id")).filter("id is not null").distinct()
+    for k, name in keys.items():
+        found = found.join(ids.select(F.col("k").alias(k), F.col("id").alias(name)), k).drop(k)
+    return found
+
+
 class Prefix:
     """Hashes of any byte ranges of a buffer in constant time each, by a polynomial's prefix sums modulo 2**64."""
 

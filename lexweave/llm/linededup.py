@@ -27,9 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
 
-from lexweave.llm.core import Buckets, Prefix, by_bucket, chunks, column, fresh, mix, partitions, spread, stored, string_bytes, table
+from lexweave.llm.core import Buckets, Prefix, by_bucket, chunks, column, fresh, id_key, mix, partitions, spread, stored, string_bytes, table, with_ids
 from lexweave.ship import map_arrow
 
 EDITS = 2
@@ -175,31 +174,20 @@ def _in(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, hashes), len(of) - 1)] == hashes
 
 
-def _key(docs: DataFrame) -> Column:
-    """The place of a document's id in the order of documents."""
-    id_ = column(docs, "doc_id")
-    return id_.cast("bigint") if isinstance(docs.schema["doc_id"].dataType, IntegralType) else F.xxhash64(id_)
-
-
 def _text_hash(docs: DataFrame) -> Column:
     return F.xxhash64(column(docs, "text"))
 
 
 def duplicates(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no, edits) of every line that goes, once: 0 edits from the first line equal to it, or else from the first line near it."""
-    found = repeated_lines(docs, edits, least)
-    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
-        kind = docs.schema["doc_id"].dataType
-        return found.select(F.col("doc").cast(kind).alias("doc_id"), F.col("line").alias("line_no"), F.col("kept_doc").cast(kind).alias("kept_doc_id"), F.col("kept_line").alias("kept_line_no"), "edits")
-    ids = docs.select(_key(docs).alias("k"), column(docs, "doc_id").alias("id")).filter("id is not null").distinct()
-    gone, kept = (ids.select(F.col("k").alias(k), F.col("id").alias(i)) for k, i in (("doc", "doc_id"), ("kept_doc", "kept_doc_id")))
-    return found.join(gone, "doc").join(kept, "kept_doc").select("doc_id", F.col("line").alias("line_no"), "kept_doc_id", F.col("kept_line").alias("kept_line_no"), "edits")
+    found = repeated_lines(docs, edits, least).select("doc", F.col("line").alias("line_no"), "kept_doc", F.col("kept_line").alias("kept_line_no"), "edits")
+    return with_ids(found, docs, {"doc": "doc_id", "kept_doc": "kept_doc_id"}).select("doc_id", "line_no", "kept_doc_id", "kept_line_no", "edits")
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(doc, text, line, kept_doc, kept_line, edits) of every line that goes; doc and text are the document's key and its text's hash."""
     spark, count = docs.sparkSession, partitions(docs.sparkSession)
-    slim = docs.select(_key(docs).alias("doc"), _text_hash(docs).alias("hash"), column(docs, "text").alias("text")).filter(column(docs, "doc_id").isNotNull() & column(docs, "text").isNotNull())
+    slim = docs.select(id_key(docs).alias("doc"), _text_hash(docs).alias("hash"), column(docs, "text").alias("text")).filter(column(docs, "doc_id").isNotNull() & column(docs, "text").isNotNull())
     least = max(least, edits + 1)  # a segment has a byte at least
     gone = "doc bigint, text bigint, line int, kept_doc bigint, kept_text bigint, kept_line int"
     names = [x.split()[0] for x in gone.split(", ")]
@@ -297,7 +285,7 @@ def without_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     names = docs.columns
     key, hash_, list_, flag = (fresh(docs, k) for k in ("key_of_lines", "text_of_lines", "gone_lines", "emptied"))
     gone = stored(repeated_lines(docs)).groupBy(F.col("doc").alias(key), F.col("text").alias(hash_)).agg(F.collect_list("line").alias(list_))
-    joined = docs.join(gone.hint("shuffle_hash"), (_key(docs) == F.col(key)) & (_text_hash(docs) == F.col(hash_)) & column(docs, "doc_id").isNotNull(), "left").drop(key, hash_)
+    joined = docs.join(gone.hint("shuffle_hash"), (id_key(docs) == F.col(key)) & (_text_hash(docs) == F.col(hash_)) & column(docs, "doc_id").isNotNull(), "left").drop(key, hash_)
     at, kind = names.index("text"), ", ".join(f"`{c.replace('`', '``')}` {f.dataType.simpleString()}" for c, f in zip(names, docs.schema))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

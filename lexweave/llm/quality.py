@@ -10,8 +10,8 @@ The classifier is fitted on at most `FIT_ROWS` labelled documents, those with th
 step covers every document and whole texts.
 
 Defined cases: a null or empty text counts as a text without words and gets its score like any other. A label is
-used if doc_id, quality and toxic are all there; of several labels of a doc_id the least (quality, toxic) counts; rows
-repeated in documents count as often as they stand there. Without labels of both kinds nothing can be learnt: every
+used if doc_id, quality and toxic are all there; of several labels of a doc_id the least (quality, toxic) counts, and of several texts of it the one
+of the least hash. A text of any length is read whole, as one row of a batch. Without labels of both kinds nothing can be learnt: every
 document gets quality 1, toxicity 0 and stays; where labels hold one kind of one target only, that target is constant.
 An empty table gives an empty table. Other columns, of whatever name, pass through the stage unchanged.
 """
@@ -149,7 +149,8 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     one = clean.groupBy("doc_id").agg(F.min(F.struct("quality", "toxic")).alias("l"))
     some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "l.quality", "l.toxic")
     slim = docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").alias("text"))
-    return slim.join(F.broadcast(some), "doc_id")  # `most` rows of 16 bytes at most, whatever the input
+    joined = slim.join(F.broadcast(some), "doc_id")  # `most` rows of 16 bytes at most, whatever the input
+    return joined.groupBy("doc_id", "quality", "toxic").agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text")).select("doc_id", "text", "quality", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model | None:
@@ -199,17 +200,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model | Non
                 free = np.isin(b.column(3).to_numpy(), RIDGE_PARTS)
                 z = features(statistics(*string_bytes(b.column(0)), lexicon), mean, scale)[free]
                 y = np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()], axis=1)[free].astype(float)
-                zz += z.T @ z
-                zy += z.T @ y
+                zz, zy = zz + z.T @ z, zy + z.T @ y
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([zz.ravel(), zy.ravel()]).tobytes()], pa.binary())], ["part"])
 
         both = _rounds(train.coalesce(8), normal)
         if not both[width * width - 1]:
             return None
-        zz, zy = both[: width * width].reshape(width, width), both[width * width :].reshape(width, 2)
-        penalty = np.eye(width) * RIDGE
-        penalty[-1, -1] = 1e-6  # the constant isn't shrunk
-        coef = np.linalg.solve(zz + penalty, zy)
+        coef = solved(both[: width * width].reshape(width, width), both[width * width :].reshape(width, 2))
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -226,6 +223,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model | Non
         train.unpersist()
 
 
+def solved(zz: np.ndarray, zy: np.ndarray) -> np.ndarray:
+    """Ridge coefficients from the summed normal equations; the constant, the last one, isn't shrunk."""
+    penalty = np.eye(len(zz)) * RIDGE
+    penalty[-1, -1] = 1e-6
+    return np.linalg.solve(zz + penalty, zy)
+
+
 def _marked(with_: np.ndarray, n: float, without: np.ndarray, m: float) -> np.ndarray:
     """Buckets that stand in enough documents of the first kind and far more often than in the second, by more than so many buckets would show by chance."""
     if not n or not m:

@@ -4,13 +4,15 @@ Two passages of WORDS words that are equal have the same least hash among their
 that least hash changes as a window moves over them, so equal passages meet at the same hash wherever they stand. Hashes
 that only one document has lead nowhere. The pieces of text of all others, each with the WORDS - 1 words after it, go to the
 shard of their hash, and there the suffixes of the distinct pieces are sorted, with common-prefix values (see induced.py);
-neighbours that agree in WORDS words are the same passage. A shard's queues move to files in the shared folder where memory doesn't hold them.
+neighbours that agree in WORDS words are the same passage. There are as many shards as keep one at about `SHARD` words. A shard's queues move to files in the
+shared folder where they pass `MEMORY` tuples; its text, suffix order and prefix values stay in memory, some 100 bytes a word.
 
 A passage is a repeat in every document that has it but the one of the lowest doc_id; repeats within one document alone
 don't count. Rows are maximal: of consecutive places whose passage the same document has first.
 
 Defined cases: a null or wordless text, or one of fewer than WORDS words, has no repeats. Documents with a null doc_id are
-left out. Rows of equal doc_id are one document, so rows repeated in full aren't repeats of each other, and one row is given
+left out; integers are in order by value, ids of other types by their 64-bit hash. A text of any length is cut into pieces in memory, as one row of a batch.
+In a shard words are told apart by 32 bits of their hashes, so that two passages that differ in one word are taken for equal in one of 2**32 cases. Rows of equal doc_id are one document, so rows repeated in full aren't repeats of each other, and one row is given
 for all of them. Other columns aren't used. An empty table gives an empty table.
 """
 
@@ -23,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.core import _P, Buckets, by_bucket, chunks, column, grams, mix, partitions, powers, shared_dir, spread, stored, string_bytes, table, words
+from lexweave.llm.core import _P, Buckets, by_bucket, chunks, column, grams, id_key, mix, partitions, powers, shared_dir, spread, stored, string_bytes, table, with_ids, words
 from lexweave.llm.induced import suffix_array_lcp
 from lexweave.llm.suffixes import joined
 from lexweave.ship import map_arrow
 
 WORDS = 50
 RUN = 8
+SHARD = 2_000_000
 
 ANCHOR = np.dtype([("least", "u8"), ("doc", "i8")])
 PIECE = np.dtype([("least", "u8"), ("doc", "i8"), ("place", "i4"), ("places", "i4")])
@@ -138,10 +141,30 @@ def runs(doc: np.ndarray, place: np.ndarray, first: np.ndarray, first_place: np.
     return out
 
 
-def repeated(docs: DataFrame, most: int = WORDS, run: int = RUN) -> DataFrame:
+def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces and tokens of a bucket, which Buckets gives apart, in one block: whatever order blocks arrive in, a piece's tokens stay with it."""
+    for pieces_ in batches:
+        tokens = next(batches)
+        blocks = [len(p).to_bytes(8, "little") + p + t for p, t in zip(pieces_.column(2).to_pylist(), tokens.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pieces_.column(0), pieces_.column(1), pa.array(blocks, pa.binary())], pieces_.schema.names)
+
+
+def unpaired(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pieces and their tokens of each bucket of paired() blocks."""
+    held: dict[int, list[bytes]] = {}
+    for b in batches:
+        for to, block in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            held.setdefault(to, []).append(block)
+    for to in sorted(held):
+        blocks = held.pop(to)
+        size = [int.from_bytes(x[:8], "little") for x in blocks]
+        yield np.frombuffer(b"".join(x[8 : 8 + n] for x, n in zip(blocks, size)), PIECE), np.frombuffer(b"".join(x[8 + n :] for x, n in zip(blocks, size)), TOKEN)
+
+
+def repeated(docs: DataFrame, most: int = WORDS, run: int = RUN, shard: int = SHARD) -> DataFrame:
     """(doc_id, start_word, words, first_doc_id, first_start_word) of every repeat."""
-    spark, count, folder = docs.sparkSession, partitions(docs.sparkSession), shared_dir(docs.sparkSession)
-    slim = docs.select(column(docs, "doc_id").cast("bigint").alias("doc_id"), column(docs, "text").alias("text")).filter("doc_id is not null and text is not null")
+    count, folder = partitions(docs.sparkSession), shared_dir(docs.sparkSession)
+    slim = docs.select(id_key(docs).alias("doc_id"), column(docs, "text").alias("text")).filter("doc_id is not null and text is not null")
 
     def cut(b: pa.RecordBatch) -> Iterator[tuple]:
         data, offs = string_bytes(b.column(1))
@@ -172,11 +195,14 @@ def repeated(docs: DataFrame, most: int = WORDS, run: int = RUN) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a["doc"][at]), block], ["doc", "leasts"])
 
     met = stored(map_arrow(spread(map_arrow(slim, anchors, Buckets.SCHEMA)), meet, "doc bigint, leasts binary"))
+    # a hash that documents share leads to a piece of some 75 words in each
+    hits = met.agg(F.sum(F.octet_length("leasts"))).first()[0] or 0
+    shards = max(count, -(-hits // 8 * (most + (most - run) // 2) // shard))
     of_doc = met.groupBy("doc").agg(F.collect_list("leasts").alias("leasts"))
     some = slim.join(of_doc.hint("shuffle_hash"), slim["doc_id"] == of_doc["doc"]).select("doc_id", "text", "leasts")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Buckets(count)
+        out = Buckets(shards)
         for b in batches:
             ids = b.column(0).to_numpy()
             lists = [np.frombuffer(b"".join(x), np.uint64) for x in b.column(2).to_pylist()]
@@ -185,7 +211,7 @@ def repeated(docs: DataFrame, most: int = WORDS, run: int = RUN) -> DataFrame:
                 here = lists[lo : lo + n]
                 wanted = mix(np.concatenate(here) ^ (np.repeat(np.arange(n, dtype=np.uint64), [len(x) for x in here]) * _P))
                 ok = np.flatnonzero(np.isin(mix(least ^ (row.astype(np.uint64) * _P)), wanted))
-                to = mix(least[ok]) % np.uint64(count)
+                to = mix(least[ok]) % np.uint64(shards)
                 ok = ok[np.argsort(to, kind="stable")]
                 p = np.empty(len(ok), PIECE)
                 p["least"], p["doc"], p["place"], p["places"] = least[ok], ids[lo + row[ok]], place[ok], places[ok]
@@ -193,13 +219,13 @@ def repeated(docs: DataFrame, most: int = WORDS, run: int = RUN) -> DataFrame:
                 size = places[ok] + most - 1
                 out.add(1, np.repeat(mix(least[ok]), size), w.hash[_ragged(w.rows[row[ok]] + place[ok], size)].astype(TOKEN))
             if out.full():
-                yield from out.flush()
-        yield from out.flush()
+                yield from paired(out.flush())
+        yield from paired(out.flush())
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Buckets(count)
-        for got in by_bucket(batches, {0: PIECE, 1: TOKEN}):
-            s = spans_of(got[0], got[1], most, lambda t, n: suffix_array_lcp(t, n, folder))
+        for piece, tokens in unpaired(batches):
+            s = spans_of(piece, tokens, most, lambda t, n: suffix_array_lcp(t, n, folder))
             out.add(0, mix(s["doc"].view(np.uint64) if s["doc"].flags.c_contiguous else s["doc"].astype(np.uint64)), s)
             if out.full():
                 yield from out.flush()
@@ -210,10 +236,11 @@ def repeated(docs: DataFrame, most: int = WORDS, run: int = RUN) -> DataFrame:
             s = got[0]
             s = runs(s["doc"], s["place"], s["first"], s["first_place"], s["places"])
             if len(s):
-                yield pa.RecordBatch.from_arrays([pa.array(s["doc"]), pa.array(s["place"]), pa.array(s["places"] + (most - 1)), pa.array(s["first"]), pa.array(s["first_place"])], ["doc_id", "start_word", "words", "first_doc_id", "first_start_word"])
+                yield pa.RecordBatch.from_arrays([pa.array(s["doc"]), pa.array(s["place"]), pa.array(s["places"] + (most - 1)), pa.array(s["first"]), pa.array(s["first_place"])], ["doc", "start_word", "words", "first", "first_start_word"])
 
-    spans = map_arrow(spread(map_arrow(some, send, Buckets.SCHEMA)), sort, Buckets.SCHEMA)
-    return map_arrow(spread(spans), merge, "doc_id bigint, start_word int, words int, first_doc_id bigint, first_start_word int")
+    spans = stored(map_arrow(map_arrow(some, send, Buckets.SCHEMA).repartitionById(shards, "bucket"), sort, Buckets.SCHEMA))
+    found = map_arrow(spread(spans), merge, "doc bigint, start_word int, words int, first bigint, first_start_word int")
+    return with_ids(found, docs, {"doc": "doc_id", "first": "first_doc_id"}).select("doc_id", "start_word", "words", "first_doc_id", "first_start_word")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

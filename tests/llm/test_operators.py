@@ -335,6 +335,27 @@ def test_quality_learns(spark, tmp_path):
     assert right >= 0.95 * len(held)
 
 
+def test_quality_by_a_dense_solve(spark):
+    at = "/root/testdata/sf0.01"
+    docs_, labels_ = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs_, labels_)
+    part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5))
+    rows = docs_.join(labels_, "doc_id").withColumn("part", part).select("doc_id", "text", "quality", "toxic", "part").toPandas()
+    x = quality.statistics(*string_bytes(pa.array(rows.text)), model.lexicon)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.maximum(x.std(0), 1e-2))
+    z = quality.features(x, model.mean, model.scale)
+    free = rows.part.isin(quality.RIDGE_PARTS).to_numpy()
+    shrink = np.sqrt(np.r_[np.full(quality.FEATURES, quality.RIDGE), 1e-6])
+    y = rows[["quality", "toxic"]].to_numpy(float)[free]
+    want, *_ = np.linalg.lstsq(np.vstack([z[free], np.diag(shrink)]), np.vstack([y, np.zeros((len(shrink), 2))]), rcond=None)
+    assert np.allclose(z @ model.coef, z @ want, atol=1e-5)
+    held = (rows.part == quality.CALIBRATION_PART).to_numpy()
+    for k, name in enumerate(("quality", "toxic")):
+        score, label = (z @ model.coef)[held, k], rows[name].to_numpy(float)[held]
+        got = np.interp(score, *model.steps[k])
+        assert (np.diff(got[np.argsort(score)]) >= -1e-9).all() and abs(got.mean() - label.mean()) < 1e-6
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.array([1.0, 2, 3, 4, 4]), np.array([0.0, 1, 0, 1, 1]))
     assert np.allclose(np.interp([0, 1, 2, 3, 4, 9], x, y), [0, 0, 0.5, 0.5, 1, 1])
@@ -374,6 +395,8 @@ def test_mixing_by_brute_force(spark, block):
         assert {r.doc_id for r in mine} == {d for d in of if of[d] == s}
         whole = quota[s] // total[s]
         last = sorted((r for r in mine if r.epoch == whole + 1), key=lambda r: (r.block_order, r.block, r.place, r.doc_id))
+        places = [{r.doc_id: r.place for r in mine if r.epoch == e} for e in (1, 2)]
+        assert not places[1] or any(places[0][d] != p for d, p in places[1].items())
         for e in range(1, whole + 1):
             assert sum(size[r.doc_id] for r in mine if r.epoch == e) == total[s]
         used = sum(size[r.doc_id] for r in last)
@@ -384,6 +407,13 @@ def test_mixing_empty(spark, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_mixing_permutes_small_sources(spark):
+    rows = [(d, "x" * 20, "big" if d % 2 else "small") for d in range(400)] + [(400 + d, "y" * 20, "big") for d in range(800)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    of = lambda e: [r.block for r in sorted((r for r in got if r.source == "small" and r.epoch == e), key=lambda r: (r.block_order, r.block))]
+    assert len(set(of(1))) > 30 and of(1) != of(2) and sorted(of(1)) == sorted(of(2))
+
+
 def byte_counts(texts):
     import base64
 
@@ -459,6 +489,18 @@ def test_repeats_by_brute_force(spark):
     assert got == want and want
 
 
+@pytest.mark.parametrize("shard", [500, 10**6])
+def test_repeats_of_ids_of_any_type(spark, shard):
+    passage = prose(60)
+    rows = [("a", passage + " " + prose(20)), ("b", prose(10) + " " + passage), ("c", prose(70)), ("d", None), (None, passage)]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    (r,) = repeats.repeated(d, shard=shard).collect()
+    assert {r.doc_id, r.first_doc_id} == {"a", "b"} and r.words == 60
+    numbers = d.withColumn("doc_id", F.ascii("doc_id").cast("int"))
+    (r,) = repeats.repeated(numbers, shard=shard).collect()
+    assert (r.doc_id, r.start_word, r.words, r.first_doc_id, r.first_start_word) == (98, 10, 60, 97, 0)
+
+
 def test_repeats_awkward(docs, none):
     got = {(r.doc_id, r.first_doc_id) for r in repeats.repeated(docs).collect()}
     assert {(2, 1), (3, 1), (9, 1)} <= got and not any(a == b for a, b in got)
