@@ -3,8 +3,10 @@
 `packets` parses one file a row (a binary column) and gives a row for each frame: track, timestamp, byte range, flags.
 Element ids and sizes are variable-length integers of 1 to 8 bytes; segments and clusters may have unknown size, and then
 end where an element of their own level or above begins. SimpleBlocks and BlockGroups are read, with no lacing, Xiph, fixed
-size and EBML lacing. Timestamps are nanoseconds: (cluster + block) times the segment's TimestampScale, and within a laced
-block one DefaultDuration of the track after the other. A packet is `cued` if a cue point names its cluster, track and time.
+size and EBML lacing, and EncryptedBlocks. Timestamps are nanoseconds: (cluster + block) times the segment's TimestampScale, and within a laced
+block one DefaultDuration of the track after the other; what a segment says of its scale and tracks holds for its own packets alone, also for those before it. A packet is `cued` if a cue point names its cluster, track and time.
+`encoding` says how the track's frames are stored: 'zlib', 'bzlib', 'lzo', 'strip' (`prefix` has the bytes that were taken off each frame's
+beginning) or 'encrypted'; null for plain ones. The EBML header's limits on the lengths of ids and sizes are kept. CRC-32 elements that stand first in an element of a segment are checked.
 
 The tables hold no media, so `muxed` makes a file of each document: its UTF-8 text in frames of two tracks, with each
 kind of lacing, clusters of known and of unknown size, Void and CRC-32 elements, and cues. The packets' byte ranges then
@@ -12,13 +14,15 @@ give the text back, byte by byte.
 
 Defined cases: a null file gives one row with error 'null', an empty one 'empty', one that doesn't begin with an EBML header
 'not ebml'; a file that ends within an element, or with a size or lacing that can't be, gives the packets before that place
-and one more row, with offset at it and error 'truncated', 'size' or 'lacing'. Frames of no bytes are packets like others. A
+and one more row, with offset at it and error 'truncated', 'size' or 'lacing'; an element whose CRC-32 isn't that of its content is read all the same, and one
+more row has its offset and the error 'crc'. A file is one binary value, of any length that Spark holds, and is parsed as a whole. Frames of no bytes are packets like others. A
 file of no packets and no error gives no rows. Repeated rows are parsed each; an empty table gives an empty table. Other
 columns aren't touched.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +36,10 @@ SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS = 0x114D9B74, 0x1254C367, 0x1043A770, 0x1
 SCALE, TRACK_ENTRY, TRACK_NUMBER, TRACK_TYPE, CODEC, DURATION = 0x2AD7B1, 0xAE, 0xD7, 0x83, 0x86, 0x23E383
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-VOID, CRC32 = 0xEC, 0xBF
+VOID, CRC32, ENCRYPTED_BLOCK = 0xEC, 0xBF, 0xAF
+ENCODINGS, ENCODING, COMPRESSION, ALGORITHM, SETTINGS, ENCRYPTION = 0x6D80, 0x6240, 0x5034, 0x4254, 0x4255, 0x5035
+MAX_ID, MAX_SIZE = 0x42F2, 0x42F3
+COMPRESSIONS = ("zlib", "bzlib", "lzo", "strip")
 LEVEL_0 = {EBML, SEGMENT}
 LEVEL_1 = {CLUSTER, CUES, INFO, TRACKS, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS}
 UNKNOWN = -1
@@ -45,24 +52,24 @@ class Broken(Exception):
         self.at, self.why = at, why
 
 
-def read_id(d: bytes, at: int, end: int) -> tuple[int, int]:
+def read_id(d: bytes, at: int, end: int, most: int = 4) -> tuple[int, int]:
     """An element id, its marker bits kept, and where it ends."""
     if at >= end:
         raise Broken(at, "truncated")
     n = 9 - d[at].bit_length()
-    if n > 4:
+    if n > most:
         raise Broken(at, "size")
     if at + n > end:
         raise Broken(at, "truncated")
     return int.from_bytes(d[at : at + n], "big"), at + n
 
 
-def read_size(d: bytes, at: int, end: int) -> tuple[int, int]:
+def read_size(d: bytes, at: int, end: int, most: int = 8) -> tuple[int, int]:
     """A variable-length integer without its marker, UNKNOWN if all its bits are set, and where it ends."""
     if at >= end:
         raise Broken(at, "truncated")
     n = 9 - d[at].bit_length()
-    if n > 8:
+    if n > most:
         raise Broken(at, "size")
     if at + n > end:
         raise Broken(at, "truncated")
@@ -143,12 +150,12 @@ def frames_of(d: bytes, at: int, end: int) -> tuple[int, int, int, int, list[tup
 
 
 class Parser:
-    """One file's packets. rows: (track, timestamp ns, keyframe, lacing, frame within its block, offset, size, cluster offset)."""
+    """One file's packets. rows: (track, timestamp ns, keyframe, lacing, frame within its block, offset, size, cluster offset, ticks, encoding, prefix)."""
 
     def __init__(self, d: bytes) -> None:
-        self.d, self.rows, self.error = d, [], None
-        self.scale, self.durations, self.cues = 1_000_000, {}, set()
-        self.segment = 0
+        self.d, self.rows, self.error, self.crc = d, [], None, []
+        self.cues, self.segment, self.most = set(), 0, (4, 8)
+        self.begin()
         try:
             if not d:
                 raise Broken(0, "empty")
@@ -157,18 +164,43 @@ class Parser:
             self.top(0, len(d))
         except Broken as e:
             self.error = (e.at, e.why)
+            try:
+                self.settle()
+            except Broken as f:
+                self.error = (f.at, f.why)
+
+    def begin(self) -> None:
+        """Another segment: nothing is known of its scale and tracks."""
+        self.scale, self.durations, self.encodings, self.blocks = 1_000_000, {}, {}, []
+
+    def settle(self) -> None:
+        """The packets of the segment's blocks, by what it says of its tracks."""
+        blocks, self.blocks = self.blocks, []
+        for at, track, ticks, key, lacing, frames, lasts, cluster, hidden in blocks:
+            step = self.durations.get(track, 0) or (lasts * self.scale // len(frames) if lasts else 0)
+            ns = ticks * self.scale
+            if track >= 1 << 31 or not -(1 << 62) < ns + step * len(frames) < 1 << 62:
+                raise Broken(at, "size")
+            encoding, prefix = self.encodings.get(track, (None, None))
+            for k, (o, n) in enumerate(frames):
+                self.rows.append((track, ns + k * step, key, lacing, k, o, n, cluster, ticks, "encrypted" if hidden else encoding, prefix))
 
     def top(self, at: int, end: int) -> None:
         while at < end:
             start = at
-            name, at = read_id(self.d, at, end)
-            size, body = read_size(self.d, at, end)
+            name, at = read_id(self.d, at, end, self.most[0])
+            size, body = read_size(self.d, at, end, self.most[1])
             if name == SEGMENT:
                 self.segment = body
+                self.begin()
                 at = self.inside(body, end if size == UNKNOWN else min(end, body + size), size == UNKNOWN)
+                self.settle()
             elif size == UNKNOWN:
                 raise Broken(start, "size")
             else:
+                if name == EBML and body + size <= end:
+                    limits = {n: number(self.d, b, e) for n, _, b, e in elements(self.d, body, body + size) if n in (MAX_ID, MAX_SIZE)}
+                    self.most = min(8, max(4, limits.get(MAX_ID, 4))), min(8, max(1, limits.get(MAX_SIZE, 8)))
                 at = body + size
             if size != UNKNOWN and body + size > end:
                 raise Broken(start, "truncated")
@@ -177,11 +209,13 @@ class Parser:
         """A segment's elements; returns where it ends."""
         while at < end:
             start = at
-            name, after = read_id(self.d, at, end)
+            name, after = read_id(self.d, at, end, self.most[0])
             if open_ and name in LEVEL_0:
                 return start
-            size, body = read_size(self.d, after, end)
+            size, body = read_size(self.d, after, end, self.most[1])
             stop = min(end, body + size) if size != UNKNOWN else end
+            if size != UNKNOWN and body + size <= end:
+                self.checked(start, body, stop)
             if name == CLUSTER:
                 at = self.cluster(start, body, stop, size == UNKNOWN)
             elif size == UNKNOWN:
@@ -201,12 +235,35 @@ class Parser:
                 raise Broken(start, "truncated")
         return at
 
+    def checked(self, start: int, body: int, stop: int) -> None:
+        """Notes an element whose CRC-32, if it has one in front, isn't that of the rest."""
+        if self.d[body : body + 2] == b"\xbf\x84" and body + 6 <= stop and zlib.crc32(memoryview(self.d)[body + 6 : stop]) != int.from_bytes(self.d[body + 2 : body + 6], "little"):
+            self.crc.append(start)
+
     def tracks(self, at: int, end: int) -> None:
         for name, _, body, stop in elements(self.d, at, end):
             if name == TRACK_ENTRY:
                 found = {n: number(self.d, b, e) for n, _, b, e in elements(self.d, body, stop) if n in (TRACK_NUMBER, DURATION)}
                 if TRACK_NUMBER in found:
                     self.durations[found[TRACK_NUMBER]] = found.get(DURATION, 0)
+                    for n, _, b, e in elements(self.d, body, stop):
+                        if n == ENCODINGS:
+                            self.encodings[found[TRACK_NUMBER]] = self.encoding(b, e)
+
+    def encoding(self, at: int, end: int) -> tuple[str | None, bytes | None]:
+        """How frames are stored by a list of encodings: encrypted, or the first compression."""
+        out = None, None
+        for name, _, body, stop in elements(self.d, at, end):
+            for n, _, b, e in elements(self.d, body, stop) if name == ENCODING else ():
+                if n == ENCRYPTION:
+                    return "encrypted", None
+                if n == COMPRESSION and out[0] is None:
+                    parts = {m: (x, y) for m, _, x, y in elements(self.d, b, e)}
+                    kind = number(self.d, *parts[ALGORITHM]) if ALGORITHM in parts else 0
+                    lo, hi = parts.get(SETTINGS, (0, 0))
+                    if kind < len(COMPRESSIONS):
+                        out = COMPRESSIONS[kind], self.d[lo:hi] if kind == 3 else None
+        return out
 
     def cue_points(self, at: int, end: int) -> None:
         for name, _, body, stop in elements(self.d, at, end):
@@ -225,10 +282,10 @@ class Parser:
         base = 0
         while at < end:
             here = at
-            name, after = read_id(self.d, at, end)
+            name, after = read_id(self.d, at, end, self.most[0])
             if open_ and (name in LEVEL_1 or name in LEVEL_0):
                 return here
-            size, body = read_size(self.d, after, end)
+            size, body = read_size(self.d, after, end, self.most[1])
             if size == UNKNOWN:
                 raise Broken(here, "size")
             stop = body + size
@@ -238,6 +295,8 @@ class Parser:
                 base = number(self.d, body, stop)
             elif name == SIMPLE_BLOCK:
                 self.block(body, stop, base, start, None)
+            elif name == ENCRYPTED_BLOCK:
+                self.block(body, stop, base, start, None, hidden=True)
             elif name == BLOCK_GROUP:
                 block, key, lasts = None, True, None
                 for n, _, b, e in elements(self.d, body, stop):
@@ -252,29 +311,23 @@ class Parser:
             at = stop
         return at
 
-    def block(self, at: int, end: int, base: int, cluster: int, key: bool | None, lasts: int | None = None) -> None:
+    def block(self, at: int, end: int, base: int, cluster: int, key: bool | None, lasts: int | None = None, hidden: bool = False) -> None:
         track, time, flags, lacing, frames = frames_of(self.d, at, end)
-        step = self.durations.get(track, 0) or (lasts * self.scale // len(frames) if lasts else 0)
-        ns = (base + time) * self.scale
-        key = bool(flags & 0x80) if key is None else key
-        if track >= 1 << 31 or not -(1 << 62) < ns + step * len(frames) < 1 << 62:
-            raise Broken(at, "size")
-        for k, (o, n) in enumerate(frames):
-            self.rows.append((track, ns + k * step, key, lacing, k, o, n, cluster, base + time))
+        self.blocks.append((at, track, base + time, bool(flags & 0x80) if key is None else key, lacing, frames, lasts, cluster, hidden))
 
 
-COLUMNS = "packet int, track int, timestamp_ns bigint, keyframe boolean, lacing string, frame int, offset bigint, size bigint, cluster bigint, cued boolean, error string"
-_KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+COLUMNS = "packet int, track int, timestamp_ns bigint, keyframe boolean, lacing string, frame int, offset bigint, size bigint, cluster bigint, cued boolean, encoding string, prefix binary, error string"
+_KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.binary(), pa.string())
 
 
 def parse(d: bytes | None) -> list[tuple]:
     """A file's rows of COLUMNS."""
     if d is None:
-        return [(0, None, None, None, None, None, None, None, None, None, "null")]
+        return [(0, *[None] * 11, "null")]
     p = Parser(d)
-    rows = [(k, t, ns, key, LACING[lace], f, o, n, c, f == 0 and (t, tick, c) in p.cues, None) for k, (t, ns, key, lace, f, o, n, c, tick) in enumerate(p.rows)]
-    if p.error:
-        rows.append((len(rows), None, None, None, None, None, p.error[0], None, None, None, p.error[1]))
+    rows = [(k, t, ns, key, LACING[lace], f, o, n, c, f == 0 and (t, tick, c) in p.cues, how, prefix, None) for k, (t, ns, key, lace, f, o, n, c, tick, how, prefix) in enumerate(p.rows)]
+    for at, why in [*((at, "crc") for at in p.crc), *([p.error] if p.error else [])]:
+        rows.append((len(rows), None, None, None, None, None, at, *[None] * 5, why))
     return rows
 
 
@@ -341,7 +394,13 @@ def laced(frames: list[bytes], lacing: int) -> bytes:
 FRAME = 400
 PER_CLUSTER = 24
 HEADER = element(EBML, integer(0x4286, 1) + integer(0x42F7, 1) + integer(0x42F2, 4) + integer(0x42F3, 8) + element(0x4282, b"matroska") + integer(0x4287, 4) + integer(0x4285, 2))
-HEAD = element(INFO, element(CRC32, b"\0\0\0\0") + integer(SCALE, 1_000_000)) + element(
+
+
+def with_crc(content: bytes) -> bytes:
+    return element(CRC32, zlib.crc32(content).to_bytes(4, "little")) + content
+
+
+HEAD = element(INFO, with_crc(integer(SCALE, 1_000_000))) + element(
     TRACKS, element(TRACK_ENTRY, integer(TRACK_NUMBER, 1) + integer(TRACK_TYPE, 1) + element(CODEC, b"V_UNCOMPRESSED")) + element(TRACK_ENTRY, integer(TRACK_NUMBER, 2) + integer(TRACK_TYPE, 2) + integer(DURATION, 20_000_000) + element(CODEC, b"A_PCM/INT/LIT"))
 )
 
@@ -382,7 +441,7 @@ def mux(data: bytes, frame: int = FRAME) -> bytes:
                 cues.append(element(CUE_POINT, integer(CUE_TIME, n * 40) + element(CUE_POSITIONS, integer(CUE_TRACK, track) + integer(CUE_CLUSTER, place))))
         content = b"".join(inner)
         known = c // PER_CLUSTER % 2 == 0
-        whole = element(CLUSTER, content, 4) if known else CLUSTER.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + content
+        whole = element(CLUSTER, with_crc(content), 4) if known else CLUSTER.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + content
         if known:
             whole += element(VOID, bytes(c % 7))
         body.append(whole)

@@ -636,11 +636,104 @@ def test_matroska_by_hand():
     assert data[rows[4][6] : rows[4][6] + 4] == b"yyyy"
 
 
+def plain_tree(d, at, end):
+    """Every element as (id, first byte, content begin, content end, children), by trial: a slow reader of its own."""
+    masters = {0x18538067, 0x1F43B675, 0x1549A966, 0x1654AE6B, 0xAE, 0xA0, 0x1C53BB6B, 0xBB, 0xB7, 0x1A45DFA3}
+    out = []
+    while at < end:
+        first, n = at, 1
+        while not d[at] >> 8 - n & 1:
+            n += 1
+        name = int("".join(f"{x:08b}" for x in d[at : at + n]), 2)
+        at += n
+        n = 1
+        while not d[at] >> 8 - n & 1:
+            n += 1
+        bits = "".join(f"{x:08b}" for x in d[at : at + n])[n:]
+        at += n
+        stop = end if set(bits) == {"1"} else at + int(bits, 2)
+        if set(bits) == {"1"} and name == 0x1F43B675:  # up to the next cluster or cues
+            stop = min([k for k in (d.find(b"\x1f\x43\xb6\x75", at, end), d.find(b"\x1c\x53\xbb\x6b", at, end)) if k >= 0] or [end])
+        out.append((name, first, at, stop, plain_tree(d, at, stop) if name in masters else []))
+        at = stop
+    return out
+
+
+def plain_packets(d):
+    whole = lambda a, b: int(d[a:b].hex() or "0", 16)
+    rows = []
+    for name, _, body, _, kids in plain_tree(d, 0, len(d)):
+        if name != 0x18538067:
+            continue
+        get = lambda rows_, *names: [x for x in rows_ if x[0] in names]
+        scale = next((whole(x[2], x[3]) for i in get(kids, 0x1549A966) for x in get(i[4], 0x2AD7B1)), 10**6)
+        last = {}
+        for t in get(kids, 0x1654AE6B):
+            for e in get(t[4], 0xAE):
+                last[whole(*get(e[4], 0xD7)[0][2:4])] = next((whole(x[2], x[3]) for x in get(e[4], 0x23E383)), 0)
+        cues = {(whole(*get(p[4], 0xF7)[0][2:4]), whole(*get(c[4], 0xB3)[0][2:4]), body + whole(*get(p[4], 0xF1)[0][2:4])) for q in get(kids, 0x1C53BB6B) for c in get(q[4], 0xBB) for p in get(c[4], 0xB7)}
+        for c in get(kids, 0x1F43B675):
+            base = whole(*get(c[4], 0xE7)[0][2:4])
+            for e in get(c[4], 0xA3, 0xA0):
+                b = e if e[0] == 0xA3 else get(e[4], 0xA1)[0]
+                at, end = b[2], b[3]
+                track, time, flags = d[at] & 0x7F, int.from_bytes(d[at + 1 : at + 3], "big", signed=True), d[at + 3]
+                at, kind, sizes = at + 4, flags >> 1 & 3, []
+                if kind:
+                    n, at = d[at] + 1, at + 1
+                    if kind == 2:
+                        sizes = [(end - at) // n] * n
+                    for k in range(n - 1) if kind in (1, 3) else ():
+                        if kind == 1:
+                            full = next(j for j in range(at, end) if d[j] != 255)
+                            sizes.append((full - at) * 255 + d[full])
+                            at = full + 1
+                        else:
+                            m = 8 - d[at].bit_length() + 1
+                            v = whole(at, at + m) - (1 << 7 * m)
+                            sizes.append(v if k == 0 else sizes[-1] + v - ((1 << 7 * m - 1) - 1))
+                            at += m
+                    if kind in (1, 3):
+                        sizes.append(end - at - sum(sizes))
+                else:
+                    sizes = [end - at]
+                length = get(e[4], 0x9B)
+                step = last.get(track) or (whole(*length[0][2:4]) * scale // len(sizes) if length else 0)
+                key = not get(e[4], 0xFB) if e[0] == 0xA0 else bool(flags & 0x80)
+                for k, n in enumerate(sizes):
+                    rows.append((track, (base + time) * scale + k * step, key, ("none", "xiph", "fixed", "ebml")[kind], k, at, n, c[1], k == 0 and (track, base + time, c[1]) in cues))
+                    at += n
+    return rows
+
+
+def test_matroska_by_a_slow_reader():
+    rng = random.Random(6)
+    for n in (0, 1, 399, 5000, 60_000):
+        f = matroska.mux(bytes(rng.randrange(256) if n < 5000 else rng.randrange(16) for _ in range(n)))
+        assert [r[1:10] for r in matroska.parse(f)] == plain_packets(f)
+
+
+def test_matroska_segments_of_their_own():
+    e, i = matroska.element, matroska.integer
+    block = lambda track, time: e(matroska.SIMPLE_BLOCK, bytes([0x80 | track]) + time.to_bytes(2, "big") + b"\x80xy")
+    cluster = e(matroska.CLUSTER, i(matroska.TIMESTAMP, 10) + block(1, 1) + e(matroska.ENCRYPTED_BLOCK, b"\x81\x00\x02\x00z"))
+    strip = e(matroska.ENCODINGS, e(matroska.ENCODING, e(matroska.COMPRESSION, i(matroska.ALGORITHM, 3) + e(matroska.SETTINGS, b"PRE"))))
+    late = cluster + e(matroska.TRACKS, e(matroska.TRACK_ENTRY, i(matroska.TRACK_NUMBER, 1) + strip)) + e(matroska.INFO, matroska.with_crc(i(matroska.SCALE, 1000)))
+    f = matroska.HEADER + e(matroska.SEGMENT, late, 8) + e(matroska.SEGMENT, cluster, 8)
+    rows = matroska.parse(f)
+    assert [(r[2], r[10], r[11]) for r in rows] == [(11_000, "strip", b"PRE"), (12_000, "encrypted", b"PRE"), (11_000_000, None, None), (12_000_000, "encrypted", None)]
+    bad = f.replace(i(matroska.SCALE, 1000), i(matroska.SCALE, 1001))
+    rows = matroska.parse(bad)
+    assert rows[0][2] == 11_011 and [(r[6], r[-1]) for r in rows if r[-1]] == [(bad.index(bytes.fromhex("1549a966")), "crc")]
+    limit = e(matroska.EBML, i(matroska.MAX_ID, 4) + i(matroska.MAX_SIZE, 4)) + f[len(matroska.HEADER) :]
+    assert matroska.parse(limit)[-1][-1] == "size"
+
+
 def test_matroska_broken(spark, docs, none):
     f = matroska.mux(prose(800).encode())
     for cut in range(0, len(f), 61):
         rows = matroska.parse(f[:cut])
-        assert rows == [] or rows[-1][-1] in (None, "empty", "not ebml", "truncated", "size", "lacing")
+        assert rows == [] or rows[-1][-1] in (None, "empty", "not ebml", "truncated", "size", "lacing", "crc")
     rng = random.Random(1)
     for _ in range(2000):
         g = bytearray(f)
