@@ -4,14 +4,14 @@ Texts become arrays of code points; the vocabulary's pattern is applied by lette
 regular expression. Each batch's distinct pre-tokens, as ragged numpy arrays of byte symbols, are merged together: in every
 round each sequence merges its pair of the lowest rank, all sequences at once, until none has a pair that merges. The
 symbols that survive are counted, and each text's count is the sum over its pre-tokens. Pre-tokens already counted by
-this worker are looked up in a table of hashes, which starts anew at `KNOWN` entries.
+this worker are looked up in a table of hashes, which starts anew at `KNOWN` entries; equal 64-bit hashes stand for equal pre-tokens.
 
 Counts are those of the public rank file at `path` (a parameter, by default in /opt/tokenizers) for ordinary text:
 strings of special tokens aren't special.
 
 Defined cases: a null text has a null count, an empty one 0. Code points that Unicode doesn't assign, or that stand
 outside letters, numbers and white space, are symbols of the third class. Rows are counted one by one, so repeated rows
-and ties need no rule; other columns aren't touched. An empty table gives an empty table.
+and ties need no rule; a text of any length is read whole, as one row of a batch, and one of a single pre-token takes a round over it for each rank at which it merges. Other columns aren't touched. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -175,6 +175,19 @@ class Counter:
 
     def forget(self) -> None:
         self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.later: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def learn(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        """Takes sorted new hashes in; small tables wait until they are as many as half the large one, so that a hash is moved few times."""
+        self.later.append((hashes, counts))
+        waiting = sum(len(h) for h, _ in self.later)
+        if len(self.hashes) + waiting > KNOWN:
+            self.forget()
+            self.hashes, self.counts = hashes, counts
+        elif len(self.later) > 8 or 2 * waiting > len(self.hashes):
+            h, c = (np.concatenate([x, *(t[k] for t in self.later)]) for k, x in ((0, self.hashes), (1, self.counts)))
+            order = np.argsort(h, kind="stable")
+            self.hashes, self.counts, self.later = h[order], c[order], []
 
     def count(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """The number of tokens of each text."""
@@ -195,23 +208,20 @@ class Counter:
         value = _BYTE[data] * powers(int(size.max()))[np.arange(len(data)) - np.repeat(at, size)]
         h = mix(np.add.reduceat(value, at) + size.astype(np.uint64))
         different, first, back = np.unique(h, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.hashes, different)
-        known = np.zeros(len(different), bool)
-        inside = place < len(self.hashes)
-        known[inside] = self.hashes[place[inside]] == different[inside]
-        counts = np.zeros(len(different), np.int64)
-        counts[known] = self.counts[place[known]]
+        known, counts = np.zeros(len(different), bool), np.zeros(len(different), np.int64)
+        for hashes, found in ((self.hashes, self.counts), *self.later):
+            place = np.searchsorted(hashes, different)
+            place[place == len(hashes)] = 0
+            hit = hashes[place] == different if len(hashes) else known & False
+            known |= hit
+            counts[hit] = found[place[hit]]
         new = np.flatnonzero(~known)
         if len(new):
             s, n = at[first[new]], size[first[new]]
             inner = np.r_[0, np.cumsum(n)]
             symbols = self.vocabulary.bytes[data[np.arange(inner[-1]) + np.repeat(s - inner[:-1], n)]]
             counts[new] = merged_counts(self.vocabulary, symbols, inner)
-            if len(self.hashes) + len(new) > KNOWN:
-                self.forget()
-                place = np.zeros(len(different), np.int64)
-            self.hashes = np.insert(self.hashes, place[new], different[new])
-            self.counts = np.insert(self.counts, place[new], counts[new].astype(np.int32))
+            self.learn(different[new], counts[new].astype(np.int32))
         total = np.r_[0, np.cumsum(counts[back])]
         token_rows = np.searchsorted(at, offs)
         return total[token_rows[1:]] - total[token_rows[:-1]]
