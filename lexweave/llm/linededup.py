@@ -10,7 +10,8 @@ unchanged. Segments go into an index by (line length, segment number, hash); a l
 partner may have, the substrings at the places that multi-match-aware selection leaves. Each entry bears 64 parities of the line's
 byte pairs: an edit turns four of them at most, so pairs that differ in more are left out before they are sent. Pairs that meet are verified
 by edit distance in a band of 2 * EDITS + 1 diagonals, held in the bits of a word and advanced for many pairs at once.
-Equality of whole lines is that of their 64-bit hashes.
+Equality of whole lines is that of their 64-bit hashes: each hash's first line is an aggregate that tasks add up before the shuffle, and is joined to all lines
+that have it, so a line that stands in a third of all documents isn't one task's work.
 
 Defined cases: a null text stays null, an empty one empty. Documents with a null doc_id stay as they are and take no
 lines from others. Rows of equal doc_id and equal text are one document, and lose the same lines; rows of equal doc_id and other
@@ -35,9 +36,8 @@ EDITS = 2
 LEAST = 32
 BROADCAST_HASHES = 1_000_000
 
-LINE = np.dtype([("hash", "u8"), ("doc", "i8"), ("text", "i8"), ("line", "i4")])
 SEGMENT = np.dtype([("key", "u8"), ("hash", "u8"), ("bits", "u8")])
-LINES, INDEX, PROBE = 0, 1, 2
+INDEX, PROBE = 1, 2
 
 
 def line_table(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -201,17 +201,16 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> D
             ok = size >= least
             yield d, Prefix(d), ids[lo + rows[ok]], texts[lo + rows[ok]], no[ok], start[ok], size[ok]
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, p, ids, texts, no, start, size in lines_of(b, 1):
+                yield pa.RecordBatch.from_arrays([pa.array(p.hash(start, size).view(np.int64)), pa.array(ids), pa.array(texts), pa.array(no.astype(np.int32))], ["hash", "doc", "text", "line"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Buckets(count)
         for b in batches:
-            for d, p, ids, texts, no, start, size in lines_of(b, 1):
-                h = p.hash(start, size)
-                found = np.empty(len(h), LINE)
-                found["hash"], found["doc"], found["text"], found["line"] = h, ids, texts, no
-                out.add(LINES, mix(h), found)
-                far = np.flatnonzero(size >= least)
-                h, first = np.unique(h[far], return_index=True)
-                first = far[first]
+            for d, p, _, _, _, start, size in lines_of(b, least):
+                h, first = np.unique(p.hash(start, size), return_index=True)
                 bits = parities(d, start[first], size[first])
                 for kind, records in segment_records(p, start[first], size[first], h, bits, edits, least):
                     out.add(kind, mix(records["key"]), records)
@@ -220,19 +219,16 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> D
         yield from out.flush()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in by_bucket(batches, {LINES: LINE, INDEX: SEGMENT, PROBE: SEGMENT}):
+        for got in by_bucket(batches, {INDEX: SEGMENT, PROBE: SEGMENT}):
             for a, b in meet(got[INDEX], got[PROBE], edits):
-                x, y, none = pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([x, none, none.cast(pa.int32()), y, none, none.cast(pa.int32())], names)
-            lines = _distinct(got[LINES], "hash", "doc", "text", "line")
-            if len(lines):
-                new = np.r_[True, lines["hash"][1:] != lines["hash"][:-1]]
-                first = lines[np.flatnonzero(new)[np.cumsum(new) - 1]][~new]
-                yield pa.RecordBatch.from_arrays([pa.array(x[f]) for x in (lines[~new], first) for f in ("doc", "text", "line")], names)
-
-    met = stored(map_arrow(spread(map_arrow(slim, cut, Buckets.SCHEMA)), join, gone))
-    equal = met.filter("line is not null").withColumn("edits", F.lit(0))
-    pairs = met.filter("line is null").select(F.col("doc").alias("x"), F.col("kept_doc").alias("y")).distinct()
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["x", "y"])
+
+    lines = map_arrow(slim, each, "hash bigint, doc bigint, text bigint, line int")
+    here = F.struct("doc", "text", "line")
+    repeated = lines.groupBy("hash").agg(F.min(here).alias("at"), F.max(here).alias("last")).filter("at <> last")
+    all_equal = lines.join(repeated.select("hash", "at"), "hash").filter(here != F.col("at"))
+    equal = stored(all_equal.select("doc", "text", "line", F.col("at.doc").alias("kept_doc"), F.col("at.text").alias("kept_text"), F.col("at.line").alias("kept_line"), F.lit(0).alias("edits")).distinct())
+    pairs = stored(map_arrow(spread(map_arrow(slim, cut, Buckets.SCHEMA)), join, "x bigint, y bigint").distinct())
     wanted = stored(pairs.select(F.explode(F.array("x", "y")).alias("hash")).distinct())
     most = wanted.count()
     if not most:
