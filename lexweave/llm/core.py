@@ -232,6 +232,14 @@ class Prefix:
         return mix((self.sums[start + size] - self.sums[start]) * self._back[start] + size.astype(np.uint64))
 
 
+class Runs(Prefix):
+    """Hashes of any runs of words, from the words' hashes."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        super().__init__(np.zeros(len(hashes), np.uint8))
+        np.cumsum(hashes * powers(len(hashes)), out=self.sums[1:])
+
+
 class Buckets:
     """Records on their way to the reducers: packed arrays, split by a hash, sent as one binary value a bucket and kind."""
 
