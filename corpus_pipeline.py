@@ -1,4 +1,12 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+Each stage works on all rows that the one before it kept, in tables of the shared folder, so that a lost executor costs a task and not a stage.
+
+Defined cases are those of the stages. Put together: a null text passes four stages and has no piece in the last; an empty one is a piece of its
+separator; texts of any length are read whole; rows repeated in full become one at the third stage, and documents read several times from the fourth
+on are packed as often. Documents with a null doc_id keep their lines and come after all others. Without labels nothing is rejected. Other columns,
+of whatever name, pass the first four stages unchanged. An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
