@@ -6,7 +6,7 @@ scores of the places so far, the last one first; a second fold walks back from t
 
 from __future__ import annotations
 
-from lexweave.plans.segment_queries import _EMIT, _GOLD, _PRESET_SQL, _RUN, _VOCAB, UNK_BASE, UNK_PER_CP, _q
+from lexweave.plans.segment_queries import _COSTS, _EMIT, _GOLD, _MSTEP, _PRESET_SQL, _RUN, _VOCAB, TARGET, UNK_BASE, UNK_PER_CP, _normalized, _pruned, _q
 from lexweave.plans.text_queries import CHARS, class_sql
 
 N = -(1 << 50)
@@ -109,7 +109,8 @@ _FFBS = f"""{_JOINT}, sums AS (SELECT *, list_reduce(list_transform(x, lambda y:
   drawn AS (SELECT doc_id, line_no, rep, cut, (128 + list_sum(list_transform(range(2, len(cut) + 1), lambda j: x[cut[j]][cut[j] - cut[j - 1]])))::BIGINT AS score FROM paths)"""
 
 # expected uses of pieces: sums of the paths to each place and from each
-_EM = f"""{_VOCAB}{_PIECES}{_ENDED}, ids AS (SELECT e.doc_id, e.line_no, e.i, {', '.join(f'q{k}.piece_id AS p{k}, coalesce(q{k}.logp, {_MINUS}) AS l{k}' for k in _KS)} FROM ended e {_JOINED}),
+def _em(logp: str) -> str:
+    return f"""{_VOCAB}{_PIECES}{_ENDED}, ids AS (SELECT e.doc_id, e.line_no, e.i, {', '.join(f'q{k}.piece_id AS p{k}, CASE WHEN q{k}.piece_id IS NULL THEN {_MINUS} ELSE {logp.format(k=k)} END AS l{k}' for k in _KS)} FROM ended e {_JOINED}),
   begun AS (SELECT *, {', '.join(f'lead(l{k}, {k}) OVER w AS f{k}' for k in _KS)} FROM ids {_W}),
   lists AS (SELECT doc_id, line_no, count(*) AS n, list([l1, l2, l3, l4]::DOUBLE[] ORDER BY i) AS x, list([{', '.join(f'coalesce(f{k}, {_MINUS})' for k in _KS)}]::DOUBLE[] ORDER BY i DESC) AS z FROM begun GROUP BY doc_id, line_no),
   sums AS (SELECT doc_id, line_no, n, list_reverse(list_reduce(x, lambda a, y: list_prepend({_lse(*(f'(a[{k}] + y[{k}])' for k in _KS))}, a), [0, {_MINUS}, {_MINUS}, {_MINUS}]::DOUBLE[])) AS alpha,
@@ -117,9 +118,17 @@ _EM = f"""{_VOCAB}{_PIECES}{_ENDED}, ids AS (SELECT e.doc_id, e.line_no, e.i, {'
   places AS (SELECT doc_id, line_no, alpha[len(alpha)] AS z, unnest(range(1, n + 1)) AS i, unnest(list_slice(alpha, 4, n + 3)) AS a_before, unnest(list_slice(beta, 1, n)) AS b FROM sums),
   around AS (SELECT doc_id, line_no, i, z, b, a_before AS a1, {', '.join(f'lag(a_before, {k - 1}) OVER w AS a{k}' for k in _KS[1:])} FROM places {_W}),
   uses AS ({' UNION ALL '.join(f'SELECT d.p{k} AS piece_id, exp(r.a{k} + d.l{k} + r.b - r.z) AS u FROM around r JOIN ids d ON d.doc_id = r.doc_id AND d.line_no = r.line_no AND d.i = r.i WHERE d.p{k} IS NOT NULL' for k in _KS)}),
-  total AS (SELECT DISTINCT doc_id, line_no, z FROM places)
+  total AS (SELECT DISTINCT doc_id, line_no, z FROM places)"""
+
+
+_EM = f"""{_em('q{k}.logp')}
   SELECT piece_id, round(sum(u), 2) AS cnt FROM uses GROUP BY piece_id UNION ALL SELECT -1, round(sum(z), 2) FROM total UNION ALL SELECT -2, count(*)::DOUBLE FROM total UNION ALL SELECT -3, round(sum(u), 2) FROM uses UNION ALL SELECT -4, 0.0"""
 
+_ITERATION = f"""{_em('-ln((SELECT count(*) FROM vocab)::DOUBLE)')}, used AS (SELECT piece_id, sum(u) AS cnt FROM uses GROUP BY piece_id),
+  expected AS (SELECT v.piece_id, v.piece, v.len_cp, v.mandatory, coalesce(u.cnt, 0.0::DOUBLE) AS cnt, 0.0::DOUBLE AS logp FROM vocab v LEFT JOIN used u USING (piece_id)),
+  smoothed AS (SELECT * REPLACE (ln(greatest((cnt + 0.1) / (SELECT sum(cnt + 0.1::DOUBLE) FROM expected), 1e-12)) AS logp) FROM expected), {_normalized('smoothed', 'fitted')}{_COSTS[len(_MSTEP):]}"""
+_PRUNED = _pruned(0.0, f"r <= {TARGET} - (SELECT count(*) FROM scored WHERE always)")[len("WITH " + _COSTS) :].replace("round(logp, 7)", "round(logp, 5)")
+
 _T = {(0, 0): 0.2, (0, 1): -0.4, (1, 0): 0.0, (1, 1): -0.6}
 
 
@@ -144,7 +153,8 @@ _CRF = f"""{_GOLD}, {_PRESET_SQL}, each AS (SELECT l.doc_id, l.line_no, u.i, l.c
   feats AS (SELECT y * 65536 + c * 256 AS key, g FROM lab2 UNION ALL SELECT 16777216 + y * 65536 + p * 256, g FROM lab2 UNION ALL SELECT 2 * 16777216 + y * 65536 + n * 256, g FROM lab2
     UNION ALL SELECT 3 * 16777216 + y * 65536 + p * 256 + c, g FROM lab2 UNION ALL SELECT 4 * 16777216 + y * 65536 + c * 256 + n, g FROM lab2),
   trans AS ({' UNION ALL '.join(f"SELECT {-1 - 2 * j - k} AS key, sum((oy = {j} AND y = {k})::INT - exp(o{j} + ({_T[j, k]}) + e{k} + b{k} - logz)) FILTER (oy IS NOT NULL)" + (f" + sum((y = {j})::INT - exp(a{j} + ({_T[j, k]}) - logz)) FILTER (i = m)" if k else '') + ' AS g FROM pairs' for j in (0, 1) for k in (0, 1))}),
-  ll AS (SELECT sum(CASE WHEN y = 0 THEN e0 ELSE e1 END) + sum(CASE {' '.join(f'WHEN oy = {j} AND y = {k} THEN {_T[j, k]}' for j, k in _T)} ELSE 0 END) + sum(CASE WHEN i < m THEN 0 WHEN y = 0 THEN -0.4 ELSE -0.6 END) - sum(logz) FILTER (i = m) AS v, count(*) AS n FROM pairs)
+  ll AS (SELECT sum(CASE WHEN y = 0 THEN e0 ELSE e1 END) + sum(CASE {' '.join(f'WHEN oy = {j} AND y = {k} THEN {_T[j, k]}' for j, k in _T)} ELSE 0 END) + sum(CASE WHEN i < m THEN 0 WHEN y = 0 THEN -0.4 ELSE -0.6 END) - sum(logz) FILTER (i = m) AS v, count(*) AS n FROM pairs)"""
+_GRADIENT = f"""{_CRF}
   SELECT p.key, round(coalesce(f.g, 0), 4) AS gradient FROM preset p LEFT JOIN (SELECT key, sum(g) AS g FROM feats GROUP BY key) f USING (key) UNION ALL SELECT key, round(g, 4) FROM trans UNION ALL SELECT -5, round(v, 3) FROM ll UNION ALL SELECT -6, n::DOUBLE FROM ll"""
 
 _WORDS = f"{_UNIGRAM}{_best(0, (4, 3, 2, 1))}"
@@ -156,6 +166,11 @@ ORACLE_SQL = {
     "ffbs_sample": f"WITH {_FFBS} {_tokens('drawn', 'c.rep', 'c.score')}",
     "pseudo_labels": f"WITH {_WORDS} SELECT doc_id, line_no, n, md5(array_to_string(list_transform(range(2, len(cut) + 1), lambda j: '1' || repeat('0', cut[j] - cut[j - 1] - 1)), '')) AS y_md5 FROM cuts",
     "em_expected_counts": f"WITH {_EM}",
-    "crf_gradient_step": f"WITH {_CRF}",
+    "em_iteration": f"WITH {_ITERATION}{_PRUNED}",
+    "token_lines": f"WITH {_JOINT}{_best(128, _KS)} SELECT md5(array_to_string(list_transform(range(1, len(c.cut)), lambda j: substring(l.line, c.cut[j] + 1, c.cut[j + 1] - c.cut[j])), ' ')) AS value_md5 FROM cuts c JOIN lines l USING (doc_id, line_no)",
+    "crf_gradient_step": f"WITH {_GRADIENT}",
+    "crf_sgd_step": f"""WITH {_CRF}, w0 AS (SELECT p.key, coalesce(g.w, 0)::DOUBLE AS w FROM preset p LEFT JOIN given g ON p.tid = g.tid AND p.label = g.label AND p.v1 = g.v1 AND p.tid < 3),
+      moved AS (SELECT w0.key, w0.w, coalesce(f.g, 0) AS g FROM w0 LEFT JOIN (SELECT key, sum(g) AS g FROM feats GROUP BY key) f USING (key) UNION ALL SELECT t.key, x.w::DOUBLE, t.g FROM trans t JOIN (VALUES (-1, 0.2), (-2, -0.4), (-3, 0.0), (-4, -0.6)) x(key, w) USING (key))
+      SELECT key::BIGINT AS key, round(w + 0.05 * (g - 1e-4 * w) / (SELECT n FROM ll), 7) AS weight FROM moved""",
 }
 assert _EMIT.startswith(CHARS) and _VOCAB.startswith(CHARS)

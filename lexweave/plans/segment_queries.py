@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
 from lexweave.operators import lattice as L
+from lexweave.operators import pipeline as P
 from lexweave.operators import segment as S
 from lexweave.operators import training as R
 from lexweave.operators import vocabulary as V
@@ -231,6 +232,29 @@ def em_expected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.e_step(lines_of(spark, sf_dir), m.pieces, m.logp, MAX_LEN).select("piece_id", F.round("cnt", 2).alias("cnt"))
 
 
+def em_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary after one iteration from uniform probabilities: expected uses, their logarithms, pruning to a size."""
+    config = R.TrainConfig(vocab=TARGET, max_piece_len=MAX_LEN, iters=1, mdl_lambda0=0.0, mdl_lambda_len=LAMBDA_LEN)
+    return R.em_train(lines_of(spark, sf_dir), vocab(spark, sf_dir), config)[0].select("piece_id", "piece", F.round("logp", 5).alias("logp"))
+
+
+def uncovered_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters that the exported vocabulary lacks, and in how many lines they stand."""
+    return R.uncovered(lines_of(spark, sf_dir), V.export_selection(V.m_step(vocab(spark, sf_dir)), SINGLES).filter("len_cp = 1"))
+
+
+def token_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of tokens apart by blanks that a tokenizer writes, by their hashes."""
+    return P.token_lines(S.tokenize(lines_of(spark, sf_dir), model(spark, sf_dir))).select(F.md5("value").alias("value_md5"))
+
+
+def crf_sgd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preset's weights after one step of gradient ascent over all lines."""
+    w = R.crf_fit(spread(R.gold_sequences(lines_of(spark, sf_dir))), R.CrfWeights.preset(), R.TrainConfig(crf_opt="sgd", crf_epochs=1))
+    rows = [(int(k), round(float(x), 7)) for k, x in zip([*R.feature_keys(), -1, -2, -3, -4], [*w.feat, *w.trans])]
+    return spark.createDataFrame(rows, "key bigint, weight double")
+
+
 def pseudo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.pseudo_labels(lines_of(spark, sf_dir), model(spark, sf_dir))
     return found.select("doc_id", "line_no", F.size("y").cast("bigint").alias("n"), F.md5(F.array_join("y", "")).alias("y_md5"))
@@ -346,7 +370,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ngram_counts, keep_chars, rare_char_map, ngram_topk_per_len, ngram_top_global, byte_budget_sample, vocab_build, quantize_q88, m_step, normalize_logp, char_fallback_cost, mdl_prune_target, mdl_prune_threshold, export_selection, span_matches, oov_span_scores, crf_preset, crf_emissions,
-        emission_prefix_sum, segment_scores, feature_keys, joint_viterbi, unigram_viterbi, nbest_tokens, ffbs_sample, sample_from_nbest, em_expected_counts, pseudo_labels, gold_labels, crf_empirical_counts, crf_gradient_step, boundary_f1, model_f1, crf_config, class_ranges, bigram_backoff,
+        emission_prefix_sum, segment_scores, feature_keys, joint_viterbi, unigram_viterbi, nbest_tokens, ffbs_sample, sample_from_nbest, em_expected_counts, em_iteration, uncovered_chars, token_lines, crf_sgd_step, pseudo_labels, gold_labels, crf_empirical_counts, crf_gradient_step, boundary_f1, model_f1, crf_config, class_ranges, bigram_backoff,
     )
 } | {"token_offsets_char": _offsets("char"), "token_offsets_byte": _offsets("byte")}
 
@@ -432,6 +456,7 @@ ORACLE_SQL = {
     "mdl_prune_target": _pruned(0.0, f"r <= {TARGET} - (SELECT count(*) FROM scored WHERE always)"),
     "mdl_prune_threshold": _pruned(LAMBDA0, "score > 0"),
     "export_selection": f"WITH {_MSTEP}, top AS (SELECT piece, logp, row_number() OVER (ORDER BY round(exp(logp), 15) DESC, piece_id) AS r FROM fitted WHERE len_cp < 2), kept AS (SELECT piece, logp FROM fitted WHERE len_cp >= 2 UNION ALL SELECT piece, logp FROM top WHERE r <= {SINGLES}) SELECT row_number() OVER (ORDER BY piece) - 1 AS piece_id, piece, round(logp, 8) AS logp FROM kept",
+    "uncovered_chars": f"WITH {_MSTEP}, top AS (SELECT piece, row_number() OVER (ORDER BY round(exp(logp), 15) DESC, piece_id) AS r FROM fitted WHERE len_cp < 2) SELECT ch, count(*) AS lines FROM (SELECT DISTINCT doc_id, line_no, ch FROM chars) WHERE ch NOT IN (SELECT piece FROM top WHERE r <= {SINGLES}) GROUP BY ch",
     "span_matches": f"WITH {_VOCAB} SELECT piece_id, piece, count(*) AS matches FROM spans JOIN vocab USING (piece) GROUP BY ALL",
     "oov_span_scores": f"WITH {_VOCAB}, q AS (SELECT piece, {_q('logp')} AS logp_q FROM vocab) SELECT n::BIGINT AS len, logp_q IS NOT NULL AS known, count(*) AS n, sum(coalesce(logp_q, greatest(-32768, {UNK_BASE} + {UNK_PER_CP} * spans.n)))::BIGINT AS sum_score FROM spans LEFT JOIN q USING (piece) GROUP BY spans.n, logp_q IS NOT NULL",
     "crf_preset": f"WITH {_PRESET_SQL} SELECT * FROM preset",
