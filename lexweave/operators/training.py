@@ -95,9 +95,13 @@ def uncovered(lines: DataFrame, vocab: DataFrame) -> DataFrame:
     return each.join(F.broadcast(vocab.select(F.col("piece").alias("ch"))), "ch", "left_anti").groupBy("ch").agg(F.count("*").alias("lines"))
 
 
+def first_lines(lines: DataFrame, n: int) -> DataFrame:
+    return lines.orderBy("doc_id", "line_no").limit(n)
+
+
 def precheck(lines: DataFrame, vocab: DataFrame, most: int, max_len: int) -> None:
     """Raises NoCover where some of the first lines can't be made of the pieces, before any pass over all of them."""
-    first = lines.orderBy("doc_id", "line_no").limit(most)
+    first = first_lines(lines, most)
     pieces = [r[0] for r in vocab.select("piece").collect()]
     missed = e_step(first, pieces, np.zeros(len(pieces)), max_len).filter("piece_id = -4").first()
     if missed and missed[1]:
@@ -176,7 +180,7 @@ def train(docs: DataFrame, config: TrainConfig = TrainConfig(), gold: DataFrame
     if gold is not None:
         crf = crf_fit(gold_sequences(gold, config.max_sentence_cp, config.classes), crf, config)
     if config.crf_unsupervised:
-        some = corpus_lines(docs).orderBy("doc_id", "line_no").limit(config.crf_unsup_sentences)
+        some = first_lines(corpus_lines(docs), config.crf_unsup_sentences)
         lm = L.Model(trained.toPandas()["piece"].tolist(), np.zeros(0), max_len=config.max_piece_len, logp=trained.toPandas()["logp"].to_numpy())
         crf = crf_fit(pseudo_labels(some, lm, config.classes), crf, config)
     lines.unpersist()

@@ -47,6 +47,11 @@ def rare_char_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.map_rare(lines_of(spark, sf_dir), keep_chars(spark, sf_dir))
 
 
+def ngram_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n-grams of the lines with rare characters mapped, without those that hold the character they are mapped to."""
+    return V.ngram_counts(rare_char_map(spark, sf_dir), 2, MAX_LEN, MIN_COUNT, "?")
+
+
 def ngram_topk_per_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.top_per_length(ngram_counts(spark, sf_dir), PER_LENGTH)
 
@@ -243,6 +248,18 @@ def uncovered_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.uncovered(lines_of(spark, sf_dir), V.export_selection(V.m_step(vocab(spark, sf_dir)), SINGLES).filter("len_cp = 1"))
 
 
+def detokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines again, of the tokens of their encoded form."""
+    encoded = lines_of(spark, sf_dir).withColumn("line", T.lossless_encode(F.col("line")))
+    found = P.detokenize_df(S.tokenize(encoded, model(spark, sf_dir)))
+    return found.select("doc_id", "line_no", F.md5("text").alias("line_md5"))
+
+
+def precheck_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first lines, which training checks before its passes over all."""
+    return R.first_lines(lines_of(spark, sf_dir), R.TrainConfig().precheck_lines)
+
+
 def token_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of tokens apart by blanks that a tokenizer writes, by their hashes."""
     return P.token_lines(S.tokenize(lines_of(spark, sf_dir), model(spark, sf_dir))).select(F.md5("value").alias("value_md5"))
@@ -369,8 +386,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ngram_counts, keep_chars, rare_char_map, ngram_topk_per_len, ngram_top_global, byte_budget_sample, vocab_build, quantize_q88, m_step, normalize_logp, char_fallback_cost, mdl_prune_target, mdl_prune_threshold, export_selection, span_matches, oov_span_scores, crf_preset, crf_emissions,
-        emission_prefix_sum, segment_scores, feature_keys, joint_viterbi, unigram_viterbi, nbest_tokens, ffbs_sample, sample_from_nbest, em_expected_counts, em_iteration, uncovered_chars, token_lines, crf_sgd_step, pseudo_labels, gold_labels, crf_empirical_counts, crf_gradient_step, boundary_f1, model_f1, crf_config, class_ranges, bigram_backoff,
+        ngram_counts, keep_chars, rare_char_map, ngram_fallback, ngram_topk_per_len, ngram_top_global, byte_budget_sample, vocab_build, quantize_q88, m_step, normalize_logp, char_fallback_cost, mdl_prune_target, mdl_prune_threshold, export_selection, span_matches, oov_span_scores, crf_preset, crf_emissions,
+        emission_prefix_sum, segment_scores, feature_keys, joint_viterbi, unigram_viterbi, nbest_tokens, ffbs_sample, sample_from_nbest, em_expected_counts, em_iteration, uncovered_chars, precheck_lines, detokenized, token_lines, crf_sgd_step, pseudo_labels, gold_labels, crf_empirical_counts, crf_gradient_step, boundary_f1, model_f1, crf_config, class_ranges, bigram_backoff,
     )
 } | {"token_offsets_char": _offsets("char"), "token_offsets_byte": _offsets("byte")}
 
@@ -445,6 +462,9 @@ ORACLE_SQL = {
     "ngram_counts": f"WITH {_GRAMS} SELECT n, piece, cnt FROM grams",
     "keep_chars": f"WITH {CHARS}, {_KEPT} SELECT cp::BIGINT AS cp, chr(cp::INT) AS ch FROM kept",
     "rare_char_map": f"WITH {CHARS}, {_KEPT}, k AS (SELECT list(chr(cp::INT)) AS kept FROM kept) SELECT doc_id, line_no, array_to_string(list_transform(string_split(line, ''), lambda c: CASE WHEN list_contains(k.kept, c) THEN c ELSE '?' END), '') AS line FROM lines, k",
+    "ngram_fallback": f"WITH {CHARS}, {_KEPT}, mapped AS (SELECT doc_id, line_no, i, CASE WHEN unicode(ch) IN (SELECT cp FROM kept) THEN ch ELSE '?' END AS ch FROM chars){_GRAMS[len(CHARS):].replace('FROM chars', 'FROM mapped')} SELECT n, piece, cnt FROM grams WHERE NOT contains(piece, '?')",
+    "precheck_lines": f"WITH {LINES} SELECT doc_id, line_no, line FROM lines ORDER BY doc_id, line_no LIMIT 5000",
+    "detokenized": f"WITH {LINES} SELECT doc_id, line_no, md5(line) AS line_md5 FROM lines",
     "ngram_topk_per_len": f"WITH {_GRAMS} SELECT n, piece, cnt, rank FROM ranked WHERE rank <= {PER_LENGTH}",
     "ngram_top_global": f"WITH {_CANDS} SELECT * FROM cands",
     "byte_budget_sample": f"WITH {LINES}, summed AS (SELECT *, sum(strlen(line) + 1) OVER (ORDER BY doc_id, line_no ROWS UNBOUNDED PRECEDING) - strlen(line) - 1 AS before FROM lines) SELECT doc_id, line_no, line FROM summed WHERE before < {BUDGET}",
