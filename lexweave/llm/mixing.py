@@ -13,7 +13,7 @@ taken in that order while their tokens fit. So a source is never sorted in one p
 Tokens are UTF-8 bytes and one for the separator. Defined cases: a null text counts as an empty one; a null source is a
 source of its own; rows repeated in full are separate documents of equal place, which the
 last epoch takes together, so that it may pass its quota by all but one of them. With one source, or shares that are equal, every document is taken once. An empty table gives an
-empty table. Other columns pass unchanged. Only a text's size is read, however long it is. Sources are settled on the driver, a row each.
+empty table. Other columns pass unchanged. Only a text's size is read, however long it is. Sources are settled on the driver, a row each; with more than `SOURCES` of them an error is raised.
 The pipeline's stage gives each document as often as it is read; the packing after it orders them anew, by size.
 """
 
@@ -30,6 +30,7 @@ REPEATS = 4.0
 BLOCK = 64 << 20
 BLOCKS = 64
 SEED = 20240607
+SOURCES = 1_000_000  # rows of some 30 bytes, a source each
 
 
 def weights_at(share: np.ndarray, exponent: float) -> np.ndarray:
@@ -84,8 +85,10 @@ def mix_sources(docs: DataFrame, target: float = ENTROPY, most: float = REPEATS,
     c = {k: F.col(v) for k, v in names.items()}
     text, source, doc_id = column(docs, "text"), column(docs, "source"), column(docs, "doc_id")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1
-    # one row a source: their number doesn't grow with the documents
-    found = docs.groupBy(source.alias("source")).agg(F.sum(size).alias("tokens")).orderBy(F.col("tokens").desc(), F.col("source")).collect()
+    # a row a source goes over the driver and to all tasks
+    found = docs.groupBy(source.alias("source")).agg(F.sum(size).alias("tokens")).orderBy(F.col("tokens").desc(), F.col("source")).limit(SOURCES + 1).collect()
+    if len(found) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources: group them before they are mixed")
     if not found:
         return docs.select("*", F.lit(1).alias(names["epoch"]), F.lit(0).alias(names["block"]), *(F.lit(0).cast("bigint").alias(names[k]) for k in ("block_order", "place")))
     tokens = np.array([r["tokens"] for r in found], np.int64)

@@ -1,13 +1,13 @@
 """Best-fit-decreasing packing of documents into sequences of a fixed capacity.
 
 Sizes are UTF-8 bytes, the tokens of a byte-level model, and one more for the separator after each document. A text
-longer than `CAPACITY` is first cut into pieces of CAPACITY and a rest. Pieces are taken from the largest to the
+of any length, if longer than `CAPACITY`, is first cut into pieces of CAPACITY and a rest. Pieces are taken from the largest to the
 smallest; each goes into the open bin with the least remaining capacity that still holds it, or opens a bin. Bins are
 kept by remaining capacity, and a segment tree over the capacities, each node marking whether a bin is open below it,
 finds the tightest one in logarithmic time.
 
-A shard of about `SHARD` pieces is packed by one task; shards are cut by a hash of doc_id and text, so the result is the
-same on any cluster. Only ids and sizes are moved, never texts. Full pieces need no search: each is a bin of its own.
+A shard of about `SHARD` pieces is packed by one task; shards are cut by a hash of doc_id, text, copy and piece, so the result is the
+same on any cluster, and neither one row repeated in full nor one text of many pieces fills a shard. Only ids and sizes are moved, never texts. Full pieces need no search: each is a bin of its own.
 
 Defined cases: a null text has no pieces; an empty one is a separator alone, a piece of size 1. Ties in size go by
 (doc_id, nulls first; text hash; piece). Rows repeated in full are packed as often as they stand there; they are told
@@ -107,7 +107,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataF
     all_pieces = stored(pieces(docs, capacity))
     shards = max(1, -(-all_pieces.count() // shard))
     kind = all_pieces.schema["doc_id"].dataType.simpleString()
-    placed = all_pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(shards)).cast("int"))
+    placed = all_pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_hash", "copy", "piece"), F.lit(shards)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(batches, schema) if (batches := [b for b in batches if b.num_rows]) else None

@@ -407,6 +407,12 @@ def test_mixing_empty(spark, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_mixing_of_too_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 2)
+    with pytest.raises(ValueError):
+        mixing.mix_sources(spark.createDataFrame([(k, "x", str(k)) for k in range(3)], "doc_id bigint, text string, source string"))
+
+
 def test_mixing_permutes_small_sources(spark):
     rows = [(d, "x" * 20, "big" if d % 2 else "small") for d in range(400)] + [(400 + d, "y" * 20, "big") for d in range(800)]
     got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
