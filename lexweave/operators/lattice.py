@@ -546,6 +546,27 @@ def _drawn(state: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.where(hit.any(axis=1), np.argmax(hit, axis=1), last)
 
 
+def _drawn_long(total: np.ndarray, edge: np.ndarray, state: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ends and lengths of one long text's words, drawn from the last to the first: the weights of all places at once, then a plain walk."""
+    n = len(total)
+    lw = np.full((n, len(edge)), -np.inf)
+    for k in range(1, min(len(edge), n - 1) + 1):
+        lw[k:, k - 1] = total[: n - k] + edge[k - 1, k:]
+    weight = np.exp(lw[1:] - lw[1:].max(axis=1, keepdims=True))
+    sums, weights, p, ends, sizes = np.cumsum(weight, axis=1).tolist(), weight.tolist(), n - 1, [], []
+    while p > 0:
+        state ^= state << 13 & 0xFFFFFFFF
+        state ^= state >> 17
+        state ^= state << 5 & 0xFFFFFFFF
+        w, c = weights[p - 1], sums[p - 1]
+        u = (state >> 8) / float(1 << 24) * c[-1]
+        k = next((j for j, x in enumerate(c) if u <= x and w[j] > 0), max(j for j, x in enumerate(w) if x > 0))
+        ends.append(p)
+        sizes.append(k + 1)
+        p -= k + 1
+    return np.array(ends), np.array(sizes)
+
+
 def sample(lat: Lattice, scores: np.ndarray, start: int, temperature: float, seeds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """A path of each sentence, drawn with probability proportional to exp(score / temperature), and its score; seeds in the sentences' own order.
 
@@ -558,7 +579,12 @@ def sample(lat: Lattice, scores: np.ndarray, start: int, temperature: float, see
     at, score = lat.base + lat.size, np.full(len(lat.base), start, np.int64)
     mark = np.zeros(lat.places, bool)
     mark[lat.base] = True
-    live = np.flatnonzero(lat.size > 0)
+    long = int(np.searchsorted(-lat.size, -LONG))
+    for s in range(long):
+        path, more = _drawn_long(total[lat.base[s] : at[s] + 1], edge[:, lat.base[s] : at[s] + 1], int(state[s]))
+        mark[lat.base[s] + path] = True
+        score[s] += int(scores[more - 1, lat.base[s] + path].sum())
+    live = np.arange(long, int((lat.size > 0).sum()))
     lengths = np.arange(1, lat.max_len + 1)
     while len(live):
         here = at[live]
