@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lexweave.functions.text import characters, code_point
 from lexweave.operators.lattice import Lattice, PieceTable, SpanHash, batches, code_points
@@ -125,19 +126,35 @@ def start_filter(counts: DataFrame) -> str:
     return "punct" if plain else "space" if marks else "none"
 
 
+def _last_needed(sizes: DataFrame, budget: int, ranges: int = 4096) -> int | None:
+    """An integer doc_id up to which the bytes reach the budget with little over, or None where all are needed: sums of equal ranges of ids, then of the parts of the one where the budget ends."""
+    lo, hi = sizes.agg(F.min("doc_id"), F.max("doc_id")).first()
+    before = 0
+    while lo is not None:
+        width = (hi - lo) // ranges + 1
+        part = F.expr(f"(doc_id - {lo}) div {width}")
+        for k, n in sizes.filter(F.col("doc_id").between(lo, hi)).groupBy(part.alias("k")).agg(F.sum("bytes")).orderBy("k").collect():
+            if before + n >= budget:
+                lo, hi = lo + k * width, min(hi, lo + (k + 1) * width - 1)
+                break
+            before += n
+        else:
+            return None
+        if width == 1 or n <= budget:
+            return hi
+    return None
+
+
 def byte_budget(lines: DataFrame, budget: int) -> DataFrame:
     """The first lines, in the order of (doc_id, line_no), until their bytes and newlines reach the budget.
 
-    Only as many of the first documents as the budget needs, by their mean size and then twice as many, are ordered.
+    With integer ids only the documents that the budget needs are ordered; the others are read for sums by ranges of ids.
     """
     sizes = lines.withColumn("bytes", F.octet_length("line") + 1)
+    if isinstance(lines.schema["doc_id"].dataType, IntegralType) and (last := _last_needed(sizes, budget)) is not None:
+        sizes = sizes.filter(F.col("doc_id") <= last)
     docs = sizes.groupBy("doc_id").agg(F.sum("bytes").alias("doc_bytes"))
-    n, total = docs.agg(F.count("*"), F.sum("doc_bytes")).first()
-    most = n if not n or total <= budget else min(n, int(1.2 * budget * n / total) + 100)
-    while most < n and docs.orderBy("doc_id").limit(most).agg(F.sum("doc_bytes")).first()[0] < budget:
-        most = min(n, 2 * most)
-    first = docs.orderBy("doc_id").limit(most)
-    upto = first.withColumn("before", F.sum("doc_bytes").over(Window.orderBy("doc_id")) - F.col("doc_bytes")).filter(F.col("before") < budget).drop("doc_bytes")
+    upto = docs.withColumn("before", F.sum("doc_bytes").over(Window.orderBy("doc_id")) - F.col("doc_bytes")).filter(F.col("before") < budget).drop("doc_bytes")
     inner = Window.partitionBy("doc_id").orderBy("line_no")
     some = sizes.join(upto, "doc_id").withColumn("at", F.col("before") + F.sum("bytes").over(inner) - F.col("bytes"))
     return some.filter(F.col("at") < budget).select("doc_id", "line_no", "line")

@@ -153,6 +153,22 @@ def test_boundary_scores(spark):
     assert (r.precision, r.recall, r.tokens_per_sentence) == (2 / 3, 2 / 3, 3.0) and abs(r.token_length - 4 / 3) < 1e-9
 
 
+@pytest.mark.parametrize("budget", [0, 1, 57, 1000, 5400, 10**9])
+def test_byte_budget_by_hand(spark, budget):
+    rows = [(d * d * 7919 - 10**6, n, "x" * (d % 13)) for d in range(200) for n in range(d % 4)] + [(10**12, 0, "y" * 900)]
+    want, used = [], 0
+    for r in sorted(rows):
+        if used < budget:
+            want.append(r)
+        used += len(r[2]) + 1
+    for kind in ("bigint", "string"):
+        d = spark.createDataFrame(rows, "doc_id bigint, line_no bigint, line string")
+        if kind == "string":
+            d = d.withColumn("doc_id", F.format_string("%020d", F.col("doc_id") + 10**7))
+        assert sorted(r.line for r in V.byte_budget(d, budget).collect()) == sorted(x for *_, x in want)
+    assert V._last_needed(d.filter("false").withColumn("bytes", F.lit(1)), 5) is None
+
+
 def test_keep_chars(spark):
     assert V.char_vocab_size(6000, 8000) == 6000 and V.char_vocab_size(8000, 1000) == 500 and V.char_vocab_size(300, 300) == 299 and V.char_vocab_size(10, 0) == 256
     lines = spark.createDataFrame([(1, 0, "a漢漢字é")], "doc_id bigint, line_no bigint, line string")
