@@ -67,6 +67,10 @@ def byte_budget_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 _vocabularies: dict = {}
 
 
+def forget_vocabulary() -> None:
+    _vocabularies.clear()
+
+
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vocabulary of the documents, made once a session and state of their files, and kept on the driver: it has CAND_TOTAL rows and one a character."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
