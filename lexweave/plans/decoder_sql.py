@@ -6,8 +6,10 @@ scores of the places so far, the last one first; a second fold walks back from t
 
 from __future__ import annotations
 
+import re
+
 from lexweave.plans.segment_queries import _COSTS, _EMIT, _GOLD, _MSTEP, _PRESET_SQL, _RUN, _VOCAB, TARGET, UNK_BASE, UNK_PER_CP, _normalized, _pruned, _q
-from lexweave.plans.text_queries import CHARS, class_sql
+from lexweave.plans.text_queries import CHARS, LINES, class_sql
 
 N = -(1 << 50)
 FIXED = 1 << 24
@@ -31,9 +33,8 @@ def _seg(k: int) -> str:
 
 
 # the joint model's scores of the spans that end at each place
-_JOINT = (
-    _VOCAB
-    + _RUN[len(CHARS) :]
+_LATTICE = (
+    _RUN[len(CHARS) :]
     + _PIECES
     + _ENDED
     + ", seg AS (SELECT doc_id, line_no, i, "
@@ -43,6 +44,9 @@ _JOINT = (
     + f"]::BIGINT[] AS y FROM ended e JOIN seg s ON s.doc_id = e.doc_id AND s.line_no = e.line_no AND s.i = e.i {_JOINED}), "
     + "lists AS (SELECT doc_id, line_no, list(y ORDER BY i) AS x, count(*) AS n FROM scored GROUP BY ALL)"
 )
+_JOINT = _VOCAB + _LATTICE
+# the same of the lines without their blanks; the vocabulary is that of the lines as they are
+_PLAIN = f"""{re.sub(r'\b(lines|chars)\b', r'whole_\1', _VOCAB)}, lines AS (SELECT doc_id, line_no, translate(line, ' ' || chr(9), '') AS line FROM whole_lines), {CHARS[len(LINES) + 2 :]}{_LATTICE}"""
 # the unigram model's, in fixed point
 _UNIGRAM = (
     _VOCAB
@@ -164,6 +168,9 @@ ORACLE_SQL = {
     "nbest_tokens": f"WITH {_NBEST} {_tokens('paths', 'c.rank', 'c.score')}",
     "sample_from_nbest": f"WITH {_NBEST}, picked AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, line_no) AS k FROM paths) WHERE rank = {next_state(seed_sql('doc_id * 1000003', 'line_no * 7919'))} % k) {_tokens('picked', 'c.rank', 'c.score')}",
     "ffbs_sample": f"WITH {_FFBS} {_tokens('drawn', 'c.rep', 'c.score')}",
+    "model_f1": f"""WITH {_PLAIN}{_best(128, _KS)}, {_GOLD[len(LINES) + 2 :].replace('FROM lines)', 'FROM whole_lines)')}, sides AS (SELECT list_slice(c.cut, 1, len(c.cut) - 1) AS f, string_split(l.y, '') AS y FROM cuts c JOIN labelled l USING (doc_id, line_no)),
+      starts AS (SELECT f, list_filter(range(0, len(y)), lambda i: y[i + 1] = '1') AS g FROM sides), s AS (SELECT sum(len(f))::BIGINT AS found, sum(len(g))::BIGINT AS gold, sum(len(list_intersect(f, g)))::BIGINT AS hits FROM starts),
+      r AS (SELECT *, hits / found::DOUBLE AS p, hits / gold::DOUBLE AS r FROM s) SELECT found, gold, hits, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r), 9) AS f1 FROM r""",
     "pseudo_labels": f"WITH {_WORDS} SELECT doc_id, line_no, n, md5(array_to_string(list_transform(range(2, len(cut) + 1), lambda j: '1' || repeat('0', cut[j] - cut[j - 1] - 1)), '')) AS y_md5 FROM cuts",
     "em_expected_counts": f"WITH {_EM}",
     "em_iteration": f"WITH {_ITERATION}{_PRUNED}",
