@@ -12,7 +12,7 @@ don't count. Rows are maximal: of consecutive places whose passage the same docu
 
 Defined cases: a null or wordless text, or one of fewer than WORDS words, has no repeats. Documents with a null doc_id are
 left out; integers are in order by value, ids of other types by their 64-bit hash. A text of any length is cut into pieces in memory, as one row of a batch.
-In a shard words are told apart by 32 bits of their hashes, so that two passages that differ in one word are taken for equal in one of 2**32 cases. Rows of equal doc_id are one document, so rows repeated in full aren't repeats of each other, and one row is given
+Equal hashes of 64 bits stand for equal pieces. In a shard words are told apart by 32 bits of their hashes, so that two passages that differ in one word are taken for equal in one of 2**32 cases. Rows of equal doc_id are one document, so rows repeated in full aren't repeats of each other, and one row is given
 for all of them. Other columns aren't used. An empty table gives an empty table.
 """
 
