@@ -10,8 +10,12 @@ in two halves, so that nearly all that are left are pruned before their second h
 
 How many leading bits split the fingerprints follows from their number, so that a part holds some ten of them on average, and
 the number of tables from that: as many as two fingerprints at exactly the radius need to meet in one of them with
-probability `RECALL`. Closer ones meet more surely, and a group needs only some of its links. Work so grows with a power of the
-number of fingerprints of about 1.3, not 2.
+probability `RECALL`. Closer ones meet more surely. Work so grows with a power of the number of fingerprints of about 1.3, not 2.
+
+What the tables leave out is found exactly (`missed`), so that no link within the radius is lost: the bits are cut into pieces, of which one at least differs
+in no more than its share of the radius (shares and pieces add up to radius + 1), and in blocks of fingerprints all values so near to a query's piece are looked up. Only links between
+components that the tables left apart count; buckets that are wholly of the query's own component are passed over. Blocks of `BLOCK` fingerprints meet in pairs;
+within one the work grows with a power of about 1.5, beyond that with the square of their number, at some hundredth of all pairs.
 
 Only distinct fingerprints enter the index, so copies by the thousand cost one entry. Pairs within
 the radius are joined to connected components; what a task finds leaves it as a star for each of its own components, never as all pairs.
@@ -24,15 +28,18 @@ on as they are. A text of any length is read whole, as one row of a batch. An em
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from lexweave.llm.core import chunks, column, distinct_in_rows, forget, fresh, mix, stored, string_bytes, table, words
+from lexweave.llm.core import chunks, column, distinct_in_rows, forget, fresh, mix, shared_dir, stored, string_bytes, table, words
 from lexweave.ship import map_arrow
 
 BITS = 128
@@ -40,6 +47,10 @@ RADIUS = 22
 RECALL = 0.92
 PART = 16  # fingerprints of a part, on average, if all parts were alike
 FAN = 8
+BLOCK = 1 << 20  # fingerprints of a block that is searched exactly
+SLICE = 1 << 14  # queries of a task, at least, where there are that many
+WIDEST = 22  # bits of a piece that are looked up
+MOST = 1 << 20  # pairs looked at in one go
 
 
 def sizing(n: int, radius: int) -> tuple[int, int]:
@@ -274,12 +285,150 @@ def components(pairs: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def pieces(n: int, radius: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, share) of the pieces: two codes within the radius differ in no more than its share in one of them; as many as cost least among n codes."""
+
+    def cut(count: int) -> list[tuple[int, int, int]]:
+        at = np.arange(count + 1) * BITS // count
+        wide = np.diff(at)
+        share = np.full(count, (radius + 1) // count - 1)
+        share[np.argsort(-wide, kind="stable")[: (radius + 1) % count]] += 1
+        return [(int(a), int(min(w, WIDEST)), int(s)) for a, w, s in zip(at, wide, share)]
+
+    def cost(got: list[tuple[int, int, int]]) -> float:
+        return sum(comb(w, k) * (1 + n / 2**w) for _, w, s in got for k in range(min(s, w) + 1))
+
+    return min(map(cut, range(1, min(radius + 1, BITS) + 1)), key=cost)
+
+
+def piece(two: np.ndarray, at: int, wide: int) -> np.ndarray:
+    end = at + wide
+    if end <= 64:
+        v = two[:, 0] >> np.uint64(64 - end)
+    elif at >= 64:
+        v = two[:, 1] >> np.uint64(128 - end)
+    else:
+        v = (two[:, 0] << np.uint64(end - 64)) | (two[:, 1] >> np.uint64(128 - end))
+    return (v & np.uint64((1 << wide) - 1)).astype(np.int64)
+
+
+def changes(wide: int, most: int) -> Iterator[int]:
+    """All numbers of so many bits of which at most `most` are set; 0 first, one after those without its highest bit."""
+    now = [(0, 0)]
+    yield 0
+    for bit in range(wide):
+        new = [(m | 1 << bit, k + 1) for m, k in now if k < most]
+        yield from (m for m, _ in new)
+        now += new
+
+
+def across(q: np.ndarray, q_root: np.ndarray, x: np.ndarray, x_root: np.ndarray, radius: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (of q, of x) within the radius whose roots differ, some more than once; codes and roots as two words. at: where the q stand in x, if they do, so that each pair is looked at from one side."""
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if not len(q) or not len(x):
+        return found_a[0], found_b[0]
+    for first, wide, share in pieces(len(x), radius):
+        key, of = piece(x, first, wide), piece(q, first, wide)
+        order, mine = np.argsort(key, kind="stable"), np.argsort(of, kind="stable")
+        starts = np.r_[0, np.cumsum(np.bincount(key, minlength=1 << wide))].astype(np.int32)
+        x0, x1, of = x[order, 0].copy(), x[order, 1].copy(), of[mine]
+        q0, q1 = q[mine, 0].copy(), q[mine, 1].copy()
+        root, q_of = x_root[order], q_root[mine]
+        bucket = np.flatnonzero(np.diff(starts) > FAN)
+        whole = np.zeros(1 << wide, bool)  # large buckets of one component
+        if len(bucket):
+            sorted_key = key[order]
+            same = np.ones(1 << wide, bool)
+            differs = (root[1:] != root[:-1]).any(axis=1) & (sorted_key[1:] == sorted_key[:-1])
+            same[sorted_key[1:][differs]] = False
+            whole[bucket] = same[bucket]
+        some = whole.any()
+        half, top = np.arange(len(of)), -1
+        for change in changes(wide, share):
+            if at is not None and change.bit_length() != top:
+                top = change.bit_length()
+                half = np.flatnonzero((of >> (top - 1)) & 1 == 0) if top else np.arange(len(of))
+            to = of[half] ^ change
+            lo = starts[to]
+            n = starts[to + 1] - lo
+            if some:
+                own = np.flatnonzero(whole[to])
+                n[own[(root[lo[own]] == q_of[half[own]]).all(axis=1)]] = 0
+            total = np.r_[0, np.cumsum(n, dtype=np.int64)]
+            for i, j in chunks(total, MOST) if total[-1] else ():
+                a = np.repeat(half[i:j], n[i:j])
+                b = np.arange(total[j] - total[i]) + np.repeat(lo[i:j] - (total[i:j] - total[i]), n[i:j])
+                near = np.bitwise_count(q0[a] ^ x0[b])
+                go = np.flatnonzero(near <= radius)
+                a, b, near = a[go], b[go], near[go]
+                go = near + np.bitwise_count(q1[a] ^ x1[b]) <= radius
+                a, b = a[go], b[go]
+                go = (q_of[a] != root[b]).any(axis=1)
+                found_a.append(mine[a[go]])
+                found_b.append(order[b[go]])
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def missed(rooted: DataFrame, count: int, radius: int, block: int = BLOCK, slice_: int = SLICE) -> DataFrame:
+    """(a, b): links between the roots of (code, root) rows that connect all components with a pair of codes within the radius. Blocks of codes are files in the shared folder."""
+    spark, folder = rooted.sparkSession, shared_dir(rooted.sparkSession)
+    blocks = max(1, -(-count // block))
+    slices = max(1, min(32 // blocks, -(-count // (blocks * slice_))))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [np.hstack([codes_of(b.column(0)), codes_of(b.column(1))]) for b in batches if b.num_rows]
+        if got:
+            files, base = fs.FileSystem.from_uri(folder)
+            name = f"{base}/codes-{uuid.uuid4().hex}"
+            with files.open_output_stream(name) as f:
+                f.write(np.concatenate(got).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    put = rooted.withColumn("to", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int")).repartitionById(blocks, "to").select("code", "root")
+    names = [r["name"] for r in map_arrow(put, write, "name string").collect()]  # a name for each block
+    pairs = [(i, j, k) for i in range(len(names)) for j in range(i + 1) for k in range(slices)]
+    shared = spark.sparkContext.broadcast((names, pairs))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = fs.FileSystem.from_uri(folder)
+
+        def read(name: str) -> np.ndarray:
+            with files.open_input_stream(name) as f:
+                return np.frombuffer(f.read(), ">u8").astype(np.uint64).reshape(-1, 4)
+
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                names, pairs = shared.value
+                i, j, k = pairs[k]
+                x = read(names[j])
+                at = np.arange(k, len(x), slices) if i == j else None
+                q = x[at] if i == j else read(names[i])[k::slices]
+                a, b = across(q[:, :2], q[:, 2:], x[:, :2], x[:, 2:], radius, at)
+                if len(a):
+                    both = np.unique(np.hstack([q[a, 2:], x[b, 2:]]), axis=0).astype(">u8").view(np.uint8).reshape(-1, 32)
+                    yield pa.RecordBatch.from_arrays([fixed_binary(both[:, :16]), fixed_binary(both[:, 16:])], ["a", "b"])
+
+    return map_arrow(spark.range(0, len(pairs), 1, max(1, len(pairs))), search, "a binary, b binary").distinct()
+
+
+def linked(codes: DataFrame, radius: int) -> DataFrame:
+    """(node, root): the component of every code, by all pairs within the radius."""
+    count = codes.count()
+    of = components(edges(codes, radius, *sizing(count, radius)))
+    first = stored(codes.join(of, codes["code"] == of["node"], "left").select("code", F.coalesce("root", "code").alias("root")))
+    more = stored(missed(first, count, radius))
+    if more.isEmpty():
+        return first.withColumnRenamed("code", "node")
+    up = components(more).select(F.col("node").alias("low"), F.col("root").alias("high"))
+    return first.join(up, first["root"] == up["low"], "left").select(F.col("code").alias("node"), F.coalesce("high", "root").alias("root"))
+
+
 def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, text_hash, code, group_id, links, copies, keep): group_id is the doc_id that stays, links the other rows of the group, copies the rows that are equal in doc_id and text."""
     prints = stored(fingerprints(docs))
     marked = prints.filter("code is not null")
     codes = stored(marked.select("code").distinct())
-    of = components(edges(codes, radius, *sizing(codes.count(), radius)))
+    of = linked(codes, radius)
     rooted = marked.join(of, marked["code"] == of["node"], "left").select("doc_id", "text_hash", "code", F.coalesce("root", "code").alias("root"))
     order = F.struct(F.isnull("doc_id").alias("late"), "doc_id", "text_hash")
     best = rooted.groupBy(F.col("root").alias("best_root")).agg(F.min(order).alias("best"), (F.count("*") - 1).alias("links"))

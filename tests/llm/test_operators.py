@@ -161,6 +161,52 @@ def test_components_of_a_hub_and_a_chain(spark):
     assert {r.root: r.n for r in got} == {0: 100_000, 200_000: 60}
 
 
+def _moved(code, count, rng):
+    bits = np.unpackbits(code, axis=1)
+    for row, at in zip(bits, [rng.choice(128, count, replace=False) for _ in code]):
+        row[at] ^= 1
+    return np.packbits(bits, axis=1)
+
+
+def test_simhash_leaves_out_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, (400, 16), dtype=np.uint8)
+    code = np.concatenate([base, _moved(base, simhash.RADIUS, rng)])
+    prints = spark.createDataFrame([(k, k, bytes(c)) for k, c in enumerate(code)], "doc_id bigint, text_hash bigint, code binary")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: prints)
+    got = {r.doc_id: r.group_id for r in simhash.groups(None).collect()}
+    assert [k for k in range(400) if got[k + 400] != got[k]] == []
+    assert len(set(got.values())) == 400
+
+
+@pytest.mark.parametrize("block, slice_", [(1 << 20, 1 << 14), (300, 50)])
+def test_simhash_missed_is_exact_in_blocks_and_slices(spark, block, slice_):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 256, (300, 16), dtype=np.uint8)
+    code = np.concatenate([base, *(_moved(base, k, rng) for k in (2, 11, 22, 23))])
+    two = simhash.two_words(code)
+    want = {frozenset((bytes(code[i]), bytes(code[j]))) for i in range(len(two)) for j in np.flatnonzero(simhash.popcount(two[i] ^ two) <= 22) if i != j}
+    rows = spark.createDataFrame([(bytes(c), bytes(c)) for c in code], "code binary, root binary")
+    got = {frozenset((bytes(r.a), bytes(r.b))) for r in simhash.missed(rows, len(code), 22, block, slice_).collect()}
+    assert got == want
+    # links within a component aren't given, the others are
+    half = spark.createDataFrame([(bytes(c), bytes(code[k % 300]) if k < 900 else bytes(c)) for k, c in enumerate(code)], "code binary, root binary")
+    root = {bytes(c): bytes(code[k % 300]) if k < 900 else bytes(c) for k, c in enumerate(code)}
+    got = {frozenset((bytes(r.a), bytes(r.b))) for r in simhash.missed(half, len(code), 22, block, slice_).collect()}
+    assert got == {p for p in (frozenset(root[c] for c in pair) for pair in want) if len(p) == 2}
+
+
+def test_simhash_across_a_dense_ball():
+    rng = np.random.default_rng(7)
+    ball = np.repeat(rng.integers(0, 256, (1, 16), dtype=np.uint8), 600, axis=0)
+    two = simhash.two_words(np.unique(_moved(ball, 12, rng), axis=0))
+    root = np.repeat(two[:1], len(two), axis=0)
+    root[-5:] = two[-5:]  # five that the rest isn't yet linked to
+    a, b = simhash.across(two, root, two, root, simhash.RADIUS, np.arange(len(two)))
+    want = {(i, j) for i in range(len(two)) for j in range(i + 1, len(two)) if simhash.popcount((two[i] ^ two[j])[None])[0] <= simhash.RADIUS and (root[i] != root[j]).any()}
+    assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())} == want and want
+
+
 def test_near_dedup_keeps_one_and_the_same_of_rows_equal_in_id_and_text(spark):
     rows = [(1, BASE, x) for x in "bcad"] + [(2, prose(50), "z")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, tag string")
