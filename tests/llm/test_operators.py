@@ -629,6 +629,31 @@ def test_lm_records_of_a_long_copy_are_few():
     assert last["depth"].tolist() == [1, 2001] and last["count"].tolist() == [2, 0]
 
 
+def test_lm_searches_begin_where_places_match_already(monkeypatch):
+    rng = random.Random(4)
+    texts = [[rng.getrandbits(63) for _ in range(400)] for _ in range(50)]
+    query = [w for t in texts for w in [*t[100:106], rng.getrandbits(63)]]  # a run of six words of each
+    q = lmscore.Queries(np.array(query, np.uint64), np.array([0, len(query)]))
+    s = lmscore.Shard.of(np.array(sum(texts, []), np.uint64), np.arange(51) * 400)
+    dense, asked, hash_ = np.zeros((len(query), lmscore.DENSE, 2), np.int64), [], lmscore.Runs.hash
+    monkeypatch.setattr(lmscore.Runs, "hash", lambda self, start, size: asked.append(len(start)) or hash_(self, start, size))
+    deep = lmscore.shard_counts(q, s, dense)
+    assert len(deep) == 2 * 100 and (dense.reshape(50, 7, -1)[:, 5] == 1).all()
+    assert sum(asked) <= 8 * 100  # places that match more than DENSE words
+
+
+def test_narrow_by_enumeration():
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 4, 300)
+    sa = suffixes.suffix_array(x)
+    lo, hi = np.searchsorted(x[sa], np.arange(4)), np.searchsorted(x[sa], np.arange(4), side="right")
+    for token in range(-1, 6):
+        a, b = suffixes.narrow(x, sa, np.r_[lo, 5], np.r_[hi, 5], 1, np.full(5, token))
+        second = np.append(x, -2)[sa + 1]
+        assert (b - a)[:4].tolist() == [int((second[i:j] == token).sum()) for i, j in zip(lo, hi)] and a[4] == b[4]
+        assert all((second[i:j] == token).all() for i, j in zip(a, b))
+
+
 def test_lm_rows_repeated_in_full_count_for_each_other(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, "x a b c d e y"), (3, "q")]
     for shard in (3, 1000):
