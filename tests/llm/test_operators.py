@@ -667,6 +667,39 @@ def test_lm_rows_repeated_in_full_count_for_each_other(spark):
             assert abs(got[k].log_probability - n * want) < 1e-9 and got[k].longest_context == max(contexts)
 
 
+def test_lm_shards_hold_only_what_long_contexts_may_lie_in(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    texts = [" ".join(word() for _ in range(300)) for _ in range(40)]
+    passage = texts[3].split()[100:120]
+    query = " ".join([word(), *passage, word(), *texts[5].split()[296:], word()])
+    corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    folder = Path(urlparse(lmscore.shared_dir(spark)).path)
+    before = set(folder.glob("suffixes-*"))
+    (r,) = lmscore.lm_scores(spark.createDataFrame([(1, query)], "item_id bigint, text string"), corpus, "item_id").collect()
+    want, contexts = lm_brute(query.split(), texts)
+    assert abs(r.log_probability - want) < 1e-9 and r.longest_context == max(contexts) == 20 and abs(r.mean_context - np.mean(contexts)) < 1e-9
+    held = [lmscore.Shard.read(f.read_bytes()) for f in set(folder.glob("suffixes-*")) - before]
+    assert 0 < sum(len(s.back) - s.texts for s in held) < 600  # of 12,000 words; the filter lets 1 in 200 through
+
+
+def test_lm_filter_passes_all_that_is_asked_for_and_little_else(tmp_path):
+    rng = np.random.default_rng(9)
+    h, other = rng.integers(0, 2**63, (2, 20_000), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    pieces = []
+    for bucket in range(7):
+        piece = lmscore.Filter.piece(h[h % np.uint64(7) == bucket])
+        (tmp_path / f"p{bucket}").write_bytes(piece.tobytes())
+        pieces.append((bucket, str(tmp_path / f"p{bucket}"), 8 * len(piece)))
+    for most in (1, 10**9):  # a piece at a time, all at once
+        f = lmscore.Filter(lmscore.fs.LocalFileSystem(), pieces, 7, most)
+        assert f.has(h).all() and f.has(other).mean() < 0.01
+    assert not lmscore.Filter(lmscore.fs.LocalFileSystem(), [], 7).has(h).any()
+
+
 def test_lm_query_set_is_every_twentieth_document(spark):
     got = {r.doc_id for r in lmscore.op3_lm_scoring(spark, "/root/testdata/sf0.001").collect()}
     assert got == {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.doc_id % 20 == 0}
