@@ -45,8 +45,8 @@ def tokenize_df(docs: DataFrame, model: L.Model, *, max_line_bytes: int = 16384,
 
 
 def token_lines(tokenized: DataFrame) -> DataFrame:
-    """(value) of tokens apart by blanks, for write.text."""
-    return tokenized.select(F.array_join("tokens", " ").alias("value"))
+    """(value) of tokens apart by blanks, for write.text; tokens may be joined so already."""
+    return tokenized.select((F.col("joined") if "joined" in tokenized.columns else F.array_join("tokens", " ")).alias("value"))
 
 
 def detokenize_lines(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -54,5 +54,5 @@ def detokenize_lines(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def detokenize_df(tokenized: DataFrame) -> DataFrame:
-    """tokenized with the text that its tokens were made of; exact for read_all with lossless_ws."""
-    return tokenized.withColumn("text", lossless_decode(F.array_join("tokens", "")))
+    """tokenized with the text that its tokens, or these joined, were made of; exact for read_all with lossless_ws."""
+    return tokenized.withColumn("text", lossless_decode(F.col("joined") if "joined" in tokenized.columns else F.array_join("tokens", "")))
