@@ -6,24 +6,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from lexweave.functions.text import characters, code_point
-from lexweave.operators.lattice import Lattice, PieceTable, SpanHash, batches, code_points
+from lexweave.operators.lattice import Lattice, PieceTable, SpanHash, arrow_points, code_points, groups, slices, some_rows, string_array
 from lexweave.ship import map_arrow
 from lexweave.sources.corpus import spread
 
 MIN_PROB = 1e-12
 SMOOTHING = 0.1
+BLOCK = 1_000_000  # characters that are counted at a time
+WORD_BYTES = 16 << 20  # of lines whose words are counted at a time, but for a batch
 
 
 def codepoint_counts(lines: DataFrame) -> DataFrame:
-    """(cp, ch, cnt) of every character of the lines but NUL."""
-    each = lines.select(F.explode(characters(F.col("line"))).alias("ch"))
-    counts = each.groupBy("ch").agg(F.count("*").alias("cnt"))
-    return counts.select(code_point(F.col("ch")).cast("bigint").alias("cp"), "ch", "cnt").filter("cp <> 0")
+    """(cp, ch, cnt) of every character of the lines but NUL. Tasks send each character once."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0x110000, np.int64)
+        for b in parts:
+            points, offs = arrow_points(b.column(0))
+            for lo, hi in slices(offs, BLOCK):
+                here = np.bincount(points[offs[lo] : offs[hi]])
+                total[: len(here)] += here
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), string_array(at.astype(np.uint32), np.arange(len(at) + 1)), pa.array(total[at])], ["cp", "ch", "cnt"])
+
+    parts = map_arrow(lines.select("line"), count, "cp bigint, ch string, cnt bigint")
+    return parts.groupBy("cp", "ch").agg(F.sum("cnt").alias("cnt")).filter("cp <> 0")
 
 
 def char_vocab_size(char_vocab: int, target_vocab: int) -> int:
@@ -78,33 +91,128 @@ def _starts(points: np.ndarray, filter_starts: str) -> np.ndarray:
 def ngram_counts(lines: DataFrame, n_min: int = 2, n_max: int = 8, min_count: int = 50, fallback: str | None = None, filter_starts: str = "punct") -> DataFrame:
     """(n, piece, cnt): how often each run of n characters stands in the lines, overlapping ones too.
 
-    Runs with NUL, white space or the fallback, and such that begin with ASCII punctuation, don't count. Each batch of lines
-    is counted by numpy before the shuffle, so a piece crosses it once a batch and not once an occurrence.
+    Runs with NUL, white space or the fallback, and such that begin with ASCII punctuation, don't count. Blocks of lines
+    are counted by numpy before the shuffle, so a piece crosses it once a block and not once an occurrence; a block has about `BLOCK` characters, whatever the lines' lengths.
+    Where so many characters fit 64 bits, by their numbers in the block, these are what is sorted, else hashes.
     """
     bad = np.array([0, 9, 10, 13, 32, *([ord(fallback)] if fallback else [])], np.uint32)
 
+    def counted(points: np.ndarray, offs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left = np.repeat(offs[1:], np.diff(offs)) - np.arange(len(points))
+        before = np.r_[0, np.cumsum(np.isin(points, bad))]
+        begins = _starts(points, filter_starts)
+        known = np.bincount(points) > 0
+        letters = np.flatnonzero(known).astype(np.uint32)
+        number = (np.cumsum(known) - 1)[points].astype(np.uint64)
+        bits = np.uint64(max(1, (len(letters) - 1).bit_length()))
+        spans = SpanHash(points) if n_max * int(bits) > 64 else None
+        for n in range(n_min, n_max + 1):
+            at = np.flatnonzero(begins & (left >= n))
+            at = at[before[at + n] == before[at]]
+            if not len(at):
+                continue
+            if n * int(bits) <= 64:
+                key = number[at]
+                for j in range(1, n):
+                    key = key << bits | number[at + j]
+                key.sort()
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                cnt, key = np.diff(np.append(first, len(key))), key[first]
+                chars = np.stack([letters[(key >> np.uint64(j) * bits & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)] for j in range(n - 1, -1, -1)], axis=1)
+            else:
+                _, first, cnt = np.unique(spans.of(at, n), return_index=True, return_counts=True)
+                chars = points[at[first][:, None] + np.arange(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cnt), n)), string_array(chars.ravel(), np.arange(len(cnt) + 1) * n), pa.array(cnt)], ["n", "piece", "cnt"])
+
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def work() -> Iterator[pa.RecordBatch]:
+            points, size = np.concatenate([x for x, _ in held]), np.concatenate([n for _, n in held])
+            held.clear()
+            yield from counted(points, np.r_[0, np.cumsum(size)])
+
+        total = 0
         for b in parts:
-            texts = [t for t in b.column(0).to_pylist() if t]
-            points, offs = code_points(texts)
-            if not len(points):
-                continue
-            all_text, spans = "".join(texts), SpanHash(points)
-            left = np.repeat(offs[1:], np.diff(offs)) - np.arange(len(points))
-            before = np.r_[0, np.cumsum(np.isin(points, bad))]
-            begins = _starts(points, filter_starts)
-            for n in range(n_min, n_max + 1):
-                at = np.flatnonzero(begins & (left >= n))
-                at = at[before[at + n] == before[at]]
-                if len(at):
-                    _, first, cnt = np.unique(spans.of(at, n), return_index=True, return_counts=True)
-                    pieces = [all_text[k : k + n] for k in at[first].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cnt), n)), pa.array(pieces, pa.string()), pa.array(cnt)], ["n", "piece", "cnt"])
+            points, offs = arrow_points(b.column(0))
+            for lo, hi in slices(offs, BLOCK):
+                if offs[hi] > offs[lo]:
+                    held.append((points[offs[lo] : offs[hi]], np.diff(offs[lo : hi + 1])))
+                    total += int(offs[hi] - offs[lo])
+                if total >= BLOCK // 2:
+                    yield from work()
+                    total = 0
+        if held:
+            yield from work()
 
     parts = map_arrow(spread(lines.select("line")), count, "n bigint, piece string, cnt bigint")
     return parts.groupBy("n", "piece").agg(F.sum("cnt").alias("cnt")).filter(F.col("cnt") >= min_count)
 
 
+def _words_of(lines: DataFrame, emit, schema: str) -> DataFrame:
+    """What emit(words as a dictionary and numbers in it, which of them begin a line) gives for blocks of lines; words are apart by blanks."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Array] = []
+
+        def work() -> pa.RecordBatch:
+            each = pc.split_pattern(pa.concat_arrays(held).drop_null(), " ")
+            held.clear()
+            words = each.flatten()
+            size = pc.binary_length(words).to_numpy(zero_copy_only=False)
+            keep = size > 0
+            row = np.repeat(np.arange(len(each)), each.value_lengths().to_numpy(zero_copy_only=False))[keep]
+            found = words.filter(pa.array(keep)).dictionary_encode()
+            first = np.ones(len(row), bool)
+            first[1:] = row[1:] != row[:-1]
+            return emit(found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), first)
+
+        total = 0
+        for b in parts:
+            held.append(b.column(0))
+            total += b.column(0).nbytes
+            if total >= WORD_BYTES:
+                yield work()
+                total = 0
+        if held:
+            yield work()
+
+    return map_arrow(spread(lines.select("line")), count, schema)
+
+
+def word_counts(lines: DataFrame) -> DataFrame:
+    """(w, n): how often each word stands in the lines, and for null how many words there are. Tasks count blocks of lines, so that a word crosses the shuffle once a block at most."""
+
+    def emit(words: pa.Array, number: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        n = np.append(np.bincount(number, minlength=len(words)), len(number))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.nulls(1, words.type)]), pa.array(n)], ["w", "n"])
+
+    return _words_of(lines, emit, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+PAIR, SECOND, OTHER = range(3)
+
+
+def pair_counts(lines: DataFrame, frequent: list[str]) -> DataFrame:
+    """(kind, key, n) of the pairs of words one after the other. PAIR: both are frequent, the key is the first one's number times their count and the second's number;
+    SECOND: all pairs whose second word is frequent, by its number; OTHER: all others, by the second word's length in characters."""
+    shared = lines.sparkSession.sparkContext.broadcast(pa.array(frequent, pa.string()))
+
+    def emit(words: pa.Array, number: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        known, wide = pc.index_in(words, shared.value).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), len(shared.value)
+        later = np.flatnonzero(~first)
+        a, b = known[number[later - 1]], known[number[later]]
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)[number[later]]
+        cols: list[list[np.ndarray]] = [[], [], []]
+        for kind, key in ((PAIR, a[(a >= 0) & (b >= 0)] * wide + b[(a >= 0) & (b >= 0)]), (SECOND, b[b >= 0]), (OTHER, size[b < 0])):
+            key, n = np.unique(key, return_counts=True)
+            for c, x in zip(cols, (np.full(len(key), kind, np.int32), key, n)):
+                c.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["kind", "key", "n"])
+
+    return _words_of(lines, emit, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
 def top_per_length(counts: DataFrame, per_length: int) -> DataFrame:
     """The most frequent pieces of each length; of equal counts the first in order."""
     rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("cnt"), "piece"))
@@ -236,9 +344,9 @@ def span_counts(lines: DataFrame, pieces: list[str], max_len: int) -> DataFrame:
         table = PieceTable(shared.value)
         total = np.zeros((max_len, len(shared.value) + 1), np.int64)
         for b in parts:
-            texts = [t for t in b.column(0).to_pylist() if t]
-            for part in batches(texts):
-                lat = Lattice([texts[k] for k in part], table, max_len)
+            points, offs = arrow_points(b.column(0))
+            for part in groups(np.diff(offs)):
+                lat = Lattice(some_rows(points, offs, part), table, max_len)
                 for k in range(max_len):
                     total[k] += np.bincount(lat.ids[k][lat.pos > k] + 1, minlength=total.shape[1])
         k, piece = np.nonzero(total)
